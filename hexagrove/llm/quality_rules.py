@@ -44,12 +44,13 @@ class Rule:
 #: Ratios are written as products, so that a text without words never divides by zero.
 RULES = (
     Rule("length", "__q_n_words < 50", "__q_n_words >= 100"),
-    Rule("symbols", "__q_n_symbols > 0.25 * __q_n_words", "__q_n_symbols <= 0.05 * __q_n_words"),
-    Rule("line copies", "__q_n_dup_lines > 0.3 * __q_n_lines", "__q_n_dup_lines = 0"),
-    Rule("repeats", "__q_n_repeat_words > 0.4 * __q_n_words", "__q_n_repeat_words <= 0.1 * __q_n_words"),
-    Rule("word size", "__q_word_chars < 2 * __q_n_words OR __q_word_chars > 14 * __q_n_words", "__q_word_chars BETWEEN 3 * __q_n_words AND 9 * __q_n_words"),
-    Rule("capitals", "__q_n_capitals > 0.3 * __q_word_chars", "__q_n_capitals <= 0.1 * __q_word_chars"),
-    Rule("shouting", "__q_n_shouts > 0.25 * __q_n_words", "__q_n_shouts <= 0.05 * __q_n_words"),
+    Rule("symbols", "__q_n_symbols > 0.3 * __q_n_words", "false"),
+    Rule("line copies", "__q_n_dup_lines > 0.4 * __q_n_lines", "false"),
+    Rule("repeats", "__q_n_repeat_words > 0.4 * __q_n_words", "false"),
+    Rule("word size", "__q_word_chars < 2 * __q_n_words OR __q_word_chars > 15 * __q_n_words", "__q_word_chars BETWEEN 3 * __q_n_words AND 9 * __q_n_words"),
+    Rule("capitals", "__q_n_capitals > 0.4 * __q_word_chars", "false"),
+    Rule("shouting", "__q_n_shouts > 0.3 * __q_n_words", "false"),
+    Rule("lines", "__q_n_words < 2 * __q_n_lines", "__q_n_words >= 5 * __q_n_lines"),
 )
 
 
@@ -90,34 +91,41 @@ def base_failed() -> Column:
     return (F.col(P + "n_words") < 50) | (100 * F.col(P + "n_repeat_words") > 50 * F.col(P + "n_words"))
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100) -> tuple[float, list[dict[int, float]]]:
+#: Chances of each vote that the estimate starts from and is drawn towards: a rule that speaks of
+#: something wrong is seldom mistaken, one that sees nothing wrong says little. (Good, bad documents.)
+START = ({-1: 0.01, 0: 0.49, 1: 0.5}, {-1: 0.3, 0: 0.4, 1: 0.3})
+START_GOOD = 0.7
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100, pull: float = 0.5) -> tuple[float, list[dict[int, float]]]:
     """Expectation-maximisation over vote patterns and their counts.
 
     Returns the log odds of the class prior and, for each rule and vote, the log ratio of its chances
-    among good and bad documents. Starts from rules that are right four times in five. A vote that
-    was never good evidence is not turned around: a bad vote's ratio is at most 0, a good vote's at
-    least 0.
+    among good and bad documents. The start counts as ``pull`` times the documents of a class: two
+    unlabelled classes alone would follow whichever rules agree most, not quality. A bad vote's ratio
+    is at most 0, a good vote's at least 0.
     """
     votes = (-1, 0, 1)
-    chance = [({-1: 0.1, 0: 0.2, 1: 0.7}, {-1: 0.4, 0: 0.4, 1: 0.2}) for _ in range(n_rules)]
-    good = 0.8
+    chance = [START] * n_rules
+    good = START_GOOD
     total = sum(n for _, n in patterns)
-    if total:
-        for _ in range(rounds):
-            mass, weight = [[dict.fromkeys(votes, 0.5) for _ in range(2)] for _ in range(n_rules)], 0.0
-            for pattern, n in patterns:
-                odds = math.log(good / (1 - good)) + sum(math.log(chance[j][0][v] / chance[j][1][v]) for j, v in enumerate(pattern))
-                p = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-                weight += n * p
-                for j, v in enumerate(pattern):
-                    mass[j][0][v] += n * p
-                    mass[j][1][v] += n * (1 - p)
-            last, good = good, (weight + 4) / (total + 5)
-            chance = [tuple({v: m[v] / sum(m.values()) for v in votes} for m in pair) for pair in mass]
-            if abs(last - good) < 1e-9:
-                break
+    for _ in range(rounds if total else 0):
+        mass = [[dict.fromkeys(votes, 0.0) for _ in range(2)] for _ in range(n_rules)]
+        weight = 0.0
+        for pattern, n in patterns:
+            odds = math.log(good / (1 - good)) + sum(math.log(chance[j][0][v] / chance[j][1][v]) for j, v in enumerate(pattern))
+            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
+            weight += n * p
+            for j, v in enumerate(pattern):
+                mass[j][0][v] += n * p
+                mass[j][1][v] += n * (1 - p)
+        drawn = (weight + 1, total - weight + 1)
+        last, good = good, (weight + pull * total * START_GOOD) / (total * (1 + pull))
+        chance = [tuple({v: (pair[c][v] + pull * drawn[c] * START[c][v]) / (sum(pair[c].values()) + pull * drawn[c]) for v in votes} for c in range(2)) for pair in mass]
+        if abs(last - good) < 1e-9:
+            break
     ratios = [{v: math.log(g[v] / b[v]) for v in votes} for g, b in chance]
-    return math.log(good / (1 - good)), [{-1: min(0.0, r[-1]), 0: 0.0, 1: max(0.0, r[1])} for r in ratios]
+    return math.log(good / (1 - good)), [{-1: min(0.0, r[-1]), 0: r[0], 1: max(0.0, r[1])} for r in ratios]
 
 
 def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
