@@ -5,6 +5,7 @@ A query is registered with its DuckDB oracle beside it; both name the same colum
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _load() -> None:
-    from hexagrove.plans import aggregates, domain, frames, spatial, text, windows
+#: Modules whose import registers queries.
+MODULES = ("aggregates", "windows")
+
 
-    assert all((aggregates, domain, frames, spatial, text, windows))
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"hexagrove.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
