@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,19 @@ def words_of(column: Column) -> Column:
     return F.filter(F.split(column, WHITE_RE, -1), lambda w: w != "")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one that the session names in ``spark.checkpoint.dir``."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{named or tempfile.mkdtemp(prefix='shared')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed Parquet table in the shared folder; for wide rows that are read again."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage.
 

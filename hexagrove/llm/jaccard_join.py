@@ -54,7 +54,7 @@ def shingle_sets(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
     flat = np.empty(sum(map(len, words)), dtype=object)
     flat[:] = list(chain.from_iterable(words))
     hashes = pd.util.hash_array(flat, categorize=False) if len(flat) else np.empty(0, np.uint64)
-    powers = [np.uint64(2 * k + 1) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1) for k in range(size)]
+    powers = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1) for k in range(size)]
     if len(hashes) >= size:
         run = len(hashes) - size + 1
         rolled = mixed(sum((mixed(hashes[k : k + run] * powers[k]) for k in range(size)), np.zeros(run, np.uint64)))

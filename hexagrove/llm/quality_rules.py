@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import WHITE, text_or_empty, words_of
+from hexagrove.llm.common import WHITE, text_or_empty, words_of, written
 
 P = "__q_"
 SYMBOLS = "#*$%&|<>"
@@ -128,14 +128,21 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds:
     return math.log(good / (1 - good)), [{-1: min(0.0, r[-1]), 0: r[0], 1: max(0.0, r[1])} for r in ratios]
 
 
-def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """Add the counts, ``__q_posterior`` (chance of being good), ``__q_base_failed`` and ``__q_kept``."""
-    counted = with_counts(docs, text)
+def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the counts, ``__q_posterior`` (chance of being good), ``__q_base_failed`` and ``__q_kept``.
+
+    The counts are the costly part, so texts are read once: the rows that go on, with the columns
+    named in ``keep`` (all by default), are written with their counts, and estimate and verdict read those.
+    """
+    kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]
+    counts = [P + c for c in (*COUNTS, "n_capitals", "n_shouts", "n_lines")]
+    counted = with_counts(docs, text).select(*kept, *counts)
+    # A null column of no type can't be written; it stays null as a text.
+    counted = written(counted.select(*(F.col(f"`{c}`").cast("string").alias(c) if kind == "void" else F.col(f"`{c}`") for c, kind in counted.dtypes)))
     names = [f"{P}vote{j}" for j in range(len(rules))]
     voted = counted.select(*(r.vote().alias(n) for r, n in zip(rules, names)), base_failed().alias("__q_out"))
-    # Documents that fail the base rules leave before the verdict, so they do not shape it. A filter on
-    # these columns would be pushed below them and compute them anew, so the flag is a grouping key.
-    table = [row for row in voted.groupBy(*names, "__q_out").count().collect() if not row["__q_out"]]
+    # Documents that fail the base rules leave before the verdict, so they do not shape it.
+    table = voted.where(~F.col("__q_out")).groupBy(*names).count().collect()
     prior, ratios = estimate([(tuple(row[n] for n in names), row["count"]) for row in table], len(rules))
     odds = F.lit(prior)
     for rule, ratio in zip(rules, ratios):
@@ -146,7 +153,5 @@ def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 
 def filter_quality(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
-    scored = score_quality(docs, text, **options).withColumn(P + "part", F.spark_partition_id())
-    # The partition's number keeps the filter above the counts instead of copying them into it.
-    kept = scored.where(F.col(P + "kept") & (F.col(P + "part") >= 0))
+    kept = score_quality(docs, text, **options).where(F.col(P + "kept"))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -54,7 +54,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = quality_rules.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     names = [*quality_rules.COUNTS, "base_failed", "kept", "posterior"]
     return out.select("doc_id", *(F.col(quality_rules.P + n).alias(n) for n in names))
 
