@@ -11,7 +11,8 @@ reach the threshold, as a spanning set of links. Exact: no row, column or partne
 
 Columns that many rows have near their front (groups of near copies, shared passages) are never joined pair
 by pair: their rows enter a cluster through one row and meet in blocks only. Equal sets are one row.
-The order of columns comes from a count sketch of fixed size over all shingles.
+The order of columns comes from exact counts over all shingles of all documents; those of frequent
+columns (a number with a fixed bound) are sent to all tasks, the others come first, by their hash.
 
 Cases: null and empty texts and texts without words have the empty set and link with nothing; with
 fewer words than a shingle has, the whole sequence is the one shingle; a null id gets a null
@@ -34,10 +35,12 @@ from hexagrove.llm.components import connected
 
 SIZE = 5
 PERCENT = 80
-#: The sketch: 2**BITS counters, sent in slices of 2**SLICE.
-BITS, SLICE = 18, 13
+#: So many columns at most are sent to all tasks with their counts.
+FREQUENT = 2_000_000
 #: A column with more rows than this near their fronts is not joined pair by pair.
 HEAVY = 24
+#: Bounds of what counts as frequent; the first that leaves at most ``FREQUENT`` columns holds.
+LEAST = [HEAVY << k for k in range(40)]
 #: Rows in a block of the product; cells of an incidence slice.
 BLOCK, CELLS = 512, 8_000_000
 
@@ -71,36 +74,86 @@ def shingle_sets(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
     return out
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(1 << BITS, np.int64)
-    for batch in batches:
-        found = shingle_sets(batch["text"].tolist())
-        if found:
-            counts += np.bincount((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
-    yield pd.DataFrame({"slice": range(1 << (BITS - SLICE)), "counts": [c.astype(np.int32).tobytes() for c in counts.reshape(-1, 1 << SLICE)]})
-
-
-def _sketch_sum(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum((np.frombuffer(c, np.int32).astype(np.int64) for c in rows["counts"]), np.zeros(1 << SLICE, np.int64))
-    return pd.DataFrame({"slice": [rows["slice"].iloc[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
-
-
-def column_counts(docs: DataFrame) -> np.ndarray:
-    """How often each counter's shingles occur: one fixed-size array, whatever the corpus."""
-    parts = docs.select("text").mapInPandas(_sketch, "slice long, counts binary")
-    # Few partial sums first, so that no task adds up all partitions' slices of many documents.
-    parts = parts.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
-    some = parts.groupBy("slice", "part").applyInPandas(_sketch_sum, "slice long, counts binary")
-    rows = some.groupBy("slice").applyInPandas(_sketch_sum, "slice long, counts binary").collect()
-    out = np.zeros(1 << BITS, np.int64)
-    for row in rows:
-        out[row["slice"] << SLICE : (row["slice"] + 1) << SLICE] = np.frombuffer(row["counts"], np.int32)
-    return out
+def _packed(hashes: list[np.ndarray], bits: int) -> Iterator[pd.DataFrame]:
+    """Counted 48-bit column numbers by bucket, sorted, as byte planes: most of them compress to nothing."""
+    if not hashes:
+        return
+    found, n = np.unique(np.concatenate(hashes) >> np.uint64(16), return_counts=True)
+    cuts = np.searchsorted(found, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
+    rows = []
+    for k in np.flatnonzero(np.diff(cuts)):
+        part = found[cuts[k] : cuts[k + 1]]
+        rows.append((int(k), part.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes(), np.minimum(n[cuts[k] : cuts[k + 1]], 2**31 - 1).astype(np.int32).tobytes()))
+    yield pd.DataFrame(rows, columns=["bucket", "planes", "counts"])
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    bytes6 = np.frombuffer(planes, np.uint8).reshape(6, -1).T
+    return np.ascontiguousarray(np.pad(bytes6, ((0, 0), (0, 2)))).view(np.uint64).ravel()
+
+
+def _counter(bits: int, held: int = 4_000_000):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, n = [], 0
+        for batch in batches:
+            found = shingle_sets(batch["text"].tolist())
+            kept += found
+            n += sum(map(len, found))
+            if n >= held:
+                yield from _packed(kept, bits)
+                kept, n = [], 0
+        yield from _packed(kept, bits)
+
+    return count
+
+
+def _frequent(rows: pd.DataFrame) -> pd.DataFrame:
+    """The bucket's columns that more than ``HEAVY`` documents have, and how many are above each of ``LEAST``."""
+    number = np.concatenate([_unpacked(p) for p in rows["planes"]])
+    n = np.concatenate([np.frombuffer(c, np.int32) for c in rows["counts"]]).astype(np.int64)
+    order = np.argsort(number, kind="stable")
+    number, n = number[order], n[order]
+    first = np.flatnonzero(np.r_[True, number[1:] != number[:-1]])
+    number, n = number[first], np.add.reduceat(n, first)
+    often = n > HEAVY
+    return pd.DataFrame([([int((n > t).sum()) for t in LEAST], number[often].tobytes(), n[often].tobytes())], columns=["above", "number", "n"])
+
+
+def column_counts(docs: DataFrame, most: int = FREQUENT, bucket_bytes: int = 20_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent columns' numbers, sorted, and in how many documents each is.
+
+    All shingles of all documents are counted exactly. A column is frequent above the first of
+    ``LEAST`` that at most ``most`` columns are above: the arrays have a fixed bound, checked by count.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(5, int(size // bucket_bytes).bit_length())
+    parts = docs.select("text").mapInPandas(_counter(bits), "bucket long, planes binary, counts binary")
+    frequent = settle(parts.groupBy("bucket").applyInPandas(_frequent, "above array<long>, number binary, n binary"))
+    above = frequent.agg(*(F.sum(F.col("above")[k]) for k in range(len(LEAST)))).first()
+    least = next((t for t, k in zip(LEAST, above) if (k or 0) <= most), 2**62)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            number, n = (np.frombuffer(b"".join(batch[c]), np.int64) for c in ("number", "n"))
+            yield pd.DataFrame([(number[n > least].tobytes(), n[n > least].tobytes())], columns=["number", "n"])
+
+    rows = frequent.select("number", "n").mapInPandas(cut, "number binary, n binary").collect()
+    number, n = (np.frombuffer(b"".join(row[k] for row in rows), t) for k, t in ((0, np.uint64), (1, np.int64)))
+    order = np.argsort(number)
+    return number[order], n[order]
+
+
+def ranks_of(columns: np.ndarray, number: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many documents have each column, 0 for those that are not frequent."""
+    if not len(number):
+        return np.zeros(len(columns), np.int64)
+    wanted = columns >> np.uint64(16)
+    at = np.minimum(np.searchsorted(number, wanted), len(number) - 1)
+    return np.where(number[at] == wanted, n[at], 0)
 
 
-def fronts(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def fronts(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> DataFrame:
     """Per document: the set's size, its 128-bit digest and its first columns in the global order."""
-    ranks = counts.astype(np.int32)
 
     def front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,7 +161,7 @@ def fronts(docs: DataFrame, counts: np.ndarray, percent: int = PERCENT) -> DataF
             for doc, s in zip(batch["doc_id"].tolist(), shingle_sets(batch["text"].tolist())):
                 n = len(s)
                 first = n - (percent * n + 99) // 100 + 1 if n else 0
-                order = np.lexsort((s, ranks[(s >> np.uint64(64 - BITS)).astype(np.int64)]))[:first]
+                order = np.lexsort((s, ranks_of(s, *counts)))[:first]
                 digest = (mixed(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64), mixed(s * np.uint64(0xD1342543DE82EF95)).sum(dtype=np.uint64))
                 rows.append((doc, n, *(int(np.uint64(d).view(np.int64)) for d in digest), s[order].view(np.int64)))
             out = pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "front"])
