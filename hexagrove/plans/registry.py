@@ -31,7 +31,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Modules whose import registers queries.
-MODULES = ("aggregates", "windows")
+MODULES = ("aggregates", "domain", "frames", "spatial", "text", "windows")
 
 
 def _load() -> None:
