@@ -312,10 +312,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
 
     @F.pandas_udf("string")
     def wrap(refs: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([induce(r, [(v["node"], v["path"], v["n"], v["same"]) for v in votes]) for r, votes in zip(refs, lists)])
+        return pd.Series([induce(r, [(v["node"], v["path"], v["n"], v["same"]) for v in (() if votes is None else votes)]) for r, votes in zip(refs, lists)])
 
     gathered = counts.groupBy("host").agg(F.collect_list(F.struct("node", "path", "n", "same")).alias("votes"))
-    wrappers = settle(gathered.join(chosen, "host").select("host", wrap("reference", "votes").alias("wrapper")))
+    # A host whose pages hold no text has no ballots, but its pages have rows.
+    wrappers = settle(chosen.join(gathered, "host", "left").select("host", wrap("reference", "votes").alias("wrapper")))
 
     @F.pandas_udf("string")
     def text_of(htmls: pd.Series, jsons: pd.Series) -> pd.Series:
