@@ -74,7 +74,7 @@ def axial_parts(spark, d):
 
 STEPS = "(VALUES (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)) s(dq, dr)"
 ZONE_SQL = f"""WITH RECURSIVE c AS (SELECT p_partkey AS cell, (p_partkey % 40)::INT AS q, (p_partkey // 40)::INT AS r, p_size // 25 AS cls FROM part),
-    e AS (SELECT a.cell AS src, b.cell AS dst FROM c a, {STEPS} JOIN c b ON b.q = a.q + dq AND b.r = a.r + dr AND b.cls = a.cls),
+    e AS MATERIALIZED (SELECT a.cell AS src, b.cell AS dst FROM c a CROSS JOIN {STEPS} JOIN c b ON b.q = a.q + dq AND b.r = a.r + dr AND b.cls = a.cls),
     reach AS (SELECT cell, cell AS zone FROM c UNION SELECT e.dst, reach.zone FROM reach JOIN e ON e.src = reach.cell WHERE reach.zone < e.dst),
     zone AS (SELECT cell, min(zone) AS zone FROM reach GROUP BY 1)"""
 
@@ -110,7 +110,7 @@ def d12(spark, d):
 @query(
     "D13_rings",
     f"""WITH RECURSIVE c AS (SELECT p_partkey AS cell, (p_partkey % 40)::INT AS q, (p_partkey // 40)::INT AS r, p_size FROM part),
-    e AS (SELECT a.cell AS src, b.cell AS dst FROM c a, {STEPS} JOIN c b ON b.q = a.q + dq AND b.r = a.r + dr),
+    e AS MATERIALIZED (SELECT a.cell AS src, b.cell AS dst FROM c a CROSS JOIN {STEPS} JOIN c b ON b.q = a.q + dq AND b.r = a.r + dr),
     walk AS (SELECT cell, 0 AS ring FROM c WHERE p_size > 48 UNION SELECT e.dst, ring + 1 FROM walk JOIN e ON e.src = walk.cell WHERE ring < 3)
     SELECT cell, min(ring) AS ring FROM walk GROUP BY 1""",
 )
