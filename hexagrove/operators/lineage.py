@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed to the cluster's shared folder (``spark.checkpoint.dir``); a temporary
-    folder only where none is named, as in local tests."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hexagrove"))
-    return df.checkpoint(eager=True)
+    """``df`` as a Parquet table in the cluster's shared folder (``spark.checkpoint.dir``); a temporary
+    folder only where none is named, as in local tests.
+
+    A checkpoint would keep the plan's size estimate: a join multiplies those of its sides, so in a
+    loop that joins its own result the number's digits double each round. A read table has its true size.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="hexagrove")
+    path = f"{shared}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
