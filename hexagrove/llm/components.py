@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star rounds: each node first hangs its larger neighbours on its
 smallest one, then its smaller neighbours; after O(log) rounds the edges are one star for each component.
-Every round's edges are written to the shared checkpoint folder. Nothing but two totals reaches the
+Every round's edges are a Parquet table in the shared folder: a checkpoint would keep the size estimate of
+its plan, whose digits multiply with each round's joins. Nothing but two totals reaches the
 driver.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import settle
+from hexagrove.llm.common import written
 
 
 def _total(edges: DataFrame) -> tuple:
@@ -20,7 +21,7 @@ def _total(edges: DataFrame) -> tuple:
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``edges`` (a, b) of longs to rows (node, component): the smallest node that each node reaches."""
-    e = settle(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    e = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     before = _total(e)
     for _ in range(most_rounds):
         if not before[0]:
@@ -30,7 +31,7 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
         smallest = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(smallest, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e")).select("e.a", "e.b").where("a < b").distinct()
-        e = settle(small)
+        e = written(small)
         after = _total(e)
         if after == before:
             break
