@@ -5,8 +5,11 @@ matching: the largest order-keeping mapping of equal-tagged nodes. A reference n
 the same text on nearly all pages is template; the others are varying slots. Pages that mostly repeat the
 reference are no evidence, so copies of an article never turn it into template. The host's content root
 is the node that holds nearly all varying text, found by descending from the body. A page's text is then
-the blocks under that root, without template nodes and without parts that say what they are:
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
+the blocks under that root, without template nodes and without parts whose tag says what they are:
+menus, headers, footers, asides, forms, scripts, styles. A class, id or role that names boilerplate (whole
+names only) is evidence, not a verdict: such a part goes if it holds less than ``SMALL`` of the host's
+varying text, constant text included as none. A part with the page's article, its main or, where the page has
+neither outside it, most of its text is never left out for its name.
 
 Votes are added up inside tasks before they are shuffled, so a host with a third of all pages sends a few
 rows for each task. Reference pages and wrappers, one each for a host, are broadcast only when their
@@ -43,6 +46,9 @@ OUT_NAMES = set(
     "contentinfo complementary search form dialog".split()
 )
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": set(), "tbody": {"tr", "td", "th"}}
+#: These and named parts may wrap a whole page; then they stay.
+WRAPPERS = {"header", "form", "fieldset", "dialog"}
+SMALL = 0.3
 SCOPE = set("ul ol dl table article section div body html main".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -51,15 +57,17 @@ NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|
 class Node:
     """A block element; inline elements leave only their text in ``parts``."""
 
-    __slots__ = ("tag", "names", "parts", "parent", "out", "children")
+    __slots__ = ("tag", "names", "parts", "parent", "out", "hint", "children")
 
     def __init__(self, tag: str, names: str, parent: Node | None):
         self.tag, self.names, self.parent = tag, names, parent
         self.parts: list[str | Node] = []
         self.children: list[Node] = []
-        tokens = set(re.split(r"[^a-z0-9]+", names)) if names else ()
+        whole = set(names.split())
         inside = parent is not None and parent.within_article()
-        self.out = tag not in ("html", "body", "main") and (tag in OUT_TAGS or bool(OUT_NAMES.intersection(tokens)) or (not inside and (tag == "header" or "header" in tokens)) or "hidden" in tokens)
+        fixed = tag in ("html", "body", "main")
+        self.out = not fixed and (tag in OUT_TAGS or (not inside and tag == "header") or "hidden" in whole)
+        self.hint = not fixed and (bool(OUT_NAMES.intersection(whole)) or (not inside and "header" in whole))
 
     def within_article(self) -> bool:
         node: Node | None = self
@@ -70,7 +78,9 @@ class Node:
         return False
 
     def step(self) -> str:
-        return f"{self.tag}.{self.names}" if self.names else self.tag
+        """Tag and names as part of a path; "!" marks a named part."""
+        step = f"{self.tag}.{self.names.replace('/', '|')}" if self.names else self.tag
+        return step + "!" if self.hint else step
 
 
 def parse(page: str) -> Node:
@@ -122,9 +132,37 @@ def parse(page: str) -> Node:
             at = close.end() if close else end
         elif not found[3].endswith("/"):
             node = child
+    spare(root)
     return root
 
 
+def spare(root: Node) -> None:
+    """Take marks back from nodes that hold the page's article or main, or, without one elsewhere, most of its text."""
+    nodes, marked = [root], False
+    for node in nodes:
+        nodes += node.children
+        marked |= node.hint or (node.out and node.tag not in RAW and node.tag != "head")
+    if not marked:
+        return
+    held: dict[int, int] = {}
+    for node in reversed(nodes):
+        own = 0 if node.tag in RAW or node.tag == "head" else sum(len(p.strip()) for p in node.parts if isinstance(p, str))
+        held[id(node)] = own + sum(held[id(c)] for c in node.children)
+    total = held[id(root)]
+    article = max((n for n in nodes if n.tag in ("article", "main")), key=lambda n: held[id(n)], default=None)
+    if article is not None and 4 * held[id(article)] < total:
+        article = None
+    up = article
+    while up is not None:
+        if up.tag not in RAW:
+            up.out = up.hint = False
+        up = up.parent
+    if article is None:
+        for node in nodes:
+            if 2 * held[id(node)] > total and node.tag not in RAW and (node.tag not in OUT_TAGS or node.tag in WRAPPERS):
+                node.out = node.hint = False
+
+
 def clean(parts: list[str]) -> str:
     text = "".join(parts)
     return " ".join((references.unescape(text) if "&" in text else text).split())
@@ -275,13 +313,29 @@ def induce(reference: str, rows: list[tuple[int, str | None, int, int]], least_p
     template = sorted({(path, own_text(node)) for k, (node, path) in enumerate(nodes) if k in constant})
     fixed = {path for path, _ in template}
     chars = {path: n for k, path, n, _ in rows if k < 0 and path is not None and path not in fixed}
-    return json.dumps({"root": content_path(chars), "template": template})
+    under, total = Counter(), sum(chars.values())
+    for path, n in chars.items():
+        steps = path.split("/")
+        for k, step in enumerate(steps):
+            if step.endswith("!"):
+                under["/".join(steps[: k + 1])] += n
+    kept = sorted(path for path, n in under.items() if n >= SMALL * total)
+    return json.dumps({"root": content_path({path: n for path, n in chars.items() if not dropped(path, kept)}), "template": template, "kept": kept})
+
+
+def dropped(path: str, kept: list[str] | set[str]) -> bool:
+    """Whether a path runs through a named part that is not among the kept ones."""
+    if "!" not in path:
+        return False
+    steps = path.split("/")
+    return any(step.endswith("!") and "/".join(steps[: k + 1]) not in kept for k, step in enumerate(steps))
 
 
 def extract_text(page: str, wrapper: dict) -> str:
     root = parse(page)
     template = {tuple(t) for t in wrapper["template"]}
-    nodes = list(kept_nodes(root))
+    kept = set(wrapper["kept"])
+    nodes = [(n, p) for n, p in kept_nodes(root) if not dropped(p, kept)]
     tops = [(n, p) for n, p in nodes if p == wrapper["root"]]
     if not tops:
         tops = [(n, p) for n, p in nodes if n.tag in ("article", "main")][:1] or [(n, p) for n, p in nodes if n.tag == "body"][:1] or [(root, "html")]
@@ -292,7 +346,7 @@ def extract_text(page: str, wrapper: dict) -> str:
             part, here = stack.pop()
             if isinstance(part, str):
                 out.append(part)
-            elif not part.out and not (template and (here, own_text(part)) in template and not part.children):
+            elif not part.out and not (part.hint and here not in kept) and not (template and (here, own_text(part)) in template and not part.children):
                 stack += [(p, here if isinstance(p, str) else f"{here}/{p.step()}") for p in reversed(own_blocks(part))]
     return "\n".join(out)
 

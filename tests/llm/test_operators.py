@@ -236,3 +236,16 @@ def test_empty_tables(spark, empty):
     assert quality_rules.filter_quality(empty).count() == 0
     assert decontaminate.find_leaks(empty, bench).count() == 0
     assert secret_scan.scan_secrets(empty).count() == 0
+
+
+def test_html_names_are_only_evidence(spark):
+    def page(name, i):
+        return f"<html><body><div class='{name}'><h1>Title {i}</h1><p>Body text number {i * 7} of the long article, which goes on and on {i}</p><div class='sidebar'><p>Links {i}</p></div></div></body></html>"
+
+    names = ["overflow-hidden", "content has-sidebar", "entry-content no-sidebar", "post-related", "content widget"]
+    rows = [(10 * k + i, f"https://h{k}.example/a", page(name, i)) for k, name in enumerate(names) for i in range(6)]
+    rows += [(100 + i, "https://form.example/", f"<body><form id='form'><article class='banner'><p>Words {i} {i * 3} of the article</p></article></form></body>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(len(names)):
+        assert [got[10 * k + i] for i in range(6)] == [f"Title {i}\nBody text number {i * 7} of the long article, which goes on and on {i}" for i in range(6)]
+    assert [got[100 + i] for i in range(6)] == [f"Words {i} {i * 3} of the article" for i in range(6)]
