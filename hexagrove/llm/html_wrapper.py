@@ -1,28 +1,31 @@
 """HTML extraction by wrapper induction.
 
-Every page is aligned with its host's reference page (the one nearest to a fixed size) by simple tree
-matching: the largest order-keeping mapping of equal-tagged nodes. A reference node whose matches hold
-the same text on nearly all pages is template; the others are varying slots. Pages that mostly repeat the
-reference are no evidence, so copies of an article never turn it into template. The host's content root
-is the node that holds nearly all varying text, found by descending from the body. A page's text is then
+A host's pages fall into layouts: the boxes of the top two levels, without named parts. Every page is aligned
+with its layout's reference page (the one nearest to a fixed size) by simple tree matching: the largest
+order-keeping mapping of equal-tagged nodes. A reference node whose matches hold the same text on nearly all
+pages is template, for all layouts of the host; the others are varying slots. Pages that mostly repeat the
+reference in what varies are no evidence, so copies of an article never turn it into template. The content
+root is the lowest node that holds all varying text of the layout. A page's text is then
 the blocks under that root, without template nodes and without parts whose tag says what they are:
 menus, headers, footers, asides, forms, scripts, styles. A class, id or role that names boilerplate (whole
 names only) is evidence, not a verdict: such a part goes if it holds less than ``SMALL`` of the host's
 varying text, constant text included as none. A part with the page's article, its main or, where the page has
 neither outside it, most of its text is never left out for its name.
 
-Votes are added up inside tasks before they are shuffled, so a host with a third of all pages sends a few
-rows for each task. Reference pages and wrappers, one each for a host, are broadcast only when their
-measured size allows, else both sides are joined by host.
+Votes are added up as patterns inside tasks before they are shuffled, so a host with a third of all pages
+sends a few rows for each task. Paths hold classes without digits and no ids, which may differ on each page.
+Reference pages and wrappers, one each for a layout, are broadcast only when their measured size allows, else
+both sides are joined by host and layout.
 
 Cases: a null or empty page gives an empty text; unclosed, unknown and broken tags are read leniently; a
-page without a host shares the empty host; a host with one page has no template; a page that lacks
-the host's content root falls back to its own article, main or body; equal pages each get a row; an
+page without a host shares the empty host; a layout with fewer than three different pages learns
+no template of its own; a page that lacks the content root falls back to its own article, main or body; equal pages each get a row; an
 empty table gives an empty result; other columns pass through, a column named like the output is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import json
 import re
@@ -47,6 +50,7 @@ OUT_NAMES = set(
 )
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": set(), "tbody": {"tr", "td", "th"}}
 #: These and named parts may wrap a whole page; then they stay.
+BOXES = {"div", "section", "article", "main"}
 WRAPPERS = {"header", "form", "fieldset", "dialog"}
 SMALL = 0.3
 SCOPE = set("ul ol dl table article section div body html main".split())
@@ -57,10 +61,10 @@ NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|
 class Node:
     """A block element; inline elements leave only their text in ``parts``."""
 
-    __slots__ = ("tag", "names", "parts", "parent", "out", "hint", "children")
+    __slots__ = ("tag", "names", "label", "parts", "parent", "out", "hint", "children")
 
-    def __init__(self, tag: str, names: str, parent: Node | None):
-        self.tag, self.names, self.parent = tag, names, parent
+    def __init__(self, tag: str, names: str, parent: Node | None, label: str = ""):
+        self.tag, self.names, self.parent, self.label = tag, names, parent, label
         self.parts: list[str | Node] = []
         self.children: list[Node] = []
         whole = set(names.split())
@@ -78,8 +82,8 @@ class Node:
         return False
 
     def step(self) -> str:
-        """Tag and names as part of a path; "!" marks a named part."""
-        step = f"{self.tag}.{self.names.replace('/', '|')}" if self.names else self.tag
+        """Tag and classes as part of a path; "!" marks a named part."""
+        step = f"{self.tag}.{self.label}" if self.label else self.tag
         return step + "!" if self.hint else step
 
 
@@ -124,7 +128,8 @@ def parse(page: str) -> Node:
             if up is not None and up.tag == "p" and up.parent is not None:
                 node = up.parent
         names = " ".join(m[1].lower() if m[2] is None or m[1].lower() == "hidden" else m[2].strip("\"'").lower() for m in NAMED.finditer(found[3])) if found[3] else ""
-        child = Node(tag, names, node)
+        label = " ".join(re.sub(r"\d+", "#", m[2].strip("\"'").lower().replace("/", "|").replace("!", "|")) for m in NAMED.finditer(found[3]) if m[2] and m[1].lower() == "class") if names else ""
+        child = Node(tag, names, node, label)
         node.parts.append(child)
         node.children.append(child)
         if tag in RAW:
@@ -199,6 +204,19 @@ def kept_nodes(root: Node) -> Iterator[tuple[Node, str]]:
         stack += [(c, f"{path}/{c.step()}") for c in reversed(node.children)]
 
 
+def layout_of(page: str) -> str:
+    """A hash of the boxes on the top two levels, in any order and number; named parts come and go, so they don't count."""
+    root = parse(page)
+    top = next((c for c in root.children if c.tag == "body"), root)
+    found = set()
+    for a in top.children:
+        if a.tag in BOXES and not a.out and not a.hint:
+            found.add(a.step())
+            if a.tag not in ("article", "main"):
+                found.update(f"{a.step()}/{b.step()}" for b in a.children if b.tag in BOXES and not b.out and not b.hint)
+    return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+
+
 def tree_match(a: Node, b: Node, memo: dict[tuple[int, int], tuple[int, list]]) -> int:
     """The size of the largest order-keeping mapping; ``memo`` keeps the tables to trace it."""
     if a.tag != b.tag:
@@ -244,83 +262,93 @@ def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:
     return pairs
 
 
-def numbered(root: Node) -> dict[int, int]:
-    """The place in page order of each node that is not out."""
-    return {id(node): k for k, (node, _) in enumerate(kept_nodes(root))}
+def slots_of(reference: Node) -> list[tuple[Node, str, str]]:
+    """The reference's nodes with text, in page order: (node, path, text)."""
+    return [(node, path, text) for node, path in kept_nodes(reference) if (text := own_text(node))]
 
 
-def votes(reference: Node, order: dict[int, int], texts: dict[int, str], page: Node) -> tuple[list[tuple[int, bool]], Counter]:
-    """(reference node, same text?) for matched nodes with text, and characters of text by path."""
+def votes(reference: Node, slots: dict[int, tuple[int, str]], page: Node) -> tuple[str, Counter]:
+    """A character for each slot of the reference (0 unmatched, 1 other text, 2 same text), and characters of text by path."""
     chars: Counter = Counter()
     for node, path in kept_nodes(page):
         if n := len(own_text(node)):
             chars[path] += n
-    found, same_chars, all_chars = [], 0, 0
+    pattern = ["0"] * len(slots)
     for a, b in aligned(reference, page):
-        mine = texts.get(id(a))
-        if mine and not b.out:
-            same = own_text(b) == mine
-            found.append((order[id(a)], same))
-            all_chars += len(mine)
-            same_chars += len(mine) * same
-    return ([] if 2 * same_chars >= all_chars else found), chars
+        if id(a) in slots and not b.out:
+            k, text = slots[id(a)]
+            pattern[k] = "2" if own_text(b) == text else "1"
+    return "".join(pattern), chars
 
 
 def _vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: dict[str, tuple] = {}
-    matched, same, chars = defaultdict(int), defaultdict(int), defaultdict(int)
+    seen: dict[tuple, tuple] = {}
+    patterns, chars = Counter(), Counter()
+
+    def ballots() -> pd.DataFrame:
+        rows = [(*key, True, n) for key, n in patterns.items()] + [(*key, False, n) for key, n in chars.items()]
+        patterns.clear()
+        chars.clear()
+        return pd.DataFrame(rows, columns=["host", "__layout", "value", "is_pattern", "n"])
+
     for batch in batches:
-        for host, page, ref in zip(batch["host"], batch["html"], batch["reference"]):
-            if host not in seen:
+        for host, layout, page, ref in zip(batch["host"], batch["__layout"], batch["html"], batch["reference"]):
+            key = (host, layout)
+            if key not in seen:
                 if len(seen) > 500:
                     seen.clear()
                 root = parse(ref)
-                seen[host] = (root, numbered(root), {id(n): own_text(n) for n, _ in kept_nodes(root)})
-            nodes, lengths = votes(*seen[host], parse(page))
-            for k, equal in nodes:
-                matched[host, k] += 1
-                same[host, k] += equal
+                seen[key] = (root, {id(node): (k, text) for k, (node, _, text) in enumerate(slots_of(root))})
+            pattern, lengths = votes(*seen[key], parse(page))
+            patterns[(*key, pattern)] += 1
             for path, n in lengths.items():
-                chars[host, path] += n
-    rows = [(h, k, None, n, same[h, k]) for (h, k), n in matched.items()] + [(h, -1, path, n, 0) for (h, path), n in chars.items()]
-    yield pd.DataFrame(rows, columns=["host", "node", "path", "n", "same"])
+                chars[(*key, path)] += n
+        if len(patterns) + len(chars) > 100_000:
+            yield ballots()
+    yield ballots()
+
 
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 ul ol li dl table blockquote pre".split())
 
-def content_path(chars: dict[str, int], share: float = 0.9) -> str:
-    """Descend from the body while one child holds nearly all text; stop at an article or main."""
+
+def content_path(chars: dict[str, int]) -> str:
+    """The lowest node that holds all varying text: descend while one child has all of it; stop at an article or main."""
     under: Counter = Counter()
+    below: dict[str, set[str]] = defaultdict(set)
     for path, n in chars.items():
         steps = path.split("/")
         for k in range(len(steps)):
             under["/".join(steps[: k + 1])] += n
+            if k:
+                below["/".join(steps[:k])].add("/".join(steps[: k + 1]))
     here = "html"
-    while under:
-        below = [p for p in under if p.startswith(here + "/") and "/" not in p[len(here) + 1 :]]
-        best = max(below, key=lambda p: (under[p], p), default="")
-        if not best or under[best] < share * under[here] or best.rsplit("/", 1)[1].split(".")[0] in ("p", "h1", "h2", "h3", "ul", "ol", "li", "table", "blockquote", "pre"):
+    while True:
+        best = max(below[here], key=lambda p: (under[p], p), default="")
+        tag = best.rsplit("/", 1)[-1].split(".")[0].rstrip("!")
+        if not best or under[best] < under[here] or tag in TEXTUAL:
             return here
         here = best
-        if here.rsplit("/", 1)[1].split(".")[0] in ("article", "main"):
+        if tag in ("article", "main"):
             return here
-    return here
-
-
-def induce(reference: str, rows: list[tuple[int, str | None, int, int]], least_pages: int = 3, share: float = 0.9) -> str:
-    """The wrapper of a host as JSON: its content root and its template texts by path."""
-    root = parse(reference)
-    nodes = list(kept_nodes(root))
-    constant = {k for k, _, n, same in rows if k >= 0 and n >= least_pages and same >= share * n}
-    template = sorted({(path, own_text(node)) for k, (node, path) in enumerate(nodes) if k in constant})
-    fixed = {path for path, _ in template}
-    chars = {path: n for k, path, n, _ in rows if k < 0 and path is not None and path not in fixed}
-    under, total = Counter(), sum(chars.values())
-    for path, n in chars.items():
+
+
+def induce(reference: str, constant: dict[int, int], chars: dict[str, int], share: float = 0.9) -> tuple[str, list[str], list[tuple[str, str]]]:
+    """The wrapper of a layout: content root, named parts that stay, template texts by path. ``constant`` has
+    the template slots with the number of pages of the same text."""
+    slots = slots_of(parse(reference))
+    template, fixed = set(), Counter()
+    for k, same in constant.items():
+        template.add(slots[k][1:])
+        fixed[slots[k][1]] += same * len(slots[k][2])
+    varying = {path: n - fixed[path] for path, n in chars.items() if n - fixed[path] > (1 - share) * n}
+    under, total = Counter(), sum(varying.values())
+    for path, n in varying.items():
         steps = path.split("/")
         for k, step in enumerate(steps):
             if step.endswith("!"):
                 under["/".join(steps[: k + 1])] += n
     kept = sorted(path for path, n in under.items() if n >= SMALL * total)
-    return json.dumps({"root": content_path({path: n for path, n in chars.items() if not dropped(path, kept)}), "template": template, "kept": kept})
+    return content_path({path: n for path, n in varying.items() if not dropped(path, kept)}), kept, sorted(template)
 
 
 def dropped(path: str, kept: list[str] | set[str]) -> bool:
@@ -346,31 +374,64 @@ def extract_text(page: str, wrapper: dict) -> str:
             part, here = stack.pop()
             if isinstance(part, str):
                 out.append(part)
-            elif not part.out and not (part.hint and here not in kept) and not (template and (here, own_text(part)) in template and not part.children):
-                stack += [(p, here if isinstance(p, str) else f"{here}/{p.step()}") for p in reversed(own_blocks(part))]
+            elif not part.out and not (part.hint and here not in kept):
+                blocks = own_blocks(part)
+                if template and (here, own_text(part)) in template:
+                    blocks = [b for b in blocks if not isinstance(b, str)]
+                stack += [(p, here if isinstance(p, str) else f"{here}/{p.step()}") for p in reversed(blocks)]
     return "\n".join(out)
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", out: str = "text", reference_chars: int = 2000, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", out: str = "text", reference_chars: int = 2000, broadcast_bytes: int = 32 << 20, least_pages: int = 3, share: float = 0.9) -> DataFrame:
     """``pages`` with the main text of each page in ``out`` instead of the html."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     keep = [F.col(f"`{c}`") for c in pages.columns if c not in (html, out, "host")]
     rows = pages.select(*keep, host.alias("host"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
-    off = F.abs(F.log((F.length("html") + 1) / F.lit(float(reference_chars))))
-    chosen = settle(rows.groupBy("host").agg(F.min_by("html", F.struct(off.alias("off"), F.col(key).alias("id"))).alias("reference")))
-    size = chosen.agg(F.sum(F.length("reference")), F.count(F.lit(1))).first()
-    hosts, fits = size[1], int((size[0] or 0) <= broadcast_bytes)
-    small = small_side(chosen, hosts, hosts * fits)
-    ballots = rows.select("host", "html").join(small, "host").mapInPandas(_vote, "host string, node long, path string, n long, same long")
-    counts = ballots.groupBy("host", "node", "path").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
 
     @F.pandas_udf("string")
-    def wrap(refs: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([induce(r, [(v["node"], v["path"], v["n"], v["same"]) for v in (() if votes is None else votes)]) for r, votes in zip(refs, lists)])
+    def layout(htmls: pd.Series) -> pd.Series:
+        return pd.Series([layout_of(h) for h in htmls], dtype=object)
 
-    gathered = counts.groupBy("host").agg(F.collect_list(F.struct("node", "path", "n", "same")).alias("votes"))
-    # A host whose pages hold no text has no ballots, but its pages have rows.
-    wrappers = settle(chosen.join(gathered, "host", "left").select("host", wrap("reference", "votes").alias("wrapper")))
+    @F.pandas_udf("array<int>")
+    def lengths(refs: pd.Series) -> pd.Series:
+        return pd.Series([[len(text) for _, _, text in slots_of(parse(r))] for r in refs], dtype=object)
+
+    group = ["host", "__layout"]
+    rows = rows.withColumn("__layout", layout("html"))
+    off = F.abs(F.log((F.length("html") + 1) / F.lit(float(reference_chars))))
+    chosen = rows.groupBy(*group).agg(F.min_by("html", F.struct(off.alias("off"), F.col(key).alias("id"))).alias("reference"))
+    chosen = settle(chosen.withColumn("lengths", lengths("reference")))
+    size = chosen.agg(F.sum(F.length("reference")), F.count(F.lit(1))).first()
+    layouts, fits = size[1], int((size[0] or 0) <= broadcast_bytes)
+    small = small_side(chosen.drop("lengths"), layouts, layouts * fits)
+    ballots = rows.select(*group, "html").join(small, group).mapInPandas(_vote, "host string, __layout string, value string, is_pattern boolean, n long")
+    counts = settle(ballots.groupBy(*group, "value", "is_pattern").agg(F.sum("n").alias("n")))
+
+    marks = counts.where("is_pattern").select(*group, "value", "n", F.posexplode(F.filter(F.split("value", ""), lambda c: c != "")).alias("slot", "mark")).where("mark <> '0'")
+    marks = marks.withColumn("same", F.col("n") * (F.col("mark") == "2").cast("int"))
+    tally = marks.groupBy(*group, "slot").agg(F.sum("n").alias("pages"), F.sum("same").alias("same_pages"))
+    # What varies on the host weighs in whether a page repeats the reference; what never does says nothing.
+    weighed = tally.join(chosen.drop("reference"), group).select(*group, "slot", "same_pages", (F.expr("lengths[slot]") * (1 - F.col("same_pages") / F.col("pages"))).alias("weight"))
+    weighed = marks.join(weighed, [*group, "slot"])
+    own = weighed.groupBy(*group, "value").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("mark") == "2", F.col("weight")).otherwise(0.0)).alias("again")).where("2 * again < all").select(*group, "value")
+    constant = weighed.join(own, [*group, "value"], "left_semi").groupBy(*group, "slot").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.max("same_pages").alias("same_pages"))
+    constant = constant.where((F.col("n") >= least_pages) & (F.col("same") >= share * F.col("n")))
+    constant = constant.groupBy(*group).agg(F.collect_list(F.struct("slot", "same_pages")).alias("constant"))
+    paths = counts.where(~F.col("is_pattern")).groupBy(*group).agg(F.collect_list(F.struct("value", "n")).alias("paths"))
+
+    @F.pandas_udf("root string, kept array<string>, template array<struct<path: string, text: string>>")
+    def wrap(refs: pd.Series, constants: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        found = []
+        for ref, fixed, chars in zip(refs, constants, lists):
+            root, kept, template = induce(ref, {v["slot"]: v["same_pages"] for v in (() if fixed is None else fixed)}, {v["value"]: v["n"] for v in (() if chars is None else chars)}, share)
+            found.append((root, kept, [{"path": p, "text": t} for p, t in template]))
+        return pd.DataFrame(found, columns=["root", "kept", "template"])
+
+    # A layout whose pages hold no text has no ballots, but its pages have rows.
+    made = settle(chosen.join(constant, group, "left").join(paths, group, "left").select(*group, wrap("reference", "constant", "paths").alias("w")))
+    shared = made.groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("w.template"))).alias("template"))
+    whole = F.to_json(F.struct("w.root", "w.kept", F.transform("template", lambda t: F.array(t["path"], t["text"])).alias("template")))
+    wrappers = settle(made.join(shared, "host").select(*group, whole.alias("wrapper")))
 
     @F.pandas_udf("string")
     def text_of(htmls: pd.Series, jsons: pd.Series) -> pd.Series:
@@ -378,5 +439,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         return pd.Series([extract_text(h, known.get(w) or known.setdefault(w, json.loads(w))) if h else "" for h, w in zip(htmls, jsons)], dtype=object)
 
     length = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    joined = rows.join(small_side(wrappers, hosts, hosts * int(length <= broadcast_bytes)), "host")
+    joined = rows.join(small_side(wrappers, layouts, layouts * int(length <= broadcast_bytes)), group)
     return joined.select(*keep, text_of("html", "wrapper").alias(out))

@@ -249,3 +249,26 @@ def test_html_names_are_only_evidence(spark):
     for k in range(len(names)):
         assert [got[10 * k + i] for i in range(6)] == [f"Title {i}\nBody text number {i * 7} of the long article, which goes on and on {i}" for i in range(6)]
     assert [got[100 + i] for i in range(6)] == [f"Words {i} {i * 3} of the article" for i in range(6)]
+
+
+def test_html_keeps_all_that_varies_and_learns_each_layout(spark):
+    body = "A long and different body of the text with many words, number {0} and {1}, so that it holds most of the page {0}"
+    boiler = "This unmarked boilerplate says the same on each page of the host and is far longer than the short articles it stands beside."
+
+    def page(host, i):
+        if host == "lede":
+            return f"<body><h1>Head {i}</h1><div class='body' id='post-{i}'><p>{body.format(i, 7 * i)}</p></div><div class='by'>By {i}</div></body>"
+        if host == "short":
+            return f"<body><div class='a'>{boiler}</div><div class='b'><p>Short {i}</p></div></body>"
+        return f"<body><div class='a'>{boiler}</div><div class='b'><p>One {i}</p></div></body>" if i < 5 else f"<body><div class='c'><p>Two {i}</p></div><section>{boiler[::-1]}</section></body>"
+
+    hosts = ["lede", "short", "two"]
+    rows = [(100 * k + i, f"https://{h}.example/", page(h, i)) for k, h in enumerate(hosts) for i in range(10)]
+    # Copies of one article, with a date of their own, never make it template.
+    rows += [(300 + i, "https://copies.example/", f"<body><div><p>{body.format(1, 1)}</p><p>Date {i}</p></div></body>") for i in range(40)]
+    rows += [(350 + i, "https://copies.example/", f"<body><div><p>{body.format(i, i + 60)}</p><p>Date {i + 70}</p></div></body>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(10)] == [f"Head {i}\n{body.format(i, 7 * i)}\nBy {i}" for i in range(10)]
+    assert [got[100 + i] for i in range(10)] == [f"Short {i}" for i in range(10)]
+    assert [got[200 + i] for i in range(10)] == [f"{'One' if i < 5 else 'Two'} {i}" for i in range(10)]
+    assert [got[300 + i] for i in range(40)] == [f"{body.format(1, 1)}\nDate {i}" for i in range(40)]
