@@ -12,9 +12,9 @@ All steps are DataFrame expressions, no Python on the data. The benchmark's shin
 count shows them few, else both sides are shuffled. Text is read twice: for shared shingles in
 all documents, then for windows in those documents that have any.
 
-Cases: null texts and items without words never match; texts and items with fewer words than a shingle
-has are one shingle, so such an item only matches a text of that length; a document shorter than an
-item is one window; rows without ``doc_id`` or ``item_id`` are not reported; repeated rows give one
+Cases: null texts and items without words never match; an item with fewer words than a shingle has is one
+shingle, and texts get windows of its length with one shingle each, so it is found wherever it stands whole
+(one more reading of the texts for each such length); a document shorter than an item is one window; rows without ``doc_id`` or ``item_id`` are not reported; repeated rows give one
 result row; ties of the best window go to the first one; empty tables give an empty result.
 """
 
@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from hexagrove.llm.common import ascii_lower, settle, small_side, text_or_empty, words_of
 
 
+#: Every pair of 100,000 simulated near copies at the least similarity lay within it (README).
+RADIUS = 22
+
+
 def shingles_of(words: str, size: int) -> Column:
     """Hashes of the shingles of an array column of words, in place order."""
     whole = f"array(xxhash64(concat_ws(' ', {words})))"
@@ -48,7 +52,7 @@ def blocks(fingerprint: str, radius: int) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("no"), F.expr(f"shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L").alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text", size: int = 5, percent: int = 80, radius: int = 15, broadcast_rows: int = 1_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text", size: int = 5, percent: int = 80, radius: int = RADIUS, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows doc_id, item_id, start (in words), n_words, hamming, similarity: the best window of each pair."""
     read = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc_id"), words_of(ascii_lower(text_or_empty(text))).alias("words"))
     items = benchmark.where(F.col(f"`{item_key}`").isNotNull()).select(F.col(f"`{item_key}`").cast("long").alias("item_id"), words_of(ascii_lower(text_or_empty(item_text))).alias("words"))
@@ -57,6 +61,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_
     places = settle(items.select(F.posexplode("shingles").alias("place", "h"), "n_words").distinct())
     n_places = places.count()
     at = read.select("doc_id", F.size("words").alias("n_doc"), F.posexplode(shingles_of("words", size)).alias("at", "h"))
+    for n in sorted(r["n_words"] for r in items.where(F.col("n_words") < size).select("n_words").distinct().collect()):
+        short = F.expr(f"transform(sequence(0, size(words) - {n}), i -> xxhash64(concat_ws(' ', slice(words, i + 1, {n}))))")
+        at = at.unionByName(read.where(F.size("words") >= n).select("doc_id", F.size("words").alias("n_doc"), F.posexplode(short).alias("at", "h")))
     # One row for each window, however many of its shingles the item has.
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n_doc") - F.col("n_words")))
     windows = at.join(small_side(places, n_places, broadcast_rows), "h").select("doc_id", start.alias("start"), "n_words").distinct()

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hexagrove.llm import decontaminate, html_wrapper, jaccard_join, line_dedup, packing, quality_rules, rule_ensemble, secret_scan, sharding, token_counts
 from hexagrove.llm.queries import vocabulary
@@ -272,3 +273,25 @@ def test_html_keeps_all_that_varies_and_learns_each_layout(spark):
     assert [got[100 + i] for i in range(10)] == [f"Short {i}" for i in range(10)]
     assert [got[200 + i] for i in range(10)] == [f"{'One' if i < 5 else 'Two'} {i}" for i in range(10)]
     assert [got[300 + i] for i in range(40)] == [f"{body.format(1, 1)}\nDate {i}" for i in range(40)]
+
+
+def test_leaks_of_short_items_and_far_fingerprints(spark):
+    rng = random.Random(12)
+    items, rows = [(1, "zeta eta theta"), (2, "omega"), (3, "zeta  ETA theta iota")], [(1, sentence(rng, 40) + " Zeta eta\ntheta iota " + sentence(rng, 9)), (2, "omega"), (3, "zeta eta iota theta"), (4, sentence(rng, 9) + " omega")]
+    want = {(1, 1, 40), (1, 3, 40), (2, 2, 0), (4, 2, 9)}
+    # Near copies at the least similarity, four of forty words changed at the ends; those with unlike fingerprints.
+    pairs = []
+    for k in range(10, 1010):
+        w = [f"w{rng.randrange(900)}" for _ in range(40)]
+        pairs.append((k, w, ["x1", "x2", *w[2:38], "x3", "x4"]))
+    far = spark.createDataFrame(pairs, "k long, old array<string>, new array<string>")
+    far = far.where(F.bit_count(decontaminate.simhash("old").bitwiseXOR(decontaminate.simhash("new"))) > 15).collect()
+    assert far
+    for k, w, v in far:
+        a, b = (set(zip(*(x[i:] for i in range(5)))) for x in (w, v))
+        assert 100 * len(a & b) >= 80 * len(a | b)
+        items.append((k, " ".join(w)))
+        rows.append((k, " ".join(v)))
+        want.add((k, k, 0))
+    got = {(r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
