@@ -74,19 +74,27 @@ def weighted_context(points: DataFrame, values: list[str], ks: list[float], size
     return out.select("id", "k", "radius", "total", *stats)
 
 
-def nearest(points: DataFrame, others: DataFrame, size: float, most_ring: int = 256) -> DataFrame:
-    """(id, oid, distance): the nearest other of each point, the smaller id of equals."""
-    base, rest = written(binned(points, size)), binned(others, size)
-    rest = written(rest.select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("bx").alias("obx"), F.col("by").alias("oby")))
-    waiting, parts, ring = base.select("id", "x", "y", "bx", "by"), [], 1
+def nearest(points: DataFrame, others: DataFrame, size: float) -> DataFrame:
+    """(id, oid, distance): the nearest other of each point, the smaller id of equals.
+
+    Bins double in size, so that a far search looks in nine bins as well; it ends when nothing waits or
+    three bins side by side cover the measured extent of both tables.
+    """
+    waiting = written(points.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL"))
+    rest = written(others.select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy")).where("ox IS NOT NULL AND oy IS NOT NULL"))
+    both = waiting.select("x", "y").unionByName(rest.select(F.col("ox").alias("x"), F.col("oy").alias("y")))
+    width = both.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    parts = []
     while True:
-        best = candidates(waiting, rest, ring).groupBy("id").agg(F.min(F.struct("d", "oid")).alias("m")).select("id", "m.oid", F.col("m.d").alias("distance"))
-        best = written(best if ring >= most_ring else best.where(F.col("distance") <= sure(ring, size)))
+        last = size > width
+        best = candidates(binned(waiting, size), binned(rest, size, "ox", "oy").withColumnsRenamed({"bx": "obx", "by": "oby"}), 1)
+        best = best.groupBy("id").agg(F.min(F.struct("d", "oid")).alias("m")).select("id", "m.oid", F.col("m.d").alias("distance"))
+        best = written(best if last else best.where(F.col("distance") <= sure(1, size)))
         parts.append(best)
         waiting = written(waiting.join(best, "id", "left_anti"))
-        if ring >= most_ring or not waiting.limit(1).count():
+        if last or not waiting.limit(1).count():
             break
-        ring *= 2
+        size *= 2
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

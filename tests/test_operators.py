@@ -130,3 +130,13 @@ def test_stream_equals_table(spark, tmp_path):
     query = recent.windowed_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, recent.windowed_counts(events).collect()))
+
+
+def test_nearest_of_far_points(spark):
+    rng = random.Random(4)
+    schema = "id int, x double, y double"
+    near = [(i, rng.uniform(-1, 1), rng.uniform(-1, 1)) for i in range(8)] + [(8, 5000.0, -3000.0), (9, 90.0, 0.0)]
+    others = [(100 + i, rng.uniform(-1, 1), rng.uniform(-1, 1)) for i in range(5)] + [(200, 95.0, 95.0)]
+    want = {i: min((math.dist((x, y), o[1:]), o[0]) for o in others) for i, x, y in near}
+    got = {r["id"]: r for r in context.nearest(spark.createDataFrame(near, schema), spark.createDataFrame(others, schema), 0.5).collect()}
+    assert set(got) == set(want) and all(got[i]["oid"] == o and math.isclose(got[i]["distance"], d) for i, (d, o) in want.items())
