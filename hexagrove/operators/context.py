@@ -1,8 +1,8 @@
 """Multiscalar neighbourhood context, nearest joins and layer-to-cell aggregation in the plane.
 
-Neighbour searches are equi-joins on square bins: each point looks in the bins within ``ring`` steps, and is
+Neighbour searches are equi-joins on square bins: each point looks in its bin and the eight around, and is
 done once what it needs lies within the distance that those bins cover for certain; the rest goes on with
-twice the ring. Dense bins cost their own pairs only; no cross join.
+bins of twice the size. Dense bins cost their own pairs only; no cross join.
 """
 
 from __future__ import annotations
@@ -36,22 +36,24 @@ def sure(ring: int, size: float) -> float:
     return ring * size
 
 
-def weighted_context(points: DataFrame, values: list[str], ks: list[float], size: float, most_ring: int = 64) -> DataFrame:
+def weighted_context(points: DataFrame, values: list[str], ks: list[float], size: float) -> DataFrame:
     """For each id and k: nearest neighbours, itself first, until their weights reach k; the weighted means,
     weighted population deviations, the radius and the total. ``points``: id, x, y, w, values.
 
-    Ties of distance go by id. Points whose neighbours never reach k use all there are.
+    Ties of distance go by id. Points whose neighbours never reach k use all there are: bins
+    double until three side by side cover the measured extent.
     """
-    base = written(binned(points, size))
-    others = base.select(*(F.col(c).alias("o" + c) for c in ["id", "x", "y", "w", "bx", "by", *values]))
-    waiting, parts, ring = base.select("id", "x", "y", "bx", "by"), [], 1
+    base = written(points)
+    others = base.select(*(F.col(c).alias("o" + c) for c in ["id", "x", "y", "w", *values]))
+    width = base.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
+    waiting, parts = base.select("id", "x", "y"), []
     top = max(ks)
     order = Window.partitionBy("id").orderBy("d", "oid")
     while True:
-        last = ring >= most_ring
-        pairs = candidates(waiting, others, ring)
+        last = size > width
+        pairs = candidates(binned(waiting, size), binned(others, size, "ox", "oy").withColumnsRenamed({"bx": "obx", "by": "oby"}), 1)
         if not last:
-            pairs = pairs.where(F.col("d") <= sure(ring, size))
+            pairs = pairs.where(F.col("d") <= sure(1, size))
         run = pairs.withColumn("cs", F.sum("ow").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         run = written(run.where(F.col("cs") - F.col("ow") < top).select("id", "d", "cs", "ow", *("o" + v for v in values)))
         if last:
@@ -62,7 +64,7 @@ def weighted_context(points: DataFrame, values: list[str], ks: list[float], size
         waiting = written(waiting.join(done, "id", "left_anti"))
         if not waiting.limit(1).count():
             break
-        ring *= 2
+        size *= 2
     found = reduce(lambda a, b: a.unionByName(b), parts).withColumn("k", F.explode(F.array(*(F.lit(float(k)) for k in ks))))
     found = found.where(F.col("cs") - F.col("ow") < F.col("k"))
     moments = [F.sum(F.col("ow") * F.col("o" + v)).alias("s_" + v) for v in values] + [F.sum(F.col("ow") * F.col("o" + v) * F.col("o" + v)).alias("q_" + v) for v in values]

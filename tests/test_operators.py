@@ -140,3 +140,10 @@ def test_nearest_of_far_points(spark):
     want = {i: min((math.dist((x, y), o[1:]), o[0]) for o in others) for i, x, y in near}
     got = {r["id"]: r for r in context.nearest(spark.createDataFrame(near, schema), spark.createDataFrame(others, schema), 0.5).collect()}
     assert set(got) == set(want) and all(got[i]["oid"] == o and math.isclose(got[i]["distance"], d) for i, (d, o) in want.items())
+
+
+def test_context_of_far_points_uses_all(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 10.0), (2, 900.0, 0.0, 1.0, 20.0), (3, 0.0, 5000.0, 1.0, 60.0)], "id int, x double, y double, w double, v double")
+    got = {(r["id"], r["k"]): r for r in context.weighted_context(df, ["v"], [2.0, 9.0], 1.0).collect()}
+    assert [(got[i, 9.0]["total"], got[i, 9.0]["mean_v"]) for i in (1, 2, 3)] == [(3.0, 30.0)] * 3
+    assert (got[1, 2.0]["radius"], got[3, 2.0]["total"], got[3, 2.0]["radius"]) == (900.0, 2.0, 5000.0)
