@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,31 +31,62 @@ def words_of(column: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the shared one that the session names in ``spark.checkpoint.dir``."""
+    """A new folder in the shared one that the session names in ``spark.checkpoint.dir``.
+
+    Where none is named, a temporary folder serves a local session, in which driver and executors are
+    one process; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{named or tempfile.mkdtemp(prefix='shared')}/{uuid.uuid4().hex}"
+    if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="shared")
+    return f"{named}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed Parquet table in the shared folder; for wide rows that are read again."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage.
+class Tables:
+    """The intermediate Parquet tables of one call, each in the shared folder until it is dropped.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (local tests) a
-    temporary folder is named, because then driver and executors are one process.
+    A table may be dropped once all that reads it has been written itself: then no lost executor can
+    ask for it again.
     """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, shared_folder(spark)
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's shared checkpoint folder and cut its lineage."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def spare_name(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one where ``columns`` hold it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast of ``df`` only when its counted ``rows`` are within ``limit``."""
     return F.broadcast(df) if rows <= limit else df

@@ -1,12 +1,14 @@
 """Benchmark decontamination with SimHash windows.
 
-A window of a document that is similar to a benchmark item shares at least one word shingle with it, so
-windows are laid only where a shared shingle says an item of that size could stand: as many words as
-the item, starting where the shingle's place in the item puts the start. Windows and items get a 64-bit
-SimHash over their words. The 64 bits fall into ``radius + 1`` blocks: two fingerprints within the
-radius agree in a block, so joining on (size, block number, block value) finds all of them. Candidates
-within the radius are verified by exact weighted similarity of the shingle multisets (each shingle
-weighs as often as it occurs): overlap over union of at least ``percent``.
+A window of a document is as many words as an item has (the whole document if that is shorter). It is laid at
+every start at which it could reach the similarity: at ``percent`` of weighted shingle similarity, window and
+item share at least ``percent * (sum of both numbers of shingles) / (100 + percent)`` shingles, so the window
+must cover that many places whose shingle the item has. This bound loses no window. Windows and
+items get a 64-bit SimHash over their words. The 64 bits fall into ``radius + 1`` blocks: two fingerprints
+within the radius agree in a block, so joining windows and the items they were laid for on block number
+and value finds all of them. Candidates within the radius are verified by exact weighted similarity of
+the shingle multisets (each shingle weighs as often as it occurs): overlap over union of at least
+``percent``. With ``radius=None`` every window is verified, without the fingerprints.
 
 All steps are DataFrame expressions, no Python on the data. The benchmark's shingles are broadcast when a
 count shows them few, else both sides are shuffled. Text is read twice: for shared shingles in
@@ -15,7 +17,8 @@ all documents, then for windows in those documents that have any.
 Cases: null texts and items without words never match; an item with fewer words than a shingle has is one
 shingle, and texts get windows of its length with one shingle each, so it is found wherever it stands whole
 (one more reading of the texts for each such length); a document shorter than an item is one window; rows without ``doc_id`` or ``item_id`` are not reported; repeated rows give one
-result row; ties of the best window go to the first one; empty tables give an empty result.
+result row; ties of the best window go to the first one; empty tables give an empty result; other columns
+are not read, and ``drop_leaks`` passes them through.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import ascii_lower, settle, small_side, text_or_empty, words_of
+from hexagrove.llm.common import ascii_lower, settle, small_side, spare_name, text_or_empty, words_of
 
 
 #: Every pair of 100,000 simulated near copies at the least similarity lay within it (README).
@@ -41,9 +44,16 @@ def shingles_of(words: str, size: int) -> Column:
 
 def simhash(words: str) -> Column:
     """64-bit SimHash of an array column of words; a word counts as often as it occurs."""
-    hashes = f"transform({words}, w -> xxhash64(w))"
-    bits = f"transform(sequence(0, 63), b -> aggregate({hashes}, 0, (n, h) -> n + 2 * int(shiftrightunsigned(h, b) & 1) - 1))"
-    return F.expr(f"aggregate(transform({bits}, (n, b) -> if(n > 0, shiftleft(1L, b), 0L)), 0L, (x, y) -> x | y)")
+    # The lambda over one array binds the hashes: each word is hashed once, not once a bit.
+    bits = "transform(sequence(0, 63), b -> aggregate(hashes, 0, (n, h) -> n + 2 * int(shiftrightunsigned(h, b) & 1) - 1))"
+    packed = f"aggregate(transform({bits}, (n, b) -> if(n > 0, shiftleft(1L, b), 0L)), 0L, (x, y) -> x | y)"
+    return F.expr(f"transform(array(transform({words}, w -> xxhash64(w))), hashes -> {packed})[0]")
+
+
+def bag_of(shingles: str) -> Column:
+    """A multiset of hashes as a set: the second and later copies of a hash are hashed with their number."""
+    numbered = "transform(s, (h, i) -> if(i + 1 = array_position(s, h), h, xxhash64(h, i + 1 - array_position(s, h))))"
+    return F.expr(f"CASE WHEN size(array_distinct({shingles})) = size({shingles}) THEN {shingles} ELSE transform(array(array_sort({shingles})), s -> {numbered})[0] END")
 
 
 def blocks(fingerprint: str, radius: int) -> Column:
@@ -52,36 +62,46 @@ def blocks(fingerprint: str, radius: int) -> Column:
     return F.array(*(F.struct(F.lit(k).alias("no"), F.expr(f"shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L").alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text", size: int = 5, percent: int = 80, radius: int = RADIUS, broadcast_rows: int = 1_000_000) -> DataFrame:
+def laid() -> Column:
+    """The starts at which a window covers enough of the places ``hits`` (sorted) of the item's shingles."""
+    covered = "transform(sequence(0, size(hits) - need), k -> if(hits[k + need - 1] - hits[k] < in_window, sequence(greatest(0, hits[k + need - 1] - in_window + 1), least(hits[k], n_doc - w)), array()))"
+    return F.expr(f"CASE WHEN size(hits) >= need THEN array_distinct(flatten({covered})) ELSE cast(array() AS array<int>) END")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text", size: int = 5, percent: int = 80, radius: int | None = RADIUS, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Rows doc_id, item_id, start (in words), n_words, hamming, similarity: the best window of each pair."""
-    read = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc_id"), words_of(ascii_lower(text_or_empty(text))).alias("words"))
-    items = benchmark.where(F.col(f"`{item_key}`").isNotNull()).select(F.col(f"`{item_key}`").cast("long").alias("item_id"), words_of(ascii_lower(text_or_empty(item_text))).alias("words"))
-    items = items.where("size(words) > 0").dropDuplicates().withColumn("shingles", shingles_of("words", size)).withColumn("sorted", F.array_sort("shingles"))
-    items = settle(items.select("item_id", F.size("words").alias("n_words"), "shingles", simhash("words").alias("print"), F.expr("transform(sorted, (h, i) -> struct(h AS h, i - array_position(sorted, h) AS k))").alias("bag")))
-    places = settle(items.select(F.posexplode("shingles").alias("place", "h"), "n_words").distinct())
+    texts = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(f"`{text}`").alias("text"))
+    words = words_of(ascii_lower(F.col("text"))).alias("words")
+    read = texts.select("doc_id", words)
+    items = benchmark.where(F.col(f"`{item_key}`").isNotNull()).select(F.col(f"`{item_key}`").cast("long").alias("item_id"), words_of(ascii_lower(text_or_empty(f"`{item_text}`"))).alias("words"))
+    items = items.where("size(words) > 0").dropDuplicates().withColumn("shingles", shingles_of("words", size))
+    items = settle(items.select("item_id", F.size("words").alias("n_words"), "shingles", simhash("words").alias("item_print"), bag_of("shingles").alias("bag")))
+    places = settle(items.select(F.explode("shingles").alias("h"), "item_id", "n_words", F.size("shingles").alias("in_item")).distinct())
     n_places = places.count()
     at = read.select("doc_id", F.size("words").alias("n_doc"), F.posexplode(shingles_of("words", size)).alias("at", "h"))
     for n in sorted(r["n_words"] for r in items.where(F.col("n_words") < size).select("n_words").distinct().collect()):
         short = F.expr(f"transform(sequence(0, size(words) - {n}), i -> xxhash64(concat_ws(' ', slice(words, i + 1, {n}))))")
         at = at.unionByName(read.where(F.size("words") >= n).select("doc_id", F.size("words").alias("n_doc"), F.posexplode(short).alias("at", "h")))
-    # One row for each window, however many of its shingles the item has.
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.col("n_doc") - F.col("n_words")))
-    windows = at.join(small_side(places, n_places, broadcast_rows), "h").select("doc_id", start.alias("start"), "n_words").distinct()
-    windows = settle(windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words")).alias("windows")))
-    n_docs = windows.count()
-    there = read.join(small_side(windows, n_docs, 200_000), "doc_id").select("doc_id", "words", F.explode("windows").alias("w"))
-    there = there.select("doc_id", "w.start", "w.n_words", F.expr("slice(words, w.start + 1, w.n_words)").alias("words")).where("size(words) > 0")
-    there = there.withColumn("print", simhash("words")).withColumn("shingles", shingles_of("words", size)).drop("words")
-    there = settle(there)
-    left = there.select("doc_id", "start", "n_words", "print", "shingles", F.explode(blocks("print", radius)).alias("b"))
-    right = items.select("item_id", "n_words", F.col("print").alias("item_print"), "bag", F.explode(blocks("print", radius)).alias("b"))
-    near = left.join(small_side(right, n_places, broadcast_rows), ["n_words", "b"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
-    # A pair that agrees in several blocks is verified once, in the first of them.
-    agrees = F.expr("print ^ item_print")
-    first = F.least(*(F.when((agrees.bitwiseAND(F.lit(mask))) == 0, F.lit(k)) for k, mask in enumerate(_masks(radius))))
-    near = near.where((F.col("hamming") <= radius) & (F.col("b.no") == first))
-    near = near.withColumn("sorted", F.array_sort("shingles"))
-    near = near.withColumn("mine", F.expr("transform(sorted, (h, i) -> struct(h AS h, i - array_position(sorted, h) AS k))"))
+    pairs = at.join(small_side(places, n_places, broadcast_rows), "h").groupBy("doc_id", "n_doc", "item_id", "n_words", "in_item").agg(F.array_sort(F.collect_set("at")).alias("hits"))
+    pairs = pairs.withColumn("w", F.least("n_words", "n_doc")).withColumn("in_window", F.greatest(F.lit(1), F.col("w") - (size - 1)))
+    pairs = pairs.withColumn("need", F.ceil(percent * (F.col("in_item") + F.col("in_window")) / (100 + percent)).cast("int"))
+    pairs = settle(pairs.select("doc_id", "item_id", "n_words", "w", laid().alias("starts")).where("size(starts) > 0"))
+    n_starts = pairs.agg(F.coalesce(F.sum(F.size("starts") + 4), F.lit(0))).first()[0]
+    wanted = F.flatten(F.collect_list(F.expr("transform(starts, s -> struct(item_id, n_words, w, s AS start))")))
+    windows = texts.join(small_side(pairs.groupBy("doc_id").agg(wanted.alias("wanted")), n_starts, broadcast_rows), "doc_id").select("doc_id", words, "wanted")
+    windows = windows.select("doc_id", "words", F.explode("wanted").alias("p")).select("doc_id", "p.item_id", "p.n_words", "p.start", F.expr("slice(words, p.start + 1, p.w)").alias("words")).where("size(words) > 0")
+    windows = windows.withColumn("print", simhash("words")).withColumn("shingles", shingles_of("words", size)).drop("words")
+    on = ["item_id", "n_words"]
+    right = items.select(*on, "item_print", "bag")
+    if radius is not None:
+        windows, right, on = windows.withColumn("b", F.explode(blocks("print", radius))), right.withColumn("b", F.explode(blocks("item_print", radius))), [*on, "b"]
+    near = windows.join(small_side(right, n_places * (64 if radius is None else radius + 1), 16 * broadcast_rows), on).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
+    if radius is not None:
+        # A pair that agrees in several blocks is verified once, in the first of them.
+        agrees = F.expr("print ^ item_print")
+        first = F.least(*(F.when((agrees.bitwiseAND(F.lit(mask))) == 0, F.lit(k)) for k, mask in enumerate(_masks(radius))))
+        near = near.where((F.col("hamming") <= radius) & (F.col("b.no") == first))
+    near = near.withColumn("mine", bag_of("shingles"))
     near = near.withColumn("both", F.size(F.array_intersect("mine", "bag"))).withColumn("union", F.size("mine") + F.size("bag") - F.col("both"))
     hits = near.where(100 * F.col("both") >= percent * F.col("union"))
     best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("both") / F.col("union")).alias("similarity"), (-F.col("start")).alias("back"), "n_words", "hamming")).alias("m"))
@@ -95,7 +115,8 @@ def _masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", broadcast_rows: int = 1_000_000, **options) -> DataFrame:
     """``docs`` without the documents in which an item was found."""
-    leaks = find_leaks(docs, benchmark, key, **options).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(leaks, docs[key].cast("long") == F.col("__gone"), "left_anti")
+    gone = spare_name("gone", docs.columns)
+    leaks = settle(find_leaks(docs, benchmark, key, broadcast_rows=broadcast_rows, **options).select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(small_side(leaks, leaks.count(), broadcast_rows), F.col(f"`{key}`").cast("long") == F.col(gone), "left_anti")

@@ -22,15 +22,17 @@ columns are not read. Shingles are 64-bit hashes, equal sets are told by 128 bit
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import settle, small_side, text_or_empty
+from hexagrove.llm.common import Tables, small_side, spare_name, text_or_empty
 from hexagrove.llm.components import connected
 
 SIZE = 5
@@ -41,8 +43,11 @@ FREQUENT = 2_000_000
 HEAVY = 24
 #: Bounds of what counts as frequent; the first that leaves at most ``FREQUENT`` columns holds.
 LEAST = [HEAVY << k for k in range(40)]
-#: Rows in a block of the product; cells of an incidence slice.
-BLOCK, CELLS = 512, 8_000_000
+#: Rows, and shingles of these rows, in a block of the product; cells of an incidence slice.
+BLOCK, BLOCK_SHINGLES, CELLS = 512, 1_000_000, 8_000_000
+#: Bytes of text, and hashes of a text, that are turned into Python objects or summed up at once.
+PIECE, STEP = 500_000, 1_000_000
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mixed(z: np.ndarray) -> np.ndarray:
@@ -51,30 +56,75 @@ def mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str], size: int = SIZE) -> list[np.ndarray]:
+def pieces(text: bytes, most: int = PIECE) -> Iterator[bytes]:
+    """A text cut at white space into parts of about ``most`` bytes; a longer word stays whole."""
+    at = 0
+    while len(text) - at > most and (cut := WHITE.search(text, at + most)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def word_hashes(texts: list[bytes], most: int = PIECE) -> tuple[np.ndarray, list[int]]:
+    """The hashes of all words, A-Z lower-cased, and each text's number of words. So few words at a
+    time are Python objects that a text of any length needs eight bytes for a word."""
+    hashes, counts, held, size = [np.empty(0, np.uint64)], [], [], 0
+
+    def flush() -> None:
+        flat = np.empty(len(held), dtype=object)
+        flat[:] = held
+        if held:
+            hashes.append(pd.util.hash_array(flat, categorize=False))
+        held.clear()
+
+    for text in texts:
+        n = 0
+        for piece in pieces(text, most):
+            words = piece.lower().split()
+            held += words
+            n, size = n + len(words), size + len(piece)
+            if size >= most:
+                flush()
+                size = 0
+        counts.append(n)
+    flush()
+    return np.concatenate(hashes), counts
+
+
+def shingle_sets(texts: list[str] | list[bytes], size: int = SIZE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; A-Z lower-cased, words split at ASCII white space."""
-    words = [t.encode("utf-8", "replace").lower().split() for t in texts]
-    flat = np.empty(sum(map(len, words)), dtype=object)
-    flat[:] = list(chain.from_iterable(words))
-    hashes = pd.util.hash_array(flat, categorize=False) if len(flat) else np.empty(0, np.uint64)
+    hashes, counts = word_hashes([t.encode("utf-8", "replace") if isinstance(t, str) else t for t in texts])
     powers = [np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1) for k in range(size)]
-    if len(hashes) >= size:
-        run = len(hashes) - size + 1
-        rolled = mixed(sum((mixed(hashes[k : k + run] * powers[k]) for k in range(size)), np.zeros(run, np.uint64)))
+    rolled = np.empty(max(0, len(hashes) - size + 1), np.uint64)
+    for low in range(0, len(rolled), STEP):
+        n = min(STEP, len(rolled) - low)
+        rolled[low : low + n] = mixed(sum((mixed(hashes[low + k : low + k + n] * powers[k]) for k in range(size)), np.zeros(n, np.uint64)))
     out, at = [], 0
-    for w in words:
-        if len(w) >= size:
-            out.append(np.unique(rolled[at : at + len(w) - size + 1]))
-        elif w:
-            short = mixed(hashes[at : at + len(w)] * np.array(powers[: len(w)], np.uint64)).sum(dtype=np.uint64)
-            out.append(mixed(np.array([short ^ np.uint64(len(w))])))
+    for n in counts:
+        if n >= size:
+            out.append(np.unique(rolled[at : at + n - size + 1]))
+        elif n:
+            short = mixed(hashes[at : at + n] * np.array(powers[:n], np.uint64)).sum(dtype=np.uint64)
+            out.append(mixed(np.array([short ^ np.uint64(n)])))
         else:
             out.append(np.empty(0, np.uint64))
-        at += len(w)
+        at += n
     return out
 
 
-def _packed(hashes: list[np.ndarray], bits: int) -> Iterator[pd.DataFrame]:
+def sets_of(batches: Iterator[pa.RecordBatch], most: int = 2 * PIECE) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches with about ``most`` bytes of text, a longer text alone, and their sets."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield batch.slice(at, stop - at), shingle_sets(texts.slice(at, stop - at).to_pylist())
+            at = stop
+
+
+def _packed(hashes: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     """Counted 48-bit column numbers by bucket, sorted, as byte planes: most of them compress to nothing."""
     if not hashes:
         return
@@ -84,7 +134,7 @@ def _packed(hashes: list[np.ndarray], bits: int) -> Iterator[pd.DataFrame]:
     for k in np.flatnonzero(np.diff(cuts)):
         part = found[cuts[k] : cuts[k + 1]]
         rows.append((int(k), part.view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes(), np.minimum(n[cuts[k] : cuts[k + 1]], 2**31 - 1).astype(np.int32).tobytes()))
-    yield pd.DataFrame(rows, columns=["bucket", "planes", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "planes", "counts"])
 
 
 def _unpacked(planes: bytes) -> np.ndarray:
@@ -92,11 +142,10 @@ def _unpacked(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.pad(bytes6, ((0, 0), (0, 2)))).view(np.uint64).ravel()
 
 
-def _counter(bits: int, held: int = 4_000_000):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counter(bits: int, held: int = 2_000_000):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, n = [], 0
-        for batch in batches:
-            found = shingle_sets(batch["text"].tolist())
+        for _, found in sets_of(batches):
             kept += found
             n += sum(map(len, found))
             if n >= held:
@@ -119,7 +168,7 @@ def _frequent(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([([int((n > t).sum()) for t in LEAST], number[often].tobytes(), n[often].tobytes())], columns=["above", "number", "n"])
 
 
-def column_counts(docs: DataFrame, most: int = FREQUENT, bucket_bytes: int = 20_000_000) -> tuple[np.ndarray, np.ndarray]:
+def column_counts(docs: DataFrame, tables: Tables, most: int = FREQUENT, bucket_bytes: int = 20_000_000) -> tuple[np.ndarray, np.ndarray]:
     """The frequent columns' numbers, sorted, and in how many documents each is.
 
     All shingles of all documents are counted exactly. A column is frequent above the first of
@@ -127,8 +176,8 @@ def column_counts(docs: DataFrame, most: int = FREQUENT, bucket_bytes: int = 20_
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(5, int(size // bucket_bytes).bit_length())
-    parts = docs.select("text").mapInPandas(_counter(bits), "bucket long, planes binary, counts binary")
-    frequent = settle(parts.groupBy("bucket").applyInPandas(_frequent, "above array<long>, number binary, n binary"))
+    parts = docs.select("text").mapInArrow(_counter(bits), "bucket long, planes binary, counts binary")
+    frequent = tables.write("frequent", parts.groupBy("bucket").applyInPandas(_frequent, "above array<long>, number binary, n binary"))
     above = frequent.agg(*(F.sum(F.col("above")[k]) for k in range(len(LEAST)))).first()
     least = next((t for t, k in zip(LEAST, above) if (k or 0) <= most), 2**62)
 
@@ -138,6 +187,7 @@ def column_counts(docs: DataFrame, most: int = FREQUENT, bucket_bytes: int = 20_
             yield pd.DataFrame([(number[n > least].tobytes(), n[n > least].tobytes())], columns=["number", "n"])
 
     rows = frequent.select("number", "n").mapInPandas(cut, "number binary, n binary").collect()
+    tables.drop("frequent")
     number, n = (np.frombuffer(b"".join(row[k] for row in rows), t) for k, t in ((0, np.uint64), (1, np.int64)))
     order = np.argsort(number)
     return number[order], n[order]
@@ -155,20 +205,18 @@ def ranks_of(columns: np.ndarray, number: np.ndarray, n: np.ndarray) -> np.ndarr
 def fronts(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> DataFrame:
     """Per document: the set's size, its 128-bit digest and its first columns in the global order."""
 
-    def front(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc, s in zip(batch["doc_id"].tolist(), shingle_sets(batch["text"].tolist())):
-                n = len(s)
-                first = n - (percent * n + 99) // 100 + 1 if n else 0
-                order = np.lexsort((s, ranks_of(s, *counts)))[:first]
-                digest = (mixed(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64), mixed(s * np.uint64(0xD1342543DE82EF95)).sum(dtype=np.uint64))
-                rows.append((doc, n, *(int(np.uint64(d).view(np.int64)) for d in digest), s[order].view(np.int64)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "front"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+    def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sets in sets_of(batches):
+            n = np.array([len(s) for s in sets], np.int64)
+            d1 = np.array([mixed(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
+            d2 = np.array([mixed(s * np.uint64(0xD1342543DE82EF95)).sum(dtype=np.uint64) for s in sets], np.uint64)
+            first = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+            ordered = [s[np.lexsort((s, ranks_of(s, *counts)))[:k]] for s, k in zip(sets, first)]
+            offsets = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
+            front = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *ordered]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), *(pa.array(c.view(np.int64)) for c in (n, d1, d2)), front], names=["doc_id", "n", "d1", "d2", "front"])
 
-    return docs.mapInPandas(front, "doc_id long, n long, d1 long, d2 long, front array<long>")
+    return docs.mapInArrow(front, "doc_id long, n long, d1 long, d2 long, front array<long>")
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -210,17 +258,20 @@ def _products(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
-def _whole_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"rep": batch["rep"], "cluster": batch["cluster"], "cls": batch["cls"], "blocks": batch["blocks"], "shingles": [s.tobytes() for s in shingle_sets(batch["text"].tolist())]})
+def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, sets in sets_of(batches):
+        names = ["rep", "cluster", "cls", "blocks"]
+        yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
 
 
-def candidate_edges(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+def candidate_edges(rows: DataFrame, tables: Tables, percent: int = PERCENT) -> DataFrame:
     """``rows`` (rep, n, front) to edges (a, b) whose components hold every pair that can link."""
-    columns = rows.select("rep", "n", F.posexplode("front").alias("pos", "column"))
-    often = columns.groupBy("column").agg(F.count(F.lit(1)).alias("df"), F.min("rep").alias("hub")).where("df > 1")
-    shared = settle(columns.join(often, "column"))
-    light = shared.where(F.col("df") <= HEAVY).select("column", "rep", "n", "pos")
+    columns = rows.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("front").alias("pos", "column"))
+    # Dealt by column once, for the counts and for the join with them.
+    columns = columns.repartition("column")
+    often = columns.groupBy("column").agg(F.count(F.lit(1)).cast("int").alias("df"), F.min("rep").alias("hub")).where("df > 1")
+    shared = tables.write("shared", columns.join(often.hint("merge"), "column"))
+    light = shared.where(F.col("df") <= HEAVY).select("column", "rep", F.col("n").cast("long").alias("n"), "pos")
     a, b = light.toDF("column", "a", "na", "pa"), light.toDF("column", "b", "nb", "pb")
     pairs = a.join(b, "column").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
     seen = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("seen"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
@@ -231,31 +282,10 @@ def candidate_edges(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return kept.union(heavy).distinct()
 
 
-def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest id that its links reach."""
-    read = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    every = settle(fronts(read, column_counts(read)))
-    with_set = every.where("n > 0 AND doc_id IS NOT NULL")
-    rows = with_set.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min_by("front", "doc_id").alias("front"))
-    rows = settle(rows)
-    clusters = settle(connected(candidate_edges(rows.select("rep", "n", "front"))))
-    # Size classes: sets that link are in the same or in neighbouring ones.
-    cls = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("long")
-    members = rows.select(F.col("rep").alias("node"), "n").join(clusters, "node").select(F.col("node").alias("rep"), F.col("component").alias("cluster"), cls.alias("cls"))
-    members = settle(members)
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"))
-    per_class = members.groupBy("cluster", "cls").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    # A small cluster is one block; in a large one each class has its own blocks.
-    members = members.join(per_class, ["cluster", "cls"]).join(sizes, "cluster").withColumn("blocks", F.when(F.col("rows") > BLOCK, F.col("blocks")).otherwise(0)).drop("rows")
-    members = settle(members)
-    n_members = members.count()
-    texts = read.withColumnRenamed("doc_id", "rep").join(small_side(members, n_members, 500_000), "rep")
-    sets = texts.mapInPandas(_whole_sets, "rep long, cluster long, cls long, blocks long, shingles binary")
-    groups = max(1, -(-n_members // 2000))
-    small = sets.where("blocks = 0").withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(groups))).select(F.lit(0).cast("long").alias("kind"), F.col("task").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), "cluster", "rep", "shingles")
-    # A block meets every block of its own class that is not before it, and all of the next class.
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    large = sets.where("blocks > 0").withColumn("block", own)
+def blocked(sets: DataFrame, per_class: DataFrame) -> DataFrame:
+    """Rows of large clusters, each sent to every block that its own block meets: all of its own class
+    and of the two neighbouring ones."""
+    large = sets.where("blocks > 0").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     following = per_class.select("cluster", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("next_blocks"))
     previous = per_class.select("cluster", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("previous_blocks"))
     large = large.join(following, ["cluster", "cls"], "left").join(previous, ["cluster", "cls"], "left")
@@ -264,18 +294,49 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         F.expr("CASE WHEN next_blocks > 0 THEN transform(sequence(0, next_blocks - 1), k -> struct(cls * 2 + 1 AS x, block AS y, k AS z)) ELSE array() END"),
         F.expr("CASE WHEN previous_blocks > 0 THEN transform(sequence(0, previous_blocks - 1), k -> struct(cls * 2 - 1 AS x, k AS y, block AS z)) ELSE array() END"),
     )
-    large = large.withColumn("m", F.explode(meets)).select(F.lit(1).cast("long").alias("kind"), F.col("m.x").alias("x"), F.col("m.y").alias("y"), F.col("m.z").alias("z"), "cluster", "rep", "shingles")
+    return large.withColumn("m", F.explode(meets)).select(F.lit(1).cast("long").alias("kind"), F.col("m.x").alias("x"), F.col("m.y").alias("y"), F.col("m.z").alias("z"), "cluster", "rep", "shingles")
+
+
+def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest id that its links reach."""
+    tables = Tables(docs.sparkSession)
+    read = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(f"`{text}`").alias("text"))
+    every = tables.write("every", fronts(read, column_counts(read, tables)))
+    heads = every.select("doc_id", "n", "d1", "d2")
+    reps = tables.write("reps", heads.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
+    rows = every.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "d1", "d2", "front").join(reps, ["rep", "n", "d1", "d2"])
+    clusters = tables.write("clusters", connected(candidate_edges(rows.dropDuplicates(["rep", "n", "d1", "d2"]).select("rep", "n", "front"), tables)))
+    tables.drop("shared")
+    # Size classes: sets that link are in the same or in neighbouring ones.
+    cls = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("long")
+    members = tables.write("members", reps.select(F.col("rep").alias("node"), "n").join(clusters, "node").select(F.col("node").alias("rep"), "n", F.col("component").alias("cluster"), cls.alias("cls")))
+
+    def blocks(rows: str, shingles: str):
+        return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES))
+
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    per_class = members.groupBy("cluster", "cls").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).select("cluster", "cls", blocks("rows", "shingles").alias("blocks"))
+    # A small cluster is one block; in a large one each class has its own blocks.
+    whole = sizes.select("cluster", (blocks("rows", "shingles") > 1).alias("is_large"))
+    members = tables.write("placed", members.join(per_class, ["cluster", "cls"]).join(whole, "cluster").withColumn("blocks", F.when(F.col("is_large"), F.col("blocks")).otherwise(0)).drop("is_large"))
+    n_members, n_shingles = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    texts = read.withColumnRenamed("doc_id", "rep").join(small_side(members.drop("n"), n_members, 500_000), "rep")
+    sets = texts.mapInArrow(_whole_sets, "rep long, cluster long, cls long, blocks long, shingles binary")
+    groups = max(1, -(-n_shingles // BLOCK_SHINGLES))
+    small = sets.where("blocks = 0").withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(groups))).select(F.lit(0).cast("long").alias("kind"), F.col("task").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), "cluster", "rep", "shingles")
     keys = ["kind", "x", "y", "z"]
-    edges = small.groupBy(*keys).applyInPandas(_products, "a long, b long").union(large.groupBy(*keys, "cluster").applyInPandas(_products, "a long, b long"))
-    found = settle(connected(edges))
-    named = rows.select("d1", "d2", "n", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
-    out = every.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    edges = small.groupBy(*keys).applyInPandas(_products, "a long, b long").union(blocked(sets, per_class).groupBy(*keys, "cluster").applyInPandas(_products, "a long, b long"))
+    found = tables.write("found", connected(edges))
+    tables.drop("clusters", "members", "placed")
+    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+    out = heads.join(named, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with one document of each group of linked ones, that with the smallest id. Rows
     without an id stay."""
-    marks = components_of(docs, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(marks, docs[key].cast("long") == F.col("__gone"), "left_anti")
+    gone = spare_name("gone", docs.columns)
+    marks = Tables(docs.sparkSession).write("marks", components_of(docs, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(small_side(marks, marks.count(), broadcast_rows), F.col(f"`{key}`").cast("long") == F.col(gone), "left_anti")

@@ -4,16 +4,17 @@ Keys of lines that enough documents hold are hashed to 128 bits and dealt to sha
 its keys into a minimal perfect hash (levels of bit arrays: a key that is alone at its place in a
 level stays there, the others go on to the next) that indexes three compact arrays: a 64-bit
 fingerprint, the number of documents, and the document that keeps the line. Documents send their line
-hashes, never the lines, to the shards and probe the arrays; what comes back are the hashes that a
-document has to drop.
+hashes, never the lines, to the shards and probe the arrays; what comes back are the places of the lines
+that a document has to drop.
 
 Hot lines: counts are pre-aggregated before the shuffle, and a shard that gets many probes is
-copied to as many salted groups as its probes need, so that no group exceeds ``probe_rows``.
+copied to as many salted groups as its probes need, so that groups hold about ``probe_rows``.
 
 Cases: a null or empty text is one empty line; a row without ``doc_id`` holds no lines and keeps all
 its own; rows with one ``doc_id`` are one document for counting, and each gets its row; an empty table
-gives an empty result; other columns pass through ``dedup_lines``. A wrong drop needs two keys with
-equal 128-bit hashes.
+gives an empty result; other columns pass through ``dedup_lines``, those named ``n_lines`` or ``n_dropped``
+are replaced. Lines are counted by 128 bits; a line is dropped wrongly if its second 64 bits equal those of the
+one key at its place in the arrays, a chance of 2**-64 for each line.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import WHITE, ascii_lower, settle, small_side, text_or_empty
+from hexagrove.llm.common import WHITE, ascii_lower, settle, small_side, spare_name, text_or_empty
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -81,26 +82,25 @@ def _build_shard(keys: pd.DataFrame) -> pd.DataFrame:
 
 def _probe(arrays: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
     if arrays.empty or probes.empty:
-        return pd.DataFrame({"doc_id": [], "h2": []}).astype("int64")
+        return pd.DataFrame({"doc_id": [], "print": [], "at": []}).astype("int64")
     shard, levels, start = arrays.iloc[0], [], 0
     for size in shard["sizes"]:
         stop = start + -(-size // 8)
         levels.append(np.unpackbits(np.frombuffer(shard["bits"][start:stop], np.uint8), count=size).astype(bool))
         start = stop
     fingerprints, keepers = np.frombuffer(shard["fingerprints"], np.uint64), np.frombuffer(shard["keepers"], np.int64)
-    doc = probes["doc_id"].to_numpy(np.int64)
-    h2 = probes["h2"].to_numpy(np.int64)
-    at = index(levels, probes["h1"].to_numpy(np.int64).view(np.uint64), h2.view(np.uint64))
-    drop = (at >= 0) & (fingerprints[at] == h2.view(np.uint64)) & (keepers[at] != doc)
-    return pd.DataFrame({"doc_id": doc[drop], "h2": h2[drop]})
+    h1, h2 = (probes[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
+    at = index(levels, h1, h2)
+    drop = (at >= 0) & (fingerprints[at] == h2) & (keepers[at] != probes["doc_id"].to_numpy(np.int64))
+    return probes.loc[drop, ["doc_id", "print", "at"]]
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, shard_keys: int = 500_000, probe_rows: int = 400_000) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and ``n_lines`` and ``n_dropped``."""
-    lines = F.split(text_or_empty(text), "\n", -1)
-    keyed = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.filter(F.transform(lines, line_key), lambda k: F.char_length(k) >= min_chars).alias("keys"))
-    hashed = keyed.select("doc_id", F.array_distinct(F.transform("keys", lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2")))).alias("hashes"))
-    probes = settle(hashed.select("doc_id", F.explode("hashes").alias("h")).select("doc_id", "h.h1", "h.h2"))
+    whole = text_or_empty(f"`{text}`")
+    lines = F.split(whole, "\n", -1)
+    keyed = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(whole).alias("print"), F.posexplode(F.transform(lines, line_key)).alias("at", "k"))
+    probes = settle(keyed.where(F.char_length("k") >= min_chars).select("doc_id", "print", "at", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit(7), "k").alias("h2")))
     # Rows that share a doc_id are one document: count it once.
     shared = probes.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
     shared = settle(shared)
@@ -111,18 +111,16 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     load = probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / probe_rows).alias("groups"))
     load = settle(load)
     arrays = arrays.join(load, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-    probes = probes.join(small_side(load, n_shards, 100_000), "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("groups")))
-    # The hash of the document moves alike for all its lines; groups of one shard are even.
-    found = arrays.groupBy("shard", "salt").cogroup(probes.select("shard", "salt", "doc_id", "h1", "h2").groupBy("shard", "salt")).applyInPandas(_probe, "doc_id long, h2 long")
-    drops = found.groupBy("doc_id").agg(F.collect_set("h2").alias("__drops")).withColumnRenamed("doc_id", "__id")
-    joined = docs.drop("n_lines", "n_dropped").join(drops, docs[key].cast("long") == F.col("__id"), "left").drop("__id")
-    joined = joined.withColumn("__lines", F.split(text_or_empty(text), "\n", -1))
-
-    def stays(line: Column) -> Column:
-        k = line_key(line)
-        return ~((F.char_length(k) >= min_chars) & F.array_contains(F.col("__drops"), F.xxhash64(F.lit(7), k)))
-
-    joined = joined.withColumn("__kept", F.when(F.col("__drops").isNull(), F.col("__lines")).otherwise(F.filter("__lines", stays)))
-    joined = joined.withColumn("n_lines", F.size("__lines").cast("long")).withColumn("n_dropped", (F.size("__lines") - F.size("__kept")).cast("long"))
-    new_text = F.when(F.col("__drops").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))
-    return joined.select(*((new_text.alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns if c not in ("n_lines", "n_dropped")), "n_lines", "n_dropped")
+    probes = probes.join(small_side(load, n_shards, 100_000), "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.col("groups")))
+    found = arrays.groupBy("shard", "salt").cogroup(probes.select("shard", "salt", "doc_id", "print", "at", "h1", "h2").groupBy("shard", "salt")).applyInPandas(_probe, "doc_id long, print long, at int")
+    # The places of one document's lines, so each list is bounded by its text.
+    own, print_, drops = (spare_name(n, docs.columns) for n in ("own_id", "own_print", "drops"))
+    gone = found.groupBy(F.col("doc_id").alias(own), F.col("print").alias(print_)).agg(F.collect_set("at").alias(drops))
+    joined = docs.join(gone, (F.col(f"`{key}`").cast("long") == F.col(own)) & (F.xxhash64(whole) == F.col(print_)), "left").drop(own, print_)
+    n_lines = F.size(lines).cast("long")
+    # A set difference of places and one look-up for each that stays: linear in the number of lines.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drops))
+    rest = F.transform(F.array(F.struct(lines.alias("l"), stay.alias("s"))), lambda x: F.array_join(F.transform(x["s"], lambda i: F.get(x["l"], i)), "\n"))[0]
+    new_text = F.when(F.col(drops).isNull(), F.col(f"`{text}`")).otherwise(rest)
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return joined.select(*((new_text.alias(c) if c == text else F.col(f"`{c}`")) for c in keep), n_lines.alias("n_lines"), F.coalesce(F.size(drops), F.lit(0)).cast("long").alias("n_dropped"))

@@ -1,11 +1,14 @@
 """Secret scans by assignment-aware lexing.
 
 Source and configuration lines are lexed into pairs of a target name and its literal: ``name = "x"``,
-``name: x``, ``"name": "x"``, ``name := x``, ``name => x``, with ``export``/``const``/``let`` in front
-and strings joined by ``+``. A right side that is another name takes that name's literal from above
-(constant propagation), and the literal's own place is reported. A literal scores by how sensitive its
-target name is and by how random it looks; placeholders score nothing. Three plain kinds of pattern
-stand beside the lexer and their spans always stay.
+``name: x``, ``"name": "x"``, ``name := x``, ``name => x``, ``name: type = "x"``, with
+``export``/``const``/``let`` in front and strings joined by ``+``; names, blanks and literals of any length. A
+right side that is another name takes that name's literal from above (constant propagation), and the
+literal's own place is reported. A literal scores by how sensitive its target name is and by how random
+it looks; one with blanks by its longest part without any (whole, if the name speaks of a phrase);
+placeholders score nothing. A bare value without a digit counts only after ``=``, ``:=`` or ``=>``, or
+where it mixes kinds of letters: after a colon it is most often prose. Three plain kinds of pattern stand
+beside the lexer and their spans always stay.
 
 Spans are in code points, end exclusive. One narrow pass, no shuffle; whole texts.
 
@@ -32,22 +35,30 @@ KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # the same as runs of any length with those under 16 dropped
-NAME = r"[A-Za-z_][\w.\-]{0,80}"
-#: A target, an operator, and what stands right of it on the line; possessive parts keep it linear.
-PAIR = re.compile(rf"""(?<![\w.\-])["']?({NAME})["']?[ \t]{{0,8}}(?::=|=>|[:=])[ \t]{{0,8}}""", re.A)
-STRING = re.compile(r'"([^"\n]{0,4000})"|\'([^\'\n]{0,4000})\'', re.A)
-BARE = re.compile(r"[^\s\"'`,;(){}\[\]]+", re.A)
-PLUS = re.compile(r"[ \t]{0,8}\+[ \t]{0,8}", re.A)
+NAME = r"[A-Za-z_][\w.\-]*+"
+#: A target, an optional type, an operator. Possessive runs of any length: each is read once, so the
+#: lexer stays linear.
+TYPE = r"(?:[ \t]*+:[ \t]*+[A-Za-z_][\w.<>\[\]|?]*+(?=[ \t]*+=(?![=>])))?+"
+PAIR = re.compile(rf"""(?<![\w.\-])["']?({NAME})["']?{TYPE}[ \t]*+(:=|=>|[:=])[ \t]*+""", re.A)
+STRING = re.compile(r'"((?:[^"\\\n]++|\\.)*+)"|\'((?:[^\'\\\n]++|\\.)*+)\'|`((?:[^`\\\n]++|\\.)*+)`', re.A)
+BARE = re.compile(r"[^\s\"'`,;(){}\[\]]++", re.A)
+PLUS = re.compile(r"[ \t]*+\+[ \t]*+", re.A)
 REFERENCE = re.compile(rf"\$?\{{?({NAME})\}}?", re.A)
 #: Parts of target names and how sensitive they are (fixed values of this scanner).
-SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "apikey": 3, "token": 3, "privatekey": 3, "accesskey": 3, "credential": 2, "credentials": 2, "auth": 2, "bearer": 2, "signature": 1, "salt": 1, "key": 1}
-PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|todo|tbd|changeme|example.*|your.*|my.*|test.*|dummy.*|sample.*|<.*>|\$\{?.*|%.*%|\{\{.*)$", re.A)
+SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "mnemonic": 3, "secret": 3, "apikey": 3, "token": 3, "privatekey": 3, "accesskey": 3, "credential": 2, "credentials": 2, "auth": 2, "bearer": 2, "pass": 2, "signature": 1, "salt": 1, "key": 1}
+PHRASES = {"passphrase", "mnemonic"}
+PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|todo|tbd|changeme|(?:example|your|my|test|dummy|sample)(?:[^A-Za-z0-9][A-Za-z _.\-]*)?|<.*>|\$\{?.*|%.*%|\{\{.*)$", re.A)
 
 
-def sensitivity(name: str) -> int:
-    """The most sensitive part of a name, with its words read alone and in neighbouring pairs."""
+def words_in(name: str) -> set[str]:
+    """The words of a name, alone and in neighbouring pairs."""
     words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|\d+", name)]
-    return max((SENSITIVE.get(w, 0) for w in [*words, *(a + b for a, b in zip(words, words[1:]))]), default=0)
+    return {*words, *(a + b for a, b in zip(words, words[1:]))}
+
+
+def sensitivity(name: str) -> int:
+    """The most sensitive part of a name."""
+    return max((SENSITIVE.get(w, 0) for w in words_in(name)), default=0)
 
 
 def randomness(literal: str) -> float:
@@ -59,7 +70,10 @@ def randomness(literal: str) -> float:
 
 
 def scored(name: str, literal: str) -> float:
-    if len(literal) < 8 or PLACEHOLDER.match(literal) or any(c.isspace() for c in literal):
+    parts = literal.split()
+    if len(parts) > 1:
+        literal = "".join(parts) if PHRASES & words_in(name) else max(parts, key=len)
+    if len(literal) < 8 or PLACEHOLDER.match(literal):
         return 0.0
     return sensitivity(name) * randomness(literal) * min(1.0, len(literal) / 12)
 
@@ -69,19 +83,24 @@ def lexed_pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
     known: dict[str, tuple[str, int, int]] = {}
     at = 0
     while found := PAIR.search(text, at):
-        name, at = found[1], found.end()
+        name, operator, at = found[1], found[2], found.end()
         if m := STRING.match(text, at):
-            group = 1 if m[1] is not None else 2
+            group = m.lastindex
             literal, start, end, at = m[group], m.start(group), m.end(group), m.end()
+            parts = [literal]
             while (p := PLUS.match(text, at)) and (m := STRING.match(text, p.end())):
-                group = 1 if m[1] is not None else 2
-                literal, end, at = literal + m[group], m.end(group), m.end()
+                parts.append(m[m.lastindex])
+                end, at = m.end(m.lastindex), m.end()
+            literal = "".join(parts)
         elif m := BARE.match(text, at):
-            literal, start, end = m[0].rstrip(".:"), m.start(), m.start() + len(m[0].rstrip(".:"))
+            literal, start = m[0].rstrip(".:"), m.start()
+            end = start + len(literal)
             if (r := REFERENCE.fullmatch(literal)) and r[1] in known:
                 literal, start, end = known[r[1]]
-            elif not re.search(r"\d", literal) or "(" in text[m.end() : m.end() + 1]:
-                continue  # a bare word or a call: prose or code, not a literal
+            elif text[m.end() : m.end() + 1] == "(":
+                continue  # a call
+            elif not re.search(r"\d", literal) and (operator == ":" and not (re.search("[a-z]", literal) and re.search("[A-Z]", literal[1:]))):
+                continue  # prose
             else:
                 at = m.end()
         else:
