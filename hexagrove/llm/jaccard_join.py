@@ -9,6 +9,7 @@ for each other form clusters; a cluster's rows are multiplied in blocks: each ta
 incidence of two blocks, accumulates overlap counts over slices of columns and keeps the pairs that
 reach the threshold, as a spanning set of links. Exact: no row, column or partner is capped.
 
+Entries of the rows' fronts are dealt to buckets of columns, packed by bytes, and a task finds the pairs of a bucket.
 Columns that many rows have near their front (groups of near copies, shared passages) are never joined pair
 by pair: their rows enter a cluster through one row and meet in blocks only. Equal sets are one row.
 The order of columns comes from exact counts over all shingles of all documents; those of frequent
@@ -41,6 +42,8 @@ PERCENT = 80
 FREQUENT = 2_000_000
 #: A column with more rows than this near their fronts is not joined pair by pair.
 HEAVY = 24
+#: A column that more documents than this hold anywhere never meets in one task.
+WIDE = 10_000
 #: Bounds of what counts as frequent; the first that leaves at most ``FREQUENT`` columns holds.
 LEAST = [HEAVY << k for k in range(40)]
 #: Rows, and shingles of these rows, in a block of the product; cells of an incidence slice.
@@ -211,12 +214,17 @@ def fronts(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray], percent: int
             d1 = np.array([mixed(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
             d2 = np.array([mixed(s * np.uint64(0xD1342543DE82EF95)).sum(dtype=np.uint64) for s in sets], np.uint64)
             first = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-            ordered = [s[np.lexsort((s, ranks_of(s, *counts)))[:k]] for s, k in zip(sets, first)]
+            ordered, wide = [], np.zeros(len(sets), np.int32)
+            for k, s in enumerate(sets):
+                rank = ranks_of(s, *counts)
+                order = np.lexsort((s, rank))[: first[k]]
+                ordered.append(s[order])
+                wide[k] = (rank[order] > WIDE).sum()
             offsets = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
             front = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *ordered]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), *(pa.array(c.view(np.int64)) for c in (n, d1, d2)), front], names=["doc_id", "n", "d1", "d2", "front"])
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), *(pa.array(c.view(np.int64)) for c in (n, d1, d2)), front, pa.array(wide)], names=["doc_id", "n", "d1", "d2", "front", "n_wide"])
 
-    return docs.mapInArrow(front, "doc_id long, n long, d1 long, d2 long, front array<long>")
+    return docs.mapInArrow(front, "doc_id long, n long, d1 long, d2 long, front array<long>, n_wide int")
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -264,28 +272,101 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
 
 
-def candidate_edges(rows: DataFrame, tables: Tables, percent: int = PERCENT) -> DataFrame:
-    """``rows`` (rep, n, front) to edges (a, b) whose components hold every pair that can link."""
-    columns = rows.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("front").alias("pos", "column"))
-    # Dealt by column once, for the counts and for the join with them.
-    columns = columns.repartition("column")
-    often = columns.groupBy("column").agg(F.count(F.lit(1)).cast("int").alias("df"), F.min("rep").alias("hub")).where("df > 1")
-    shared = tables.write("shared", columns.join(often.hint("merge"), "column"))
-    light = shared.where(F.col("df") <= HEAVY).select("column", "rep", F.col("n").cast("long").alias("n"), "pos")
-    a, b = light.toDF("column", "a", "na", "pa"), light.toDF("column", "b", "nb", "pb")
-    pairs = a.join(b, "column").where((F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
-    seen = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("seen"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    most = F.col("seen") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    kept = seen.where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
-    # Heavy columns: their rows meet in one cluster through the smallest row, in size classes of factor t.
-    heavy = shared.where(F.col("df") > HEAVY).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    return kept.union(heavy).distinct()
+def planes(values: np.ndarray) -> bytes:
+    """Fixed-width numbers byte by byte: where they are sorted or small, most of it compresses to nothing."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(parts: pd.Series, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(width, -1).T).view(kind).ravel() for p in parts])
+
+
+ENTRIES = ("columns", np.uint64), ("reps", np.int64), ("n", np.int32), ("pos", np.int32)
+
+
+def _entries(bits: int, held: int = 400_000):
+    """Rows (rep, n, front) to their entries, packed by bucket of columns."""
+
+    def packed(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        columns, *others = (np.concatenate(c) for c in zip(*rows))
+        order = np.argsort(columns, kind="stable")
+        columns, others = columns[order], [c[order] for c in others]
+        cuts = np.append(np.searchsorted(columns >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)), len(columns))
+        out = [(int(k), *(planes(c[cuts[k] : cuts[k + 1]]) for c in (columns, *others))) for k in np.flatnonzero(np.diff(cuts))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), *[pa.binary()] * 4))], names=["bucket", *(name for name, _ in ENTRIES)])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for batch in batches:
+            fronts = batch.column(batch.schema.get_field_index("front"))
+            lengths = pc.list_value_length(fronts).to_numpy(zero_copy_only=False).astype(np.int64)
+            columns = fronts.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            rep, n = (np.repeat(batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False), lengths) for c in ("rep", "n"))
+            pos = np.arange(len(columns)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            if len(columns):
+                kept.append((columns, rep.astype(np.int64), n.astype(np.int32), pos.astype(np.int32)))
+                size += len(columns)
+            if size >= held:
+                yield packed(kept)
+                kept, size = [], 0
+        if kept:
+            yield packed(kept)
+
+    return pack
+
+
+def _meetings(bucket: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+    """Pairs of rows that share columns of a bucket: in how many, and in how many they would have to at least."""
+    columns, rep, n, pos = (from_planes(bucket[name], kind) for name, kind in ENTRIES)
+    order = np.lexsort((rep, columns))
+    columns, rep, n, pos = columns[order], rep[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, columns[1:] != columns[:-1]])
+    df = np.diff(np.r_[first, len(columns)])
+    hub, shared_by = np.repeat(rep[first], df), np.repeat(df, df)
+    heavy = (shared_by > HEAVY) & (hub != rep)
+    found = [(hub[heavy], rep[heavy], np.full(int(heavy.sum()), -(2**30)))]
+    light = shared_by <= HEAVY
+    for d in range(1, HEAVY):
+        i = np.flatnonzero(light[:-d] & (columns[d:] == columns[:-d]))
+        if not len(i):
+            break
+        i = i[100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])]
+        need = -(-percent * (n[i] + n[i + d]) // (100 + percent))
+        rest = np.minimum(n[i] - 1 - pos[i], n[i + d] - 1 - pos[i + d])
+        can = 1 + np.minimum(pos[i], pos[i + d]) + rest >= need
+        i = i[can]
+        found.append((rep[i], rep[i + d], (need - rest)[can]))
+    a, b, least = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((b, a))
+    a, b, least = a[order], b[order], least[order]
+    start = np.flatnonzero(np.r_[len(a) > 0, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+    seen = np.diff(np.r_[start, len(a)]) if len(a) else start
+    return pd.DataFrame({"a": a[start], "b": b[start], "seen": seen.astype(np.int32), "least": (np.maximum.reduceat(least, start) if len(a) else least).astype(np.int32)})
+
+
+def candidate_edges(rows: DataFrame, n_columns: int, percent: int = PERCENT, entries: int = 400_000, broadcast_rows: int = 500_000) -> DataFrame:
+    """``rows`` (rep, n, front, n_wide) to edges (a, b) whose components hold every pair that can link.
+
+    A pair is kept if the columns seen so far reach what its sizes ask for, less all that can follow the
+    last of them. Columns of more than ``WIDE`` documents (the last ``n_wide`` of a front) never meet in one
+    task: their rows are joined with the smallest of them.
+    """
+    bits = max(1, int(n_columns // entries).bit_length())
+    narrow = rows.select("rep", "n", F.slice("front", F.lit(1), F.size("front") - F.col("n_wide")).alias("front"))
+    packed = narrow.mapInArrow(_entries(bits), "bucket long, columns binary, reps binary, n binary, pos binary")
+    met = packed.groupBy("bucket").applyInPandas(lambda bucket: _meetings(bucket, percent), "a long, b long, seen int, least int")
+    kept = met.groupBy("a", "b").agg(F.sum("seen").alias("seen"), F.max("least").alias("least")).where("seen >= least").select("a", "b")
+    wide = rows.where("n_wide > 0").select("rep", F.explode(F.slice("front", F.size("front") - F.col("n_wide") + 1, F.col("n_wide"))).alias("column"))
+    hubs = wide.groupBy("column").agg(F.min("rep").alias("a"))
+    heavy = wide.join(small_side(hubs, hubs.count(), broadcast_rows), "column").where("a < rep").select("a", F.col("rep").alias("b"))
+    return kept.union(heavy)
 
 
 def blocked(sets: DataFrame, per_class: DataFrame) -> DataFrame:
     """Rows of large clusters, each sent to every block that its own block meets: all of its own class
     and of the two neighbouring ones."""
-    large = sets.where("blocks > 0").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    large = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     following = per_class.select("cluster", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("next_blocks"))
     previous = per_class.select("cluster", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("previous_blocks"))
     large = large.join(following, ["cluster", "cls"], "left").join(previous, ["cluster", "cls"], "left")
@@ -302,11 +383,14 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     tables = Tables(docs.sparkSession)
     read = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), text_or_empty(f"`{text}`").alias("text"))
     every = tables.write("every", fronts(read, column_counts(read, tables)))
-    heads = every.select("doc_id", "n", "d1", "d2")
+    heads = tables.write("heads", every.select("doc_id", "n", "d1", "d2"))
     reps = tables.write("reps", heads.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
-    rows = every.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "d1", "d2", "front").join(reps, ["rep", "n", "d1", "d2"])
-    clusters = tables.write("clusters", connected(candidate_edges(rows.dropDuplicates(["rep", "n", "d1", "d2"]).select("rep", "n", "front"), tables)))
-    tables.drop("shared")
+    rows = every.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "d1", "d2", "front", "n_wide").join(reps, ["rep", "n", "d1", "d2"])
+    n_columns = every.agg(F.coalesce(F.sum(F.size("front")), F.lit(0))).first()[0]
+    candidates = tables.write("candidates", candidate_edges(rows.dropDuplicates(["rep", "n", "d1", "d2"]).select("rep", "n", "front", "n_wide"), n_columns))
+    tables.drop("every")
+    clusters = tables.write("clusters", connected(candidates))
+    tables.drop("candidates")
     # Size classes: sets that link are in the same or in neighbouring ones.
     cls = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("long")
     members = tables.write("members", reps.select(F.col("rep").alias("node"), "n").join(clusters, "node").select(F.col("node").alias("rep"), "n", F.col("component").alias("cluster"), cls.alias("cls")))
@@ -321,11 +405,11 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     members = tables.write("placed", members.join(per_class, ["cluster", "cls"]).join(whole, "cluster").withColumn("blocks", F.when(F.col("is_large"), F.col("blocks")).otherwise(0)).drop("is_large"))
     n_members, n_shingles = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     texts = read.withColumnRenamed("doc_id", "rep").join(small_side(members.drop("n"), n_members, 500_000), "rep")
-    sets = texts.mapInArrow(_whole_sets, "rep long, cluster long, cls long, blocks long, shingles binary")
+    sets = "rep long, cluster long, cls long, blocks long, shingles binary"
     groups = max(1, -(-n_shingles // BLOCK_SHINGLES))
-    small = sets.where("blocks = 0").withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(groups))).select(F.lit(0).cast("long").alias("kind"), F.col("task").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), "cluster", "rep", "shingles")
+    small = texts.where("blocks = 0").mapInArrow(_whole_sets, sets).withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(groups))).select(F.lit(0).cast("long").alias("kind"), F.col("task").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), "cluster", "rep", "shingles")
     keys = ["kind", "x", "y", "z"]
-    edges = small.groupBy(*keys).applyInPandas(_products, "a long, b long").union(blocked(sets, per_class).groupBy(*keys, "cluster").applyInPandas(_products, "a long, b long"))
+    edges = small.groupBy(*keys).applyInPandas(_products, "a long, b long").union(blocked(texts.where("blocks > 0").mapInArrow(_whole_sets, sets), per_class).groupBy(*keys, "cluster").applyInPandas(_products, "a long, b long"))
     found = tables.write("found", connected(edges))
     tables.drop("clusters", "members", "placed")
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
