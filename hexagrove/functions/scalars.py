@@ -67,10 +67,17 @@ def slug(text: Column, default: str = "item") -> Column:
     return F.when(F.coalesce(trimmed, F.lit("")) == "", F.lit(default)).otherwise(trimmed)
 
 
+#: Words that tell a road's class (fixed values).
+ROADS = (("large", "stor|motor|major|primary"), ("medium", "mellem|mellan|medium|secondary"), ("small", "lille|small|minor|local|residential"))
+
+
 def road_class(text: Column) -> Column:
     """Later patterns win over earlier ones, so the chain asks for them first."""
     t = F.lower(folded(F.trim(text)))
-    return F.when(t.rlike("small|little|lille"), "small").when(t.rlike("medium|mellem"), "medium").when(t.rlike("large|stor|motor"), "large").otherwise("other")
+    found = None
+    for name, pattern in reversed(ROADS):
+        found = F.when(t.rlike(pattern), name) if found is None else found.when(t.rlike(pattern), name)
+    return found.otherwise("other")
 
 
 def code_point_hash(text: Column, digits: int = 6) -> Column:
@@ -83,33 +90,52 @@ def fingerprint(text: Column) -> Column:
     return F.substring(F.sha1(text), 1, 16)
 
 
-def numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
-
-
-#: Characters that broken encodings and typography put for plain ones (fixed values).
-PLAIN = (("–", "-"), ("—", "-"), ("−", "-"), (" ", " "), ("Â±", "±"), ("â€“", "-"))
+#: Characters that broken encodings and typography put for plain ones, in order (fixed values).
+PLAIN = (("\u00a0", " "), ("Ãƒâ€šÃ‚Â±", "+/-"), ("Ã„â€¦", "+/-"), ("ÃƒÂ¢Ã¢â€šÂ¬Ã¢â‚¬Å“", "-"), ("Ã¢â‚¬â€œ", "-"), ("Ã¢Ë†â€™", "-"), ("Ã‚Â±", "+/-"), ("±", "+/-"), ("–", "-"))
+#: White space at the ends, as a class of Unicode spaces.
+BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def clean_text(text: Column) -> Column:
+    """Trimmed, with plain dashes and "+/-"; a null text and the text "nan" are empty."""
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{BLANK}+|{BLANK}+$", "")
+    out = trimmed
     for old, new in PLAIN:
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
-
-
-def parsed_value(text: Column) -> tuple[Column, Column]:
-    """(value, kind) of a text: one-sided bound, plus-minus, range (geometric mean) or single number."""
-    t = clean_text(text)
-    n = numbers(t)
-    kind = (
-        F.when(F.size(n) == 0, None)
-        .when(t.rlike("^[<>≤≥]"), "bound")
-        .when(t.contains("±"), "plus_minus")
-        .when(t.rlike(r"\d\s*-\s*\d") & (F.size(n) >= 2), "range")
-        .otherwise("single")
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.when(F.lower(trimmed) == "nan", "").otherwise(out)
+
+
+def numbers(text: Column) -> Column:
+    """All unsigned numbers of a text; a comma is a decimal point."""
+    plain = F.translate(clean_text(text), ",", ".")
+    return F.transform(F.regexp_extract_all(plain, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
+
+
+def parsed_value(text: Column, unit: str = "gwh_km2") -> Column:
+    """A struct of rule, source value and the low, mid and high area for a terawatt hour.
+
+    One-sided bounds anywhere in the text count for the middle alone and not in scenarios; a plus-minus
+    goes from the centre less the spread, where positive, to the centre plus it; the middle of a range is
+    geometric, arithmetic if an end is 0. A text without numbers gives null.
+    """
+    t, n = clean_text(text), numbers(text)
+    first, second = F.get(n, F.lit(0)), F.get(n, F.lit(1))
+    two = F.size(n) >= 2
+    rule = F.when(t.rlike("[<>≤≥]"), "one_sided_bound").when(two & t.contains("+/-"), "plus_minus").when(two & t.contains("-"), "range").otherwise("single_value")
+    low, high = F.least(first, second), F.greatest(first, second)
+    middle = F.when(rule == "range", F.when(low > 0, F.sqrt(low * high)).otherwise((low + high) / 2)).otherwise(first)
+    values = F.when(rule == "plus_minus", F.array(first, F.when(first > second, first - second), first + second)).when(rule == "range", F.array(low, middle, high)).when(rule == "single_value", F.array(first))
+    areas = F.transform(values, lambda v: km2_per_twh(v, F.lit(unit)))
+    mid = km2_per_twh(middle, F.lit(unit))
+    parsed = F.struct(
+        rule.alias("rule"),
+        middle.alias("value"),
+        F.array_min(areas).alias("low_km2_per_twh"),
+        mid.alias("mid_km2_per_twh"),
+        F.array_max(areas).alias("high_km2_per_twh"),
+        ((rule != "one_sided_bound") & mid.isNotNull()).alias("used_in_scenarios"),
     )
-    value = F.when(kind == "range", F.sqrt(n[0] * n[1])).when(F.size(n) > 0, n[0])
-    return value, kind
+    return F.when(F.size(n) > 0, parsed)
 
 
 #: Terawatt hours in one of each unit (fixed values).
@@ -127,7 +153,10 @@ def km2_per_twh(value: Column, unit: Column) -> Column:
 
 
 def percent_change(now: Column, before: Column) -> Column:
-    return F.when((F.abs(before) < 1e-9) & (F.abs(now) >= 1e-9), None).when(F.abs(before) < 1e-9, 0.0).otherwise((now - before) / before * 100)
+    """Change in percent of the size of ``before``; 0 without one, null from zero to anything else."""
+    now = F.coalesce(now, F.lit(0.0))
+    grown = F.when(F.abs(before) >= 1e-9, (now - before) / F.abs(before) * 100).when(F.abs(now) < 1e-9, 0.0)
+    return F.when(before.isNull(), 0.0).otherwise(grown)
 
 
 def mixed_colour(a: str, b: str, share: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexagrove.functions import hexgrid
-from hexagrove.functions.scalars import class_of
+from hexagrove.functions.scalars import class_of, finite
+from hexagrove.operators.allocation import running_totals
 
 BREAKS = [("very_low", 0.0, 25.0), ("low", 25.0, 45.0), ("medium", 45.0, 65.0), ("high", 65.0, 80.0), ("very_high", 80.0, 100.0)]
 
@@ -56,10 +57,30 @@ def min_max(df: DataFrame, column: str, out: str, top: float = 100.0, flat: floa
 
 
 def counts_before(df: DataFrame, column: str) -> DataFrame:
-    """For each distinct value how many rows lie before it and share it: ranks without a global sort of rows."""
+    """For each distinct value how many rows lie before it and share it; range-partitioned, so that no
+    task holds all values."""
     distinct = df.groupBy(column).agg(F.count(F.lit(1)).alias("__peers"))
-    order = Window.orderBy(column)
-    return distinct.withColumn("__before", F.sum("__peers").over(order) - F.col("__peers"))
+    return running_totals(distinct, [F.col(column)], "__peers").withColumn("__before", F.col("__before").cast("long")).drop("__rank")
+
+
+def overall_quantile_type8(df: DataFrame, column: str, p: float) -> DataFrame:
+    """One row: the median-unbiased quantile (type 8) of all known values, from counts of distinct values."""
+    known = df.where(F.col(column).isNotNull()).select(column)
+    n = F.col("__n")
+    place = (n + F.lit(1 / 3)) * p + F.lit(1 / 3)
+    ranks = [F.greatest(F.lit(1), F.least(n, F.floor(place) + k)) for k in (0, 1)]
+    held = [F.max(F.when((F.col("__before") < r) & (r <= F.col("__before") + F.col("__peers")), F.col(column))) for r in ranks]
+    counted = counts_before(known, column).crossJoin(F.broadcast(known.agg(F.count(F.lit(1)).alias("__n"))))
+    out = counted.agg(held[0].alias("__a"), held[1].alias("__b"), F.max(place - F.floor(place)).alias("__f"))
+    return out.select((F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias("quantile"))
+
+
+def robust_scaled(df: DataFrame, column: str, out: str, p: float = 0.99) -> DataFrame:
+    """0 to 1 over the quantile ``p`` of the positive values; unknown and infinite values are 0."""
+    x = F.coalesce(finite(F.col(column).cast("double")), F.lit(0.0))
+    df = df.withColumn("__x", x)
+    cap = overall_quantile_type8(df.where("__x > 0"), "__x", p).select(F.coalesce("quantile", F.lit(1.0)).alias("__cap"))
+    return df.crossJoin(F.broadcast(cap)).withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__x") / F.col("__cap")))).drop("__x", "__cap")
 
 
 def percent_rank_average(df: DataFrame, column: str, out: str) -> DataFrame:

@@ -213,11 +213,15 @@ def j13(spark, d):
     return context.nearest(every.where("w = 1"), every.where("w > 1"), 0.05).select("id", "oid", F.round("distance", 6).alias("distance"))
 
 
-@query("X4_robust_scale", "WITH r AS (SELECT l_orderkey, l_linenumber, l_discount, l_partkey, (SELECT quantile_cont(l_discount, 0.9) FROM lineitem WHERE l_discount > 0) AS cap FROM lineitem) SELECT l_orderkey, l_linenumber, round(least(1.0, l_discount / cap), 8) AS scaled FROM r")
+@query(
+    "X4_robust_scale",
+    """WITH v AS (SELECT l_orderkey, l_linenumber, l_extendedprice - 20000 AS x FROM lineitem), r AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM v WHERE x > 0),
+    q AS (SELECT *, (n + 1 / 3) * 0.99 + 1 / 3 AS place FROM r), c AS (SELECT max(x) FILTER (i = least(n, floor(place))) AS a, max(x) FILTER (i = least(n, floor(place) + 1)) AS b, max(place - floor(place)) AS f FROM q)
+    SELECT l_orderkey, l_linenumber, round(greatest(0.0, least(1.0, x / (a + (b - a) * f))), 8) AS scaled FROM v, c""",
+)
 def x4(spark, d):
-    li = read(spark, d, "lineitem")
-    cap = li.where("l_discount > 0").agg(F.percentile("l_discount", 0.9).alias("cap"))
-    return li.crossJoin(F.broadcast(cap)).select("l_orderkey", "l_linenumber", F.round(F.least(F.lit(1.0), F.col("l_discount") / F.col("cap")), 8).alias("scaled"))
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") - 20000).alias("x"))
+    return st.robust_scaled(li, "x", "scaled").select("l_orderkey", "l_linenumber", F.round("scaled", 8).alias("scaled"))
 
 
 @query("X6_factor_loadings")

@@ -24,20 +24,29 @@ def t3(spark, d):
     return read(spark, d, "nation").select("n_name", F.regexp_replace(F.regexp_replace(metric, "_count$", "_cnt"), "_length_m$", "_len").alias("short"))
 
 
-@query("T4_clean_text", "SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(coalesce(text, ''), '–', '-'), '—', '-'), '−', '-'), chr(160), ' '), '[\\t\\n\\f\\r\\x0B ]+', ' ', 'g')) AS t FROM documents")
+def cleaned_sql(text: str) -> str:
+    """The cleaning rule in SQL, from the fixed values."""
+    trimmed = f"regexp_replace(coalesce({text}, ''), '^{sc.BLANK}+|{sc.BLANK}+$', '', 'g')"
+    out = trimmed
+    for old, new in sc.PLAIN:
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"CASE WHEN lower({trimmed}) = 'nan' THEN '' ELSE {out} END"
+
+
+@query("T4_clean_text", f"SELECT doc_id, {cleaned_sql('text')} AS t FROM documents")
 def t4(spark, d):
-    docs = read(spark, d, "documents")
-    return docs.select("doc_id", sc.clean_text(F.coalesce("text", F.lit(""))).alias("t"))
+    return read(spark, d, "documents").select("doc_id", sc.clean_text(F.col("text")).alias("t"))
 
 
-@query("T5_numbers", r"SELECT doc_id, list_transform(regexp_extract_all(text, '\d+(?:\.\d+)?'), lambda x: x::DOUBLE) AS numbers FROM documents WHERE text IS NOT NULL")
+@query("T5_numbers", rf"SELECT doc_id, list_transform(regexp_extract_all(replace({cleaned_sql('text')}, ',', '.'), '\d+(?:\.\d+)?'), lambda x: x::DOUBLE) AS numbers FROM documents")
 def t5(spark, d):
-    return read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", sc.numbers(F.col("text")).alias("numbers"))
+    return read(spark, d, "documents").select("doc_id", sc.numbers(F.col("text")).alias("numbers"))
 
 
-@query("T7_road_class", "SELECT p_partkey, CASE WHEN p_name LIKE '%small%' OR p_name LIKE '%little%' THEN 'small' WHEN p_name LIKE '%medium%' THEN 'medium' WHEN p_name LIKE '%large%' THEN 'large' ELSE 'other' END AS road FROM part")
+@query("T7_road_class", "SELECT p_partkey, CASE WHEN regexp_matches(p_name, 'lille|small|minor|local|residential') THEN 'small' WHEN regexp_matches(p_name, 'mellem|mellan|medium|secondary') THEN 'medium' WHEN regexp_matches(p_name, 'stor|motor|major|primary') THEN 'large' ELSE 'other' END AS road FROM (SELECT p_partkey, lower(p_name) || CASE p_partkey % 5 WHEN 0 THEN ' primary road' WHEN 1 THEN ' secondary' WHEN 2 THEN ' local' WHEN 3 THEN ' motorway' ELSE '' END AS p_name FROM part)")
 def t7(spark, d):
-    return read(spark, d, "part").select("p_partkey", sc.road_class(F.col("p_name")).alias("road"))
+    added = F.when(F.col("p_partkey") % 5 == 0, " primary road").when(F.col("p_partkey") % 5 == 1, " secondary").when(F.col("p_partkey") % 5 == 2, " local").when(F.col("p_partkey") % 5 == 3, " motorway").otherwise("")
+    return read(spark, d, "part").select("p_partkey", sc.road_class(F.concat("p_name", added)).alias("road"))
 
 
 @query("T8_series_parse", "SELECT n_name, 'mean' AS stat, lower(n_name) AS series, n_regionkey * 50 AS k FROM nation")
@@ -102,18 +111,26 @@ def m5(spark, d):
     return read(spark, d, "part").where("p_size > 0").select("p_partkey", F.round(sc.km2_per_twh(F.col("p_size").cast("double"), unit), 8).alias("km2"))
 
 
-@query("M6_parsed_value", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN sqrt(p_size * (p_size + 4.0)) ELSE p_size::DOUBLE END AS value, CASE p_size % 4 WHEN 0 THEN 'range' WHEN 1 THEN 'bound' WHEN 2 THEN 'plus_minus' ELSE 'single' END AS kind FROM part")
+@query(
+    "M6_parsed_value",
+    """WITH r AS (SELECT p_partkey, p_size::DOUBLE AS a, CASE p_partkey % 5 WHEN 0 THEN 'range' WHEN 1 THEN 'one_sided_bound' WHEN 2 THEN 'plus_minus' WHEN 3 THEN 'single_value' END AS rule FROM part),
+    v AS (SELECT *, CASE rule WHEN 'range' THEN CASE WHEN least(a, 25) > 0 THEN sqrt(a * 25) ELSE (a + 25) / 2 END WHEN 'single_value' THEN a + 0.5 ELSE a END AS value FROM r),
+    s AS (SELECT *, CASE rule WHEN 'range' THEN [least(a, 25), value, greatest(a, 25)] WHEN 'plus_minus' THEN [value, a - 10, a + 10] WHEN 'single_value' THEN [value] ELSE [] END AS source FROM v),
+    k AS (SELECT *, list_transform(list_filter(source, lambda x: x > 0), lambda x: 1000 / x) AS km2 FROM s)
+    SELECT p_partkey, rule, round(CASE WHEN rule IS NOT NULL THEN value END, 8) AS value, round(list_min(km2), 8) AS low, round(CASE WHEN rule IS NOT NULL AND value > 0 THEN 1000 / value END, 8) AS mid, round(list_max(km2), 8) AS high,
+    CASE WHEN rule IS NOT NULL THEN rule <> 'one_sided_bound' AND value > 0 END AS used FROM k""",
+)
 def m6(spark, d):
     s = F.col("p_size").cast("string")
-    r = F.col("p_size") % 4
-    text = F.when(r == 0, F.concat(s, F.lit("–"), (F.col("p_size") + 4).cast("string"))).when(r == 1, F.concat(F.lit("<"), s)).when(r == 2, F.concat(s, F.lit(" ± 1"))).otherwise(s)
-    value, kind = sc.parsed_value(text)
-    return read(spark, d, "part").select("p_partkey", value.alias("value"), kind.alias("kind"))
+    r = F.col("p_partkey") % 5
+    text = F.when(r == 0, F.concat(F.lit(" 25–"), s)).when(r == 1, F.concat(F.lit("about < "), s)).when(r == 2, F.concat(s, F.lit(" ± 10"))).when(r == 3, F.concat(s, F.lit(",5"))).otherwise("nan")
+    v = sc.parsed_value(text)
+    return read(spark, d, "part").withColumn("v", v).select("p_partkey", "v.rule", F.round("v.value", 8).alias("value"), *(F.round(f"v.{c}_km2_per_twh", 8).alias(c) for c in ("low", "mid", "high")), F.col("v.used_in_scenarios").alias("used"))
 
 
-@query("M11_percent_change", "SELECT user_id, CASE WHEN abs(b) < 1e-9 AND abs(a) >= 1e-9 THEN NULL WHEN abs(b) < 1e-9 THEN 0 ELSE round((a - b) / b * 100, 6) END AS change FROM (SELECT user_id, sum(value) FILTER (event_type = 'click') AS a, coalesce(sum(value) FILTER (event_type = 'error'), 0) AS b FROM events GROUP BY 1)")
+@query("M11_percent_change", "SELECT user_id, CASE WHEN b IS NULL THEN 0 WHEN abs(b) >= 1e-9 THEN round((a - b) / abs(b) * 100, 6) WHEN abs(a) < 1e-9 THEN 0 END AS change FROM (SELECT user_id, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS a, -sum(value) FILTER (event_type = 'error') AS b FROM events GROUP BY 1)")
 def m11(spark, d):
-    by = read(spark, d, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "click", F.col("value"))).alias("a"), F.coalesce(F.sum(F.when(F.col("event_type") == "error", F.col("value"))), F.lit(0.0)).alias("b"))
+    by = read(spark, d, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "click", F.col("value"))).alias("a"), (-F.sum(F.when(F.col("event_type") == "error", F.col("value")))).alias("b"))
     return by.select("user_id", F.round(sc.percent_change(F.col("a"), F.col("b")), 6).alias("change"))
 
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from hexagrove.functions import hexgrid
-from hexagrove.functions.scalars import class_of, parsed_value, road_class, slug
+from hexagrove.functions.scalars import class_of, parsed_value, percent_change, road_class, slug
 from hexagrove.operators import allocation, context, factors, frames, potential, zones
 from hexagrove.operators.statistics import BREAKS
 from hexagrove.sources import sinks, tables
@@ -37,11 +37,16 @@ def test_acceptance_of_unknown_distances(spark):
 
 def test_values_slugs_and_roads(spark):
     def got(t):
-        value, kind = parsed_value(F.lit(t))
-        return one(spark, value), one(spark, kind)
-
-    assert got("12") == (12.0, "single") and got("3 ± 1") == (3.0, "plus_minus") and got("<5") == (5.0, "bound") and got("") == (None, None)
-    assert got("2–8") == (4.0, "range")
+        v = one(spark, parsed_value(F.lit(t).cast("string")))
+        return v and (v["rule"], round(v["value"], 6), *(x and round(x, 6) for x in (v["low_km2_per_twh"], v["mid_km2_per_twh"], v["high_km2_per_twh"])), v["used_in_scenarios"])
+
+    assert got("12,5") == ("single_value", 12.5, 80.0, 80.0, 80.0, True)
+    assert got("5 ± 3") == ("plus_minus", 5.0, 125.0, 200.0, 500.0, True) and got("3 +/- 5")[2:5] == (125.0, 333.333333, 333.333333)
+    assert got("8–2") == ("range", 4.0, 125.0, 250.0, 500.0, True) and got("0-4")[:4] == ("range", 2.0, 250.0, 500.0)
+    assert got("ca. <5") == ("one_sided_bound", 5.0, None, 200.0, None, False) and got("0") == ("single_value", 0.0, None, None, None, False)
+    assert got("") is None and got("NaN") is None and got(None) is None
+    assert [one(spark, percent_change(F.lit(a), F.lit(b).cast("double"))) for a, b in ((1.0, -2.0), (1.0, None), (1.0, 0.0), (0.0, 0.0))] == [150.0, 0.0, None, 0.0]
+    assert [one(spark, road_class(F.lit(t))) for t in ("primary road", "secondary", "minor", "little")] == ["large", "medium", "small", "other"]
     assert one(spark, slug(F.lit(" Ærø / Øst--7 "))) == "aro_ost_7" and one(spark, slug(F.lit("--"))) == "item"
     assert [one(spark, road_class(F.lit(t))) for t in ("Stor vej", "Mellem lille", "motor", None)] == ["large", "small", "large", "other"]
 
