@@ -17,7 +17,7 @@ sends a few rows for each task. Paths hold classes without digits and no ids, wh
 Reference pages and wrappers, one each for a layout, are broadcast only when their measured size allows, else
 both sides are joined by host and layout.
 
-Cases: a null or empty page gives an empty text; unclosed, unknown and broken tags are read leniently; a
+Cases: pages of any depth are read; names below ``DEEP`` levels are no evidence; a null or empty page gives an empty text; unclosed, unknown and broken tags are read leniently; a
 page without a host shares the empty host; a layout with fewer than three different pages learns
 no template of its own; a page that lacks the content root falls back to its own article, main or body; equal pages each get a row; an
 empty table gives an empty result; other columns pass through, a column named like the output is replaced.
@@ -53,6 +53,8 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 BOXES = {"div", "section", "article", "main"}
 WRAPPERS = {"header", "form", "fieldset", "dialog"}
 SMALL = 0.3
+#: Levels that a path tells apart.
+DEEP = 100
 SCOPE = set("ul ol dl table article section div body html main".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
@@ -61,25 +63,23 @@ NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|
 class Node:
     """A block element; inline elements leave only their text in ``parts``."""
 
-    __slots__ = ("tag", "names", "label", "parts", "parent", "out", "hint", "children")
+    __slots__ = ("tag", "names", "label", "parts", "parent", "out", "hint", "children", "depth", "inside")
 
     def __init__(self, tag: str, names: str, parent: Node | None, label: str = ""):
         self.tag, self.names, self.parent, self.label = tag, names, parent, label
         self.parts: list[str | Node] = []
         self.children: list[Node] = []
         whole = set(names.split())
-        inside = parent is not None and parent.within_article()
+        self.depth = 0 if parent is None else parent.depth + 1
+        within = parent is not None and parent.inside
+        self.inside = within or tag in ("article", "main")
         fixed = tag in ("html", "body", "main")
-        self.out = not fixed and (tag in OUT_TAGS or (not inside and tag == "header") or "hidden" in whole)
-        self.hint = not fixed and (bool(OUT_NAMES.intersection(whole)) or (not inside and "header" in whole))
-
-    def within_article(self) -> bool:
-        node: Node | None = self
-        while node is not None:
-            if node.tag in ("article", "main"):
-                return True
-            node = node.parent
-        return False
+        self.out = not fixed and (tag in OUT_TAGS or (not within and tag == "header") or "hidden" in whole)
+        self.hint = self.depth <= DEEP and not fixed and (bool(OUT_NAMES.intersection(whole)) or (not within and "header" in whole))
+
+    def path_under(self, path: str) -> str:
+        """The path below a parent's path; nodes deeper than ``DEEP`` go by that of their ancestor there."""
+        return path if self.depth > DEEP else f"{path}/{self.step()}"
 
     def step(self) -> str:
         """Tag and classes as part of a path; "!" marks a named part."""
@@ -201,7 +201,7 @@ def kept_nodes(root: Node) -> Iterator[tuple[Node, str]]:
         if node.out:
             continue
         yield node, path
-        stack += [(c, f"{path}/{c.step()}") for c in reversed(node.children)]
+        stack += [(c, c.path_under(path)) for c in reversed(node.children)]
 
 
 def layout_of(page: str) -> str:
@@ -217,32 +217,48 @@ def layout_of(page: str) -> str:
     return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
 
 
-def tree_match(a: Node, b: Node, memo: dict[tuple[int, int], tuple[int, list]]) -> int:
-    """The size of the largest order-keeping mapping; ``memo`` keeps the tables to trace it."""
-    if a.tag != b.tag:
-        return 0
-    if not a.children or not b.children:
-        return 1
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key][0]
-    table = [[0] * (len(b.children) + 1)]
-    for x in a.children:
-        above, row = table[-1], [0]
-        for j, y in enumerate(b.children):
-            best = above[j + 1] if above[j + 1] > row[j] else row[j]
-            if x.tag == y.tag:
-                w = above[j] + (tree_match(x, y, memo) if x.children and y.children else 1)
-                best = w if w > best else best
-            row.append(best)
-        table.append(row)
-    memo[key] = (1 + table[-1][-1], table)
-    return memo[key][0]
+def tree_match(a: Node, b: Node, memo: dict[tuple[int, int], tuple[int, int, list]]) -> int:
+    """The size of the largest order-keeping mapping. ``memo`` keeps for each pair of nodes with children
+    its size, how many children match in pairs from the first on (no other mapping of leaves is larger), and
+    the table of the rest. Children come before their parents, without recursion: pages may be deep."""
+
+    def size(x: Node, y: Node) -> int:
+        if x.tag != y.tag:
+            return 0
+        return memo[id(x), id(y)][0] if x.children and y.children else 1
+
+    stack = [(a, b)] if a.tag == b.tag and a.children and b.children else []
+    while stack:
+        x, y = stack[-1]
+        if (id(x), id(y)) in memo:
+            stack.pop()
+            continue
+        inner, others = [c for c in x.children if c.children], [d for d in y.children if d.children]
+        waiting = [(c, d) for c in inner for d in others if c.tag == d.tag and (id(c), id(d)) not in memo]
+        if waiting:
+            stack += waiting
+            continue
+        stack.pop()
+        paired = 0
+        for c, d in zip(x.children, y.children):
+            if c.tag != d.tag or c.children or d.children:
+                break
+            paired += 1
+        table = [[0] * (len(y.children) - paired + 1)]
+        for c in x.children[paired:]:
+            above, row = table[-1], [0]
+            for j, d in enumerate(y.children[paired:]):
+                best = above[j + 1] if above[j + 1] > row[j] else row[j]
+                w = above[j] + size(c, d) if c.tag == d.tag else 0
+                row.append(w if w > best else best)
+            table.append(row)
+        memo[id(x), id(y)] = (1 + paired + table[-1][-1], paired, table)
+    return size(a, b)
 
 
 def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """The node pairs of the mapping, traced back through the tables."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
+    memo: dict[tuple[int, int], tuple[int, int, list]] = {}
     tree_match(a, b, memo)
     pairs, stack = [], [(a, b)]
     while stack:
@@ -250,7 +266,9 @@ def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:
         pairs.append((x, y))
         if (id(x), id(y)) not in memo:
             continue
-        table, i, j = memo[id(x), id(y)][1], len(x.children), len(y.children)
+        _, paired, table = memo[id(x), id(y)]
+        stack += zip(x.children[:paired], y.children[:paired])
+        i, j = len(table) - 1, len(table[0]) - 1
         while i and j:
             if table[i][j] == table[i - 1][j]:
                 i -= 1
@@ -258,7 +276,7 @@ def aligned(a: Node, b: Node) -> list[tuple[Node, Node]]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                stack.append((x.children[i], y.children[j]))
+                stack.append((x.children[paired + i], y.children[paired + j]))
     return pairs
 
 
@@ -364,7 +382,7 @@ def extract_text(page: str, wrapper: dict) -> str:
     template = {tuple(t) for t in wrapper["template"]}
     kept = set(wrapper["kept"])
     nodes = [(n, p) for n, p in kept_nodes(root) if not dropped(p, kept)]
-    tops = [(n, p) for n, p in nodes if p == wrapper["root"]]
+    tops = [(n, p) for n, p in nodes if n.depth <= DEEP and p == wrapper["root"]]
     if not tops:
         tops = [(n, p) for n, p in nodes if n.tag in ("article", "main")][:1] or [(n, p) for n, p in nodes if n.tag == "body"][:1] or [(root, "html")]
     out: list[str] = []
@@ -378,7 +396,7 @@ def extract_text(page: str, wrapper: dict) -> str:
                 blocks = own_blocks(part)
                 if template and (here, own_text(part)) in template:
                     blocks = [b for b in blocks if not isinstance(b, str)]
-                stack += [(p, here if isinstance(p, str) else f"{here}/{p.step()}") for p in reversed(blocks)]
+                stack += [(p, here if isinstance(p, str) else p.path_under(here)) for p in reversed(blocks)]
     return "\n".join(out)
 
 

@@ -295,3 +295,31 @@ def test_leaks_of_short_items_and_far_fingerprints(spark):
         want.add((k, k, 0))
     got = {(r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == want
+
+
+def test_tree_match_equals_the_plain_recursion():
+    rng = random.Random(5)
+
+    def tree(depth: int) -> str:
+        return "".join(f"<{t}>{tree(depth - 1) if depth else 'x'}</{t}>" for t in rng.choices(["div", "section", "p"], k=rng.randrange(4)))
+
+    def plain(a, b) -> int:
+        if a.tag != b.tag:
+            return 0
+        table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children):
+            for j, y in enumerate(b.children):
+                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + plain(x, y))
+        return 1 + table[-1][-1]
+
+    for _ in range(200):
+        a, b = (html_wrapper.parse("<body>" + tree(3)) for _ in range(2))
+        assert html_wrapper.tree_match(a, b, {}) == plain(a, b) == len(html_wrapper.aligned(a, b))
+
+
+def test_html_deep_and_long_pages(spark):
+    pages = [(k, "http://deep.example/x", f"<html><body><div>Same menu of all pages</div>{'<div>' * depth}<p>Own text number {k} of the page.</p>") for k, depth in enumerate([3, 3, 3, 5000])]
+    pages += [(10 + k, "http://long.example/x", "<article>" + "".join(f"<p>line {k} {i}</p>" for i in range(n)) + "</article>") for k, n in enumerate([3, 4, 20_000])]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(f"Own text number {k} of the page." in got[k] for k in range(4))
+    assert got[12].split("\n") == [f"line 2 {i}" for i in range(20_000)]
