@@ -9,6 +9,12 @@ for each other form clusters; a cluster's rows are multiplied in blocks: each ta
 incidence of two blocks, accumulates overlap counts over slices of columns and keeps the pairs that
 reach the threshold, as a spanning set of links. Exact: no row, column or partner is capped.
 
+A cluster of one block is one product. In a larger one each block is first multiplied with itself and
+with a few pivot rows of the cluster; a row that links with a pivot lies in that pivot's ball. One minus the
+similarity is a metric, so a row can link with one of the ball only if its distance to the pivot is at most
+twice the bound: only such rows visit the ball, and only if not yet connected with it. Rows in no ball meet each other in
+blocks. A group of near copies thus costs its size, not its square.
+
 Entries of the rows' fronts are dealt to buckets of columns, packed by bytes, and a task finds the pairs of a bucket.
 Columns that many rows have near their front (groups of near copies, shared passages) are never joined pair
 by pair: their rows enter a cluster through one row and meet in blocks only. Equal sets are one row.
@@ -48,6 +54,9 @@ WIDE = 10_000
 LEAST = [HEAVY << k for k in range(40)]
 #: Rows, and shingles of these rows, in a block of the product; cells of an incidence slice.
 BLOCK, BLOCK_SHINGLES, CELLS = 512, 1_000_000, 8_000_000
+#: Rows of a large cluster that all its other rows are compared with first.
+PIVOTS = 24
+TASKS = "array<struct<kind: bigint, x: bigint, y: bigint, z: bigint, side: int>>"
 #: Bytes of text, and hashes of a text, that are turned into Python objects or summed up at once.
 PIECE, STEP = 500_000, 1_000_000
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
@@ -227,8 +236,8 @@ def fronts(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray], percent: int
     return docs.mapInArrow(front, "doc_id long, n long, d1 long, d2 long, front array<long>, n_wide int")
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Spanning links among the rows of a block: incidence times its transpose, slice by slice."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many columns each two rows of a block share: incidence times its transpose, slice by slice."""
     n = np.array([len(s) for s in sets])
     columns, at = np.unique(np.concatenate(sets), return_inverse=True)
     rows = np.repeat(np.arange(len(sets)), n)
@@ -245,12 +254,23 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> l
         incidence = np.zeros((len(sets), min(step, width - start)), np.float32)
         incidence[rows[lo:hi], at[lo:hi] - start] = 1
         overlap += incidence @ incidence.T
-    link = 100 * overlap >= percent * (n[:, None] + n[None, :] - overlap)
-    np.fill_diagonal(link, True)
-    label = np.arange(len(sets))
+    np.fill_diagonal(overlap, n)
+    return overlap
+
+
+def reaching(overlap: np.ndarray, percent: int) -> np.ndarray:
+    """Which two rows of a product have a similarity of ``percent`` or more."""
+    n = overlap.diagonal().astype(np.int64)
+    both = overlap.astype(np.int64)
+    return 100 * both >= percent * (n[:, None] + n[None, :] - both)
+
+
+def spanning(ids: np.ndarray, link: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect the same rows as all of ``link``."""
+    label = np.arange(len(ids))
     while True:
         # The smallest label among a row's links, then among those labels' own.
-        new_label = np.where(link, label[None, :], len(sets)).min(axis=1)
+        new_label = np.where(link, label[None, :], len(ids)).min(axis=1)
         new_label = new_label[new_label]
         if (new_label == label).all():
             break
@@ -258,20 +278,46 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> l
     return [(int(ids[k]), int(ids[i])) for i, k in enumerate(label) if i != k]
 
 
-def _products(group: pd.DataFrame) -> pd.DataFrame:
-    edges: list[tuple[int, int]] = []
+#: What a row (a, b) of a product says: a and b are connected, a lies in the ball of b, a may link into the ball of b.
+EDGE, HOME, VISIT = 0, 1, 2
+
+
+def _products(group: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
+    """Spanning links of a task's clusters; where pivots (``side`` 1) take part, also the places of the others."""
+    found: list[tuple[int, int, int]] = []
     for _, cluster in group.groupby("cluster", sort=False):
-        if len(cluster) > 1:
-            edges += linked(cluster["rep"].to_numpy(np.int64), [np.frombuffer(b, np.uint64) for b in cluster["shingles"]])
-    return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+        if len(cluster) < 2 and cluster["kind"].iat[0] != 1:
+            continue
+        ids = cluster["rep"].to_numpy(np.int64)
+        overlap = overlaps([np.frombuffer(b, np.uint64) for b in cluster["shingles"]])
+        link = reaching(overlap, percent)
+        found += [(a, b, EDGE) for a, b in spanning(ids, link)]
+        pivots = np.flatnonzero(cluster["side"].to_numpy() == 1)
+        if cluster["kind"].iat[0] != 1 or not len(pivots):
+            continue
+        near = reaching(overlap, max(0, 2 * percent - 100))
+        for i, k in enumerate(ids):
+            balls = pivots[link[i, pivots]]
+            home = i if cluster["side"].iat[i] == 1 else balls[np.argmin(ids[balls])] if len(balls) else None
+            if home is not None:
+                found.append((int(k), int(ids[home]), HOME))
+            found += [(int(k), int(ids[p]), VISIT) for p in pivots[near[i, pivots]] if p != home]
+    return pd.DataFrame(found, columns=["a", "b", "code"]).astype({"a": "int64", "b": "int64", "code": "int32"})
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, sets in sets_of(batches):
-        names = ["rep", "cluster", "cls", "blocks"]
+        names = ["rep", "cluster", "tasks"]
         yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(c)) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
 
 
+def multiplied(texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The products of all tasks: ``texts`` (rep, cluster, tasks, text), a text's set made once and sent to each of its tasks."""
+    sets = texts.mapInArrow(_whole_sets, f"rep long, cluster long, tasks {TASKS}, shingles binary")
+    sent = sets.withColumn("t", F.explode("tasks")).select("t.*", "cluster", "rep", "shingles")
+    return sent.groupBy("kind", "x", "y", "z").applyInPandas(lambda group: _products(group, percent), "a long, b long, code int")
+
+
 def planes(values: np.ndarray) -> bytes:
     """Fixed-width numbers byte by byte: where they are sorted or small, most of it compresses to nothing."""
     return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
@@ -363,19 +409,58 @@ def candidate_edges(rows: DataFrame, n_columns: int, percent: int = PERCENT, ent
     return kept.union(heavy)
 
 
-def blocked(sets: DataFrame, per_class: DataFrame) -> DataFrame:
-    """Rows of large clusters, each sent to every block that its own block meets: all of its own class
-    and of the two neighbouring ones."""
-    large = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+def blocks(rows: str, shingles: str):
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("long")
+
+
+def task(kind: int, x: str, y: str, z: str, side: str) -> str:
+    return f"named_struct('kind', {kind}L, 'x', {x}, 'y', {y}, 'z', {z}, 'side', {side})"
+
+
+def first_tasks(members: DataFrame) -> DataFrame:
+    """``members`` (rep, n, cluster) with their tasks: a small cluster is one product (several in a task); in a large one
+    each block meets itself and all pivots, about ``PIVOTS`` rows picked by hash, fewer where rows are long."""
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).withColumn("blocks", blocks("rows", "shingles"))
+    groups = max(1, -(-(members.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES))
+    pivots = F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.floor(F.lit(BLOCK_SHINGLES / 4) / (F.col("shingles") / F.col("rows")))))
+    placed = members.join(sizes, "cluster").withColumn("is_pivot", (F.col("blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(1)), "rows") < pivots))
+    own = "pmod(xxhash64(rep), blocks)"
+    tasks = f"""CASE WHEN blocks = 1 THEN array({task(0, f"pmod(xxhash64(cluster), {groups}L)", "0L", "0L", "0")})
+        WHEN is_pivot THEN transform(sequence(0L, blocks - 1), k -> {task(1, "cluster", "k", "0L", "1")})
+        ELSE array({task(1, "cluster", own, "0L", "0")}) END"""
+    return placed.select("rep", "n", "cluster", (F.col("blocks") > 1).alias("is_large"), F.expr(tasks).alias("tasks"))
+
+
+def second_tasks(large: DataFrame, homes: DataFrame, visits: DataFrame) -> DataFrame:
+    """The products that the pivots leave: the rows of a ball with each of its visitors, block by block, and
+    the rows in no ball with each other, those of a size class with their own and the neighbouring classes'.
+
+    ``large`` (rep, n, cluster, cls), ``homes`` (rep, pivot), ``visits`` (rep, pivot).
+    """
+    inside = large.join(homes, "rep").join(visits.select("pivot").distinct(), "pivot")
+    outside = visits.join(large, "rep")
+
+    def numbered(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("pivot").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).select("pivot", blocks("rows", "shingles").alias(name))
+
+    counts = numbered(inside, "insides").join(numbered(outside, "outsides"), "pivot")
+    balls = inside.join(counts, "pivot").select("rep", "cluster", F.expr(f"transform(sequence(0L, outsides - 1), k -> {task(2, 'pivot', 'pmod(xxhash64(rep), insides)', 'k', '0')})").alias("tasks"))
+    guests = outside.join(counts, "pivot").select("rep", "cluster", F.expr(f"transform(sequence(0L, insides - 1), k -> {task(2, 'pivot', 'k', 'pmod(xxhash64(rep), outsides)', '0')})").alias("tasks"))
+
+    free = large.join(homes, "rep", "left_anti")
+    # Those of a cluster that fit in one block need no classes.
+    whole = free.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).where("rows > 1").select("cluster", (blocks("rows", "shingles") == 1).alias("is_one"))
+    free = free.join(whole, "cluster").withColumn("cls", F.when(F.col("is_one"), F.lit(0)).otherwise(F.col("cls")).cast("long"))
+    per_class = free.groupBy("cluster", "cls").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).select("cluster", "cls", blocks("rows", "shingles").alias("blocks"))
     following = per_class.select("cluster", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("next_blocks"))
     previous = per_class.select("cluster", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("previous_blocks"))
-    large = large.join(following, ["cluster", "cls"], "left").join(previous, ["cluster", "cls"], "left")
-    meets = F.concat(
-        F.expr("transform(sequence(0, blocks - 1), k -> struct(cls * 2 AS x, least(k, block) AS y, greatest(k, block) AS z))"),
-        F.expr("CASE WHEN next_blocks > 0 THEN transform(sequence(0, next_blocks - 1), k -> struct(cls * 2 + 1 AS x, block AS y, k AS z)) ELSE array() END"),
-        F.expr("CASE WHEN previous_blocks > 0 THEN transform(sequence(0, previous_blocks - 1), k -> struct(cls * 2 - 1 AS x, k AS y, block AS z)) ELSE array() END"),
-    )
-    return large.withColumn("m", F.explode(meets)).select(F.lit(1).cast("long").alias("kind"), F.col("m.x").alias("x"), F.col("m.y").alias("y"), F.col("m.z").alias("z"), "cluster", "rep", "shingles")
+    free = free.join(per_class, ["cluster", "cls"]).join(following, ["cluster", "cls"], "left").join(previous, ["cluster", "cls"], "left").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    # The kind tells a class's own products and those with the next class apart; the task holds one cluster.
+    tasks = f"""concat(transform(sequence(0L, blocks - 1), k -> {task(3, "xxhash64(cluster, cls)", "least(k, block)", "greatest(k, block)", "0")}),
+        CASE WHEN next_blocks > 0 THEN transform(sequence(0L, next_blocks - 1), k -> {task(4, "xxhash64(cluster, cls)", "block", "k", "0")}) ELSE array() END,
+        CASE WHEN previous_blocks > 0 THEN transform(sequence(0L, previous_blocks - 1), k -> {task(4, "xxhash64(cluster, cls - 1)", "k", "block", "0")}) ELSE array() END)"""
+    every = balls.union(guests).union(free.select("rep", "cluster", F.expr(tasks).alias("tasks")))
+    return every.select("rep", "cluster", F.explode("tasks").alias("t")).groupBy("rep", "cluster").agg(F.collect_list("t").alias("tasks"))
 
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,25 +478,27 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     tables.drop("candidates")
     # Size classes: sets that link are in the same or in neighbouring ones.
     cls = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("long")
-    members = tables.write("members", reps.select(F.col("rep").alias("node"), "n").join(clusters, "node").select(F.col("node").alias("rep"), "n", F.col("component").alias("cluster"), cls.alias("cls")))
-
-    def blocks(rows: str, shingles: str):
-        return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES))
-
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-    per_class = members.groupBy("cluster", "cls").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).select("cluster", "cls", blocks("rows", "shingles").alias("blocks"))
-    # A small cluster is one block; in a large one each class has its own blocks.
-    whole = sizes.select("cluster", (blocks("rows", "shingles") > 1).alias("is_large"))
-    members = tables.write("placed", members.join(per_class, ["cluster", "cls"]).join(whole, "cluster").withColumn("blocks", F.when(F.col("is_large"), F.col("blocks")).otherwise(0)).drop("is_large"))
-    n_members, n_shingles = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    texts = read.withColumnRenamed("doc_id", "rep").join(small_side(members.drop("n"), n_members, 500_000), "rep")
-    sets = "rep long, cluster long, cls long, blocks long, shingles binary"
-    groups = max(1, -(-n_shingles // BLOCK_SHINGLES))
-    small = texts.where("blocks = 0").mapInArrow(_whole_sets, sets).withColumn("task", F.pmod(F.xxhash64("cluster"), F.lit(groups))).select(F.lit(0).cast("long").alias("kind"), F.col("task").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), "cluster", "rep", "shingles")
-    keys = ["kind", "x", "y", "z"]
-    edges = small.groupBy(*keys).applyInPandas(_products, "a long, b long").union(blocked(texts.where("blocks > 0").mapInArrow(_whole_sets, sets), per_class).groupBy(*keys, "cluster").applyInPandas(_products, "a long, b long"))
-    found = tables.write("found", connected(edges))
-    tables.drop("clusters", "members", "placed")
+    members = tables.write("members", reps.select(F.col("rep").alias("node"), "n").join(clusters, "node").select(F.col("node").alias("rep"), "n", F.col("component").alias("cluster")))
+    tables.drop("clusters")
+    texts = read.withColumnRenamed("doc_id", "rep")
+
+    def with_texts(placed: DataFrame) -> DataFrame:
+        return texts.join(small_side(placed, placed.count(), 500_000), "rep")
+
+    placed = tables.write("placed", first_tasks(members))
+    first = tables.write("first", multiplied(with_texts(placed.select("rep", "cluster", "tasks"))))
+    large = placed.where("is_large").select("rep", "n", "cluster", cls.alias("cls"))
+    links = first.where(F.col("code") != VISIT).select("a", "b")
+    homes = first.where(F.col("code") == HOME).select(F.col("a").alias("rep"), F.col("b").alias("pivot")).distinct()
+    visits = first.where(F.col("code") == VISIT).select(F.col("a").alias("rep"), F.col("b").alias("pivot")).distinct()
+    # Visitors that are connected with the ball have nothing to look for in it.
+    near = tables.write("near", connected(links.join(large.select(F.col("rep").alias("a")), "a", "left_semi")))
+    left = visits.join(near.select(F.col("node").alias("rep"), F.col("component").alias("c1")), "rep", "left").join(near.select(F.col("node").alias("pivot"), F.col("component").alias("c2")), "pivot", "left")
+    visits = left.where("coalesce(c1, rep) <> coalesce(c2, pivot)").select("rep", "pivot")
+    rest = tables.write("rest", second_tasks(large, homes, tables.write("visits", visits)))
+    second = multiplied(with_texts(rest))
+    found = tables.write("found", connected(links.union(second.select("a", "b"))))
+    tables.drop("members", "placed", "first", "near", "visits", "rest")
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     out = heads.join(named, ["d1", "d2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -173,6 +173,41 @@ def test_jaccard_components(docs):
     assert sorted(known(jaccard_join.keep_one(docs))) == [i for i in range(len(sets)) if root(i) == i]
 
 
+def test_jaccard_of_clusters_beyond_one_block(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    rng = random.Random(11)
+    made = []
+    for family in range(2):
+        base = [f"w{rng.randrange(400)}" for _ in range(130)]
+        for _ in range(45):
+            words = list(base)
+            for k in rng.sample(range(130), rng.choice([0, 1, 2, 2, 3, 5, 8])):
+                words[k] = f"v{rng.randrange(10**6)}"
+            made.append(" ".join(words[rng.choice([0, 0, 10, 20]) :]))
+    # Half of one family in front of the other: far from both, in their cluster.
+    made += [" ".join(made[i].split()[:70] + made[-i - 1].split()[:70]) for i in range(12)]
+    sets = [shingles(t) for t in made]
+    component = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if component[i] != component[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                old, new = max(component[i], component[j]), min(component[i], component[j])
+                component = [new if c == old else c for c in component]
+    assert len(set(component)) > 10
+    kinds = set()
+    multiplied = jaccard_join.multiplied
+
+    def watched(texts):
+        kinds.update(r[0] for r in texts.selectExpr("explode(tasks) AS t").select("t.kind").distinct().collect())
+        return multiplied(texts)
+
+    monkeypatch.setattr(jaccard_join, "multiplied", watched)
+    got = known(jaccard_join.components_of(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")))
+    assert [got[i]["component_id"] for i in range(len(sets))] == component
+    assert {1, 2, 3} <= kinds
+
+
 def test_quality_counts_and_verdict(docs):
     got = known(quality_rules.score_quality(docs))
     for i, t in enumerate(texts()):
