@@ -206,11 +206,11 @@ def x1(spark, d):
     return out.select("id", "k", F.round("radius", 6).alias("radius"), "total", F.round("mean_v", 6).alias("mean_v"), F.round("std_v", 6).alias("std_v"))
 
 
-@query("J13_nearest", f"WITH {POINTS} SELECT a.id, arg_min(b.id, (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id)) AS oid, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS distance FROM p a, p b WHERE a.w = 1 AND b.w > 1 GROUP BY 1")
+@query("J13_nearest", f"WITH {POINTS} SELECT a.id, arg_min(b.id, (sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id)) AS oid, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS distance FROM p a, p b WHERE a.v < 0 AND b.v >= 0 GROUP BY 1")
 def j13(spark, d):
-    # Two layers of points by their weight.
+    # Two layers of points by the sign of their value.
     every = points(spark, d)
-    return context.nearest(every.where("w = 1"), every.where("w > 1"), 0.05).select("id", "oid", F.round("distance", 6).alias("distance"))
+    return context.nearest(every.where("v < 0"), every.where("v >= 0"), 0.05).select("id", "oid", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -226,27 +226,27 @@ def x4(spark, d):
 
 @query("X6_factor_loadings")
 def x6(spark, d):
-    return factors.loadings(spark, *factors.correlation(factors.vectors(read(spark, d, "embeddings"), "embedding", 12)), n_factors=3)
+    return factors.loadings(spark, *factors.correlation(factors.vectors(read(spark, d, "embeddings"), "embedding", 64)), n_factors=5)
 
 
 @query("X9_kmeans_sizes")
 def x9(spark, d):
-    return factors.kmeans(read(spark, d, "embeddings"), "embedding", range(3, 6), seeds=(1, 2))
+    return factors.kmeans(read(spark, d, "embeddings"), "embedding", range(5, 11), seeds=(1, 2))
 
 
 @query(
     "X10_silhouette",
-    """WITH p AS (SELECT vec_id AS id, embedding[1:8]::DOUBLE[] AS e, label FROM embeddings ORDER BY hash(vec_id) LIMIT 100000000), m AS (SELECT a.id, a.label AS ci, b.label AS cj, avg(list_distance(a.e, b.e)) AS d FROM p a, p b WHERE a.id <> b.id GROUP BY 1, 2, 3),
+    """WITH p AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings ORDER BY hash(vec_id) LIMIT 100000000), m AS (SELECT a.id, a.label AS ci, b.label AS cj, avg(list_distance(a.e, b.e)) AS d FROM p a, p b WHERE a.id <> b.id GROUP BY 1, 2, 3),
     s AS (SELECT id, ci, max(d) FILTER (ci = cj) AS own, min(d) FILTER (ci <> cj) AS other FROM m GROUP BY 1, 2) SELECT ci AS cluster, round(avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 6) AS silhouette, count(*) AS n FROM s GROUP BY 1""",
 )
 def x10(spark, d):
-    rows = read(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("e"), "label")
+    rows = read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
     return st.silhouette(rows, "vec_id", "e", "label").withColumn("silhouette", F.round("silhouette", 6))
 
 
 @query("X11_eigenvalues")
 def x11(spark, d):
-    return factors.eigenvalues(spark, factors.correlation(factors.vectors(read(spark, d, "embeddings"), "embedding", 12))[1])
+    return factors.eigenvalues(spark, factors.correlation(factors.vectors(read(spark, d, "embeddings"), "embedding", 64))[1])
 
 
 @query(

@@ -19,8 +19,7 @@ def grid(spark, d):
 
 @query("G1_points_per_hex")
 def g1(spark, d):
-    layer = points(spark, d).where("w > 1")
-    return context.points_per_hex(layer, grid(spark, d), EDGE, "v")
+    return context.points_per_hex(points(spark, d), grid(spark, d), EDGE, "v")
 
 
 @query("G2_line_length_per_hex")

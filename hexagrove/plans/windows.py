@@ -86,16 +86,16 @@ def w13(spark, d):
     return last.groupBy("user_id", "event_type").agg(F.median("value").alias("estimate"), F.count(F.lit(1)).alias("n"))
 
 
-@query("W14_forward_fill", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS header FROM conversations")
+@query("W14_forward_fill", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS header FROM conversations")
 def w14(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.when(F.col("role") == "user", F.substring("text", 1, 20))
+    header = F.when(F.col("role") == "user", F.col("text"))
     return read(spark, d, "conversations").select("conv_id", "turn", F.last(header, ignorenulls=True).over(w).alias("header"))
 
 
-@query("O1_six_key_sort", "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem WHERE l_quantity > 45 ORDER BY l_returnflag, l_quantity DESC, l_discount DESC, l_tax, l_orderkey, l_linenumber")
+@query("O1_six_key_sort", "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem ORDER BY l_returnflag, l_quantity DESC, l_discount DESC, l_tax, l_orderkey, l_linenumber")
 def o1(spark, d):
-    return read(spark, d, "lineitem").where("l_quantity > 45").orderBy("l_returnflag", F.desc("l_quantity"), F.desc("l_discount"), "l_tax", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    return read(spark, d, "lineitem").orderBy("l_returnflag", F.desc("l_quantity"), F.desc("l_discount"), "l_tax", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
 
 
 @query("O2_top_n_flag", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) <= 100)::INTEGER AS selected FROM orders")
@@ -111,7 +111,7 @@ def o4(spark, d):
     return read(spark, d, "part").groupBy(F.col("p_type").alias("best")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "best").limit(1)
 
 
-@query("O5_argmax_column", "SELECT vec_id, list_position(a, list_max(a)) AS strongest FROM (SELECT vec_id, list_transform(embedding[1:5], lambda x: abs(x)) AS a FROM embeddings)")
+@query("O5_argmax_column", "SELECT vec_id, list_position(a, list_max(a)) AS strongest FROM (SELECT vec_id, list_transform(embedding, lambda x: abs(x)) AS a FROM embeddings)")
 def o5(spark, d):
-    a = F.transform(F.slice("embedding", 1, 5), F.abs)
+    a = F.transform("embedding", F.abs)
     return read(spark, d, "embeddings").select("vec_id", F.array_position(a, F.array_max(a)).alias("strongest"))
