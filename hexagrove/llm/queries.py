@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexagrove.llm import decontaminate, html_wrapper, jaccard_join, line_dedup, packing, quality_rules, rule_ensemble, secret_scan, sharding, token_counts
+from hexagrove.llm import decontaminate, html_wrapper, jaccard_join, line_dedup, packing, quality_rules, rule_ensemble, secret_scan, sharding, substring_dedup, token_counts
 from hexagrove.llm.common import table, text_or_empty
 
 
@@ -68,7 +68,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_token_counts, op4_packing, op5_html_extraction, op6_quality_classifier, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_secret_scan)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_token_counts, op4_packing, op5_html_extraction, op6_quality_classifier, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_secret_scan, op11_substring_dedup)}
 
 ORACLES = {
     "op1_line_dedup": """
@@ -105,5 +110,24 @@ links AS (
 )
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, min(r.y)) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id, n
+""",
+    "op11_substring_dedup": """
+WITH texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, unnest(list_transform(range(1, len(w) - 18), lambda i: sha256(array_to_string(w[i:i+19], ' ')))) AS h
+  FROM texts WHERE len(w) >= 20
+), repeated AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1 AS again FROM windows
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts
+), marked AS (
+  SELECT doc_id, word, i, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM words LEFT JOIN repeated USING (doc_id, i)
+), counted AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN counted USING (doc_id)
 """,
 }
