@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexagrove.llm import decontaminate, html_wrapper, jaccard_join, line_dedup, packing, quality_rules, rule_ensemble, secret_scan, sharding, substring_dedup, token_counts
+from hexagrove.llm import decontaminate, html_wrapper, jaccard_join, lexical_search, line_dedup, packing, quality_rules, rule_ensemble, secret_scan, sharding, substring_dedup, token_counts, whitening
 from hexagrove.llm.common import table, text_or_empty
 
 
@@ -73,7 +73,15 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_token_counts, op4_packing, op5_html_extraction, op6_quality_classifier, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_secret_scan, op11_substring_dedup)}
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_token_counts, op4_packing, op5_html_extraction, op6_quality_classifier, op7_ngram_jaccard, op8_quality_rules, op9_decontamination, op10_secret_scan, op11_substring_dedup, op12_embedding_whitening, op13_ranked_search)}
 
 ORACLES = {
     "op1_line_dedup": """
@@ -129,5 +137,21 @@ WITH texts AS (
 )
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents LEFT JOIN counted USING (doc_id)
+""",
+    "op13_ranked_search": """
+WITH occurrences AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents
+), tfs AS (SELECT doc_id, term, count(*) AS tf FROM occurrences GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM lengths),
+normed AS (SELECT doc_id, 100 - 90 + (90 * n * n_docs) // total AS m FROM lengths, totals),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, totals GROUP BY term),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM wanted JOIN tfs USING (term) JOIN weights USING (term) JOIN normed USING (doc_id) GROUP BY item_id, doc_id
+), placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM placed WHERE rank <= 10
 """,
 }

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ THROUGH, BORDER, FROM = 1, 2, 3
 def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch by rows, each with about ``SLICE`` bytes of text or one longer text; bytes and offsets."""
     text = batch.column("text").cast(pa.large_string())
-    size = np.array(pa.compute.binary_length(text).fill_null(0), np.int64)
+    size = np.array(pc.binary_length(text).fill_null(0), np.int64)
     stop = np.cumsum(size)
     at = 0
     while at < len(size):
@@ -186,7 +187,7 @@ def covered(found: pa.Array, first: np.ndarray, row_of: np.ndarray, n_words: int
     """Which starts of windows the marks of the rows name: those through anchors, or from their places."""
     flat = found.flatten()
     kind, at = flat.field("kind").to_numpy(zero_copy_only=False), flat.field("at").to_numpy(zero_copy_only=False).astype(np.int64)
-    lengths = np.array(pa.compute.list_value_length(found).fill_null(0), np.int64)
+    lengths = np.array(pc.list_value_length(found).fill_null(0), np.int64)
     row = np.repeat(np.arange(len(found)), lengths)
     use = np.isin(kind, wanted)
     row, at, kind = row[use], at[use], kind[use]
