@@ -141,6 +141,8 @@ def _packed(hashes: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
     if not hashes:
         return
     found, n = np.unique(np.concatenate(hashes) >> np.uint64(16), return_counts=True)
+    if not len(found):
+        return  # no text with a word
     cuts = np.searchsorted(found, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
     rows = []
     for k in np.flatnonzero(np.diff(cuts)):
@@ -483,7 +485,9 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     texts = read.withColumnRenamed("doc_id", "rep")
 
     def with_texts(placed: DataFrame) -> DataFrame:
-        return texts.join(small_side(placed, placed.count(), 500_000), "rep")
+        # A row holds its tasks, which no number of rows bounds: count these.
+        held = placed.agg(F.coalesce(F.sum(F.size("tasks") + 4), F.lit(0))).first()[0]
+        return texts.join(small_side(placed, held, 1_000_000), "rep")
 
     placed = tables.write("placed", first_tasks(members))
     first = tables.write("first", multiplied(with_texts(placed.select("rep", "cluster", "tasks"))))
