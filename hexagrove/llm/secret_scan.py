@@ -78,10 +78,23 @@ def scored(name: str, literal: str) -> float:
     return sensitivity(name) * randomness(literal) * min(1.0, len(literal) / 12)
 
 
+class Run:
+    """A run without quotes or white space: where it stops, ends without closing marks, and last has a digit, a
+    lower-case and an upper-case letter."""
+
+    def __init__(self, found: re.Match | None = None):
+        self.stop = self.end = self.digit = self.lower = self.upper = -1
+        if found:
+            start, whole = found.start(), found[0]
+            self.stop, self.end = found.end(), start + len(whole.rstrip(".:"))
+            last = {kind: max((m.start() for m in re.finditer(kind, whole[: self.end - start])), default=-1 - start) for kind in (r"\d", "[a-z]", "[A-Z]")}
+            self.digit, self.lower, self.upper = (start + at for at in last.values())
+
+
 def lexed_pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
     """(target name, literal, start, end), with names on the right side replaced by their literals."""
     known: dict[str, tuple[str, int, int]] = {}
-    at = 0
+    at, run = 0, Run()
     while found := PAIR.search(text, at):
         name, operator, at = found[1], found[2], found.end()
         if m := STRING.match(text, at):
@@ -92,17 +105,18 @@ def lexed_pairs(text: str) -> Iterator[tuple[str, str, int, int]]:
                 parts.append(m[m.lastindex])
                 end, at = m.end(m.lastindex), m.end()
             literal = "".join(parts)
-        elif m := BARE.match(text, at):
-            literal, start = m[0].rstrip(".:"), m.start()
-            end = start + len(literal)
-            if (r := REFERENCE.fullmatch(literal)) and r[1] in known:
+        elif at < run.stop or (m := BARE.match(text, at)):
+            # A run without quotes may hold many names: what is asked of its rest is kept for all of them.
+            run = run if at < run.stop else Run(m)
+            start, end = at, max(at, run.end)
+            if (r := REFERENCE.fullmatch(text, start, end)) and r[1] in known:
                 literal, start, end = known[r[1]]
-            elif text[m.end() : m.end() + 1] == "(":
+            elif text[run.stop : run.stop + 1] == "(":
                 continue  # a call
-            elif not re.search(r"\d", literal) and (operator == ":" and not (re.search("[a-z]", literal) and re.search("[A-Z]", literal[1:]))):
+            elif run.digit < start and operator == ":" and not (run.lower >= start and run.upper > start):
                 continue  # prose
             else:
-                at = m.end()
+                literal, at = text[start:end], run.stop
         else:
             continue
         known[name] = (literal, start, end)
