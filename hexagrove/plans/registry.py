@@ -31,7 +31,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Modules whose import registers queries.
-MODULES = ("aggregates", "domain", "frames", "globe", "spatial", "text", "windows")
+MODULES = ("aggregates", "domain", "frames", "globe", "shapes", "spatial", "text", "windows")
 
 
 def _load() -> None:
