@@ -87,3 +87,115 @@ def kmeans(df: DataFrame, column: str, ks: Iterable[int], seeds: Iterable[int] =
         found += [(k, i, int(n), float(best.summary.trainingCost)) for i, n in enumerate(sorted(best.summary.clusterSizes, reverse=True))]
     rows.unpersist()
     return df.sparkSession.createDataFrame(found, "k int, rank int, n long, cost double")
+
+
+def _root(matrix: np.ndarray, power: float) -> np.ndarray:
+    """A symmetric matrix to a power, by its eigenvalues."""
+    values, axes = np.linalg.eigh(matrix)
+    return (axes * np.clip(values, 1e-12, None) ** power) @ axes.T
+
+
+def score_weights(matrix: np.ndarray, loading: np.ndarray, phi: np.ndarray | None = None) -> np.ndarray:
+    """Weights of standardised variables whose scores have exactly the factors' correlation ``phi`` (none: uncorrelated):
+    of all such scores those closest to the factors."""
+    phi = np.eye(loading.shape[1]) if phi is None else phi
+    turned = loading @ _root(phi, 0.5)
+    back = _root(matrix, -0.5)
+    inner = turned.T @ np.linalg.solve(matrix, turned)
+    return back @ (back @ turned @ _root(inner, -0.5)) @ _root(phi, 0.5)
+
+
+def scores(df: DataFrame, key: str, column: str, weights: np.ndarray) -> DataFrame:
+    """Factor scores of every row: one pass for means and sample deviations, then one projection of columns."""
+    d, n = weights.shape
+    value = F.col(column).cast("array<double>")
+    rows = df.where(F.col(column).isNotNull()).select(key, value.alias("v"))
+    moments = rows.agg(*(f(F.get("v", F.lit(i))).alias(f"{name}{i}") for i in range(d) for name, f in (("m", F.avg), ("s", F.stddev_samp)))).first()
+    means, widths = ([moments[f"{name}{i}"] for i in range(d)] for name in "ms")
+    scaled = weights / np.array([w or 1.0 for w in widths])[:, None]
+    shift = np.array(means) @ scaled
+
+    def score(k: int):
+        weight = F.lit(np.array(scaled[:, k]))
+        return F.aggregate(F.zip_with("v", weight, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x) - float(shift[k])
+
+    return rows.select(key, *(score(k).alias(f"F{k + 1}") for k in range(n)))
+
+
+def oblimin(loading: np.ndarray, rounds: int = 1000, close: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Oblique rotation: loadings and factor correlations that make squared loadings share the least between
+    factors, by projecting the criterion's gradient onto rotations with columns of length 1."""
+    n = loading.shape[1]
+    others = np.ones((n, n)) - np.eye(n)
+
+    def value(turn: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        inverse = np.linalg.inv(turn)
+        now = loading @ inverse.T
+        shared = now**2 @ others
+        return float((now**2 * shared).sum() / 4), now, -(now.T @ (now * shared) @ inverse).T
+
+    turn, step = np.eye(n), 1.0
+    cost, now, gradient = value(turn)
+    for _ in range(rounds):
+        along = gradient - turn * (turn * gradient).sum(axis=0)
+        size = float(np.linalg.norm(along))
+        if size < close:
+            break
+        step *= 2
+        for _ in range(20):
+            tried = turn - step * along
+            tried /= np.sqrt((tried**2).sum(axis=0))
+            less, other, slope = value(tried)
+            if cost - less > 0.5 * size**2 * step:
+                break
+            step /= 2
+        turn, cost, now, gradient = tried, less, other, slope
+    return now, turn.T @ turn
+
+
+def fit_indices(matrix: np.ndarray, loading: np.ndarray, n_rows: int, phi: np.ndarray | None = None) -> dict[str, float]:
+    """How well a factor model of a correlation matrix fits: TLI, RMSEA, BIC, root mean residuals, shares explained."""
+    p, m = loading.shape
+    model = loading @ (np.eye(m) if phi is None else phi) @ loading.T
+    residual = matrix - model
+    off = residual - np.diag(np.diag(residual))
+    free = p * (p - 1) / 2 - p * m + m * (m - 1) / 2
+    np.fill_diagonal(model, 1.0)
+    ratio = np.linalg.solve(model, matrix)
+    discrepancy = float(np.trace(ratio) - np.linalg.slogdet(ratio)[1] - p)
+    weight = n_rows - 1 - (2 * p + 5) / 6
+    statistic = discrepancy * (weight - 2 * m / 3)
+    none = -np.linalg.slogdet(matrix)[1] * weight / (p * (p - 1) / 2)
+    without = matrix - np.diag(np.diag(matrix))
+    return {
+        "cumulative_var": float((loading**2).sum() / p),
+        "TLI": float((none - statistic / free) / (none - 1)) if free > 0 else float("nan"),
+        "RMSEA": max(discrepancy / free - 1 / (n_rows - 1), 0.0) ** 0.5 if free > 0 else float("nan"),
+        "BIC": float(statistic - free * np.log(n_rows)),
+        "rms": float((off**2).sum() / (p * (p - 1))) ** 0.5,
+        "crms": float((off**2).sum() / (2 * free)) ** 0.5 if free > 0 else float("nan"),
+        "fit": float(1 - (residual**2).sum() / (matrix**2).sum()),
+        "fit_off": float(1 - (off**2).sum() / (without**2).sum()),
+    }
+
+
+def factor_sweep(df: DataFrame, column: str, counts: Iterable[int]) -> DataFrame:
+    """Fit indices for each number of factors, in long form; one pass over the rows for all."""
+    rows = vectors(df, column)
+    _, matrix = correlation(rows)
+    n_rows = rows.count()
+    found = [(m, name, float(v)) for m in counts for name, v in fit_indices(matrix, principal_axes(matrix, m), n_rows).items()]
+    return df.sparkSession.createDataFrame(found, "n_factors int, metric string, value double")
+
+
+def oblique(df: DataFrame, column: str, n_factors: int) -> DataFrame:
+    """Oblique loadings and factor correlations in long form, with the congruence of each factor with its nearest one
+    of the orthogonal rotation."""
+    names, matrix = correlation(vectors(df, column))
+    axes = principal_axes(matrix, n_factors)
+    turned, phi = oblimin(axes)
+    near = np.abs(congruence(turned, varimax(axes))).max(axis=1)
+    rows = [("loading", name, f"F{k + 1}", float(turned[i, k])) for i, name in enumerate(names) for k in range(n_factors)]
+    rows += [("phi", f"F{i + 1}", f"F{k + 1}", float(phi[i, k])) for i in range(n_factors) for k in range(n_factors)]
+    rows += [("congruence", "varimax", f"F{k + 1}", float(near[k])) for k in range(n_factors)]
+    return df.sparkSession.createDataFrame(rows, "kind string, variable string, factor string, value double")
