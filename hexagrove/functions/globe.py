@@ -440,22 +440,29 @@ def with_boundary(df: DataFrame, cell: str, out: str = "ring") -> DataFrame:
         pent_normal = F.when(wraps, F.when(lead == IK, 3.0).otherwise(5.0)).otherwise(2.0 - hi.cast("double"))
         angle = F.when(_is_pentagon(base), pent_normal).otherwise(hex_normal) * SIXTH
 
-        def at(normal: Column) -> Column:
+        # Across the cut the corners' places in the plane are in line; elsewhere those turned out of it.
+        ends = [_let(F.when(wraps, v["z"]).otherwise(F.struct(v["at"]["x"].alias("x"), v["at"]["y"].alias("y"))), lambda z: z) for v in (a, b)]
+
+        def at(line: Column) -> Column:
             def height(z: Column) -> Column:
-                return (z["x"] - p) * F.cos(normal) + z["y"] * F.sin(normal) - level
+                return (z["x"] - p) * F.cos(line["n"]) + z["y"] * F.sin(line["n"]) - level
+
+            def met(t: Column) -> Column:
+                z = F.struct((line["a"]["x"] + t * (line["b"]["x"] - line["a"]["x"])).alias("x"), (line["a"]["y"] + t * (line["b"]["y"] - line["a"]["y"])).alias("y"))
+                place = _let(z, lambda z: _let(_regioned(z, base, lead), lambda r: _geographic(_faced(r, base))))
+                # A corner on the edge itself is no crossing.
+                return F.when(t.between(1e-9, 1 - 1e-9), F.array(place)).otherwise(F.array().cast("array<struct<lng:double,lat:double>>"))
 
-            t = height(a["z"]) / (height(a["z"]) - height(b["z"]))
-            z = F.struct((a["z"]["x"] + t * (b["z"]["x"] - a["z"]["x"])).alias("x"), (a["z"]["y"] + t * (b["z"]["y"] - a["z"]["y"])).alias("y"))
-            return _let(z, lambda z: _let(_regioned(z, base, lead), lambda r: _geographic(_faced(r, base))))
+            return _let(height(line["a"]) / (height(line["a"]) - height(line["b"])), met)
 
-        return _let(angle, at)
+        return _let(F.struct(angle.alias("n"), ends[0].alias("a"), ends[1].alias("b")), at)
 
     def pieces(ring: Column) -> Column:
         def piece(a: Column, k: Column) -> Column:
             b = F.get(ring, (k + 1) % F.size(ring))
             crosses = (res % 2 == 1) & (a["at"]["region"] != b["at"]["region"])
             own = F.array(_geographic(_faced(a["at"], base)))
-            return F.when(crosses, F.concat(own, F.array(crossing(a, b)))).otherwise(own)
+            return F.when(crosses, F.concat(own, crossing(a, b))).otherwise(own)
 
         return F.flatten(F.transform(ring, piece))
 

@@ -56,7 +56,7 @@ def test_no_cell_for_no_point(spark):
     assert globe.neighbours(nulls, "cell", 3).count() == 0
 
 
-@pytest.mark.parametrize("level", [0, 1, 2, 5, 8])
+@pytest.mark.parametrize("level", [0, 3, 8])
 def test_round_trip(spark, level):
     cells = globe.with_cell(world(spark), F.col("lat"), F.col("lng"), level).select("cell").distinct()
     back = globe.with_cell(globe.with_centre(cells, "cell"), F.col("lat"), F.col("lng"), level, "back")
@@ -74,16 +74,15 @@ def test_neighbours_of_all_cells(spark, level, total):
     assert sorted(map(len, of.values()))[:13] == [5] * 12 + [6]
 
 
-@pytest.mark.parametrize("level", [1, 2])
-def test_rings_meet_their_neighbours(spark, level):
-    """Every corner of a ring is a corner of exactly three cells, but for corners on the icosahedron's edges, of two."""
-    cells = globe.with_children(globe.with_cell(world(spark), F.col("lat"), F.col("lng"), 0).select("cell").distinct(), "cell", level, 0)
+def test_rings_meet_their_neighbours(spark, level=1):
+    """Every corner of a ring is a corner of exactly three cells, but for corners where an edge of the icosahedron crosses, of two."""
+    bases = spark.range(122).select(((F.col("id") * (1 << 45)) + ((1 << 59) | hexgrid.unused_bits(0))).alias("cell"))
+    cells = globe.with_children(bases, "cell", level, 0)
     rings = globe.with_boundary(cells, "cell").select("cell", F.explode(F.slice("ring", 1, F.size("ring") - 1)).alias("p"))
     a, o = F.radians("p.lat"), F.radians("p.lng")
-    places = rings.select("cell", *(F.round(v, 7).alias(n) for n, v in (("x", F.cos(a) * F.cos(o)), ("y", F.cos(a) * F.sin(o)), ("z", F.sin(a)))))
+    places = rings.select("cell", *(F.round(v, 6).alias(n) for n, v in (("x", F.cos(a) * F.cos(o)), ("y", F.cos(a) * F.sin(o)), ("z", F.sin(a)))))
     counts = {r["n"]: r["count"] for r in places.groupBy(*(F.col(n) + 0.0 for n in "xyz")).agg(F.count("*").alias("n")).groupBy("n").count().collect()}
-    # Coordinates on a rounding border may fall apart: a few single ones are allowed for.
-    assert counts[3] > 50 and set(counts) <= {1, 2, 3} and counts.get(1, 0) < 0.01 * counts[3]
+    assert counts == {3: 1680, 2: 180}
 
 
 def test_disk_and_distance_agree(spark):
