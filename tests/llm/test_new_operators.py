@@ -126,9 +126,9 @@ def test_whitening_without_variance(spark):
     assert whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], schema)).count() == 0
     line = whitening.whiten(spark.createDataFrame([(i, [float(i), 2.0 * i, 1.0]) for i in range(5)], schema)).collect()
     assert len(line) == 5 and line[0]["explained"] == pytest.approx(1.0)
-    # Middling entries far apart: products go beyond 2**53 and deviations beyond 64 bits.
+    # Far entries: products beyond 2**53, deviations beyond 64 bits, and a second component that is flat beside the first.
     far = whitening.whiten(spark.createDataFrame([(i, [1e10 * (i % 3), float(i)]) for i in range(9)], schema)).collect()
-    assert len(far) == 18 and all(r["deviation"] is None for r in far) and far[0]["identity_error"] < 1e-4
+    assert len(far) == 9 and all(r["deviation"] is None for r in far) and far[0]["identity_error"] < 1e-4
 
 
 @pytest.mark.parametrize("values", [[5, 5, 5, 3, 3, 2, 1, 1, 1, 0.5, 0.5], [1, 1 - 1e-9, 1 - 2e-9, 0.5, 0.4, 0.1, 0], [1] * 10, [3, 2, 0, 0, 0], [4]])
