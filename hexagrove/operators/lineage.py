@@ -6,22 +6,26 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the cluster's shared folder (``spark.checkpoint.dir``). Where none is named, a
-    temporary folder serves a local session; on a cluster that is an error.
-
-    A checkpoint would keep the plan's size estimate: a join multiplies those of its sides, so in a
-    loop that joins its own result the number's digits double each round. A read table has its true size.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the cluster's shared folder (``spark.checkpoint.dir``). Where none is named, a temporary folder serves a
+    local session; on a cluster that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="hexagrove")
-    path = f"{shared}/{uuid.uuid4().hex}"
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder.
+
+    A checkpoint would keep the plan's size estimate: a join multiplies those of its sides, so in a
+    loop that joins its own result the number's digits double each round. A read table has its true size.
+    """
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -79,12 +79,20 @@ ZONE_SQL = f"""WITH RECURSIVE c AS (SELECT p_partkey AS cell, (p_partkey % 40)::
     zone AS (SELECT cell, min(zone) AS zone FROM reach GROUP BY 1)"""
 
 
-@query("D9_zones", ZONE_SQL + " SELECT z.cell, z.zone, count(*) OVER (PARTITION BY z.zone) AS zone_size FROM zone z")
+DEPTH_SQL = ZONE_SQL + """,
+    rim AS (SELECT c.cell FROM c LEFT JOIN e ON e.src = c.cell GROUP BY c.cell HAVING count(e.dst) < 6),
+    walk AS (SELECT cell, 0 AS depth FROM rim UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON e.src = walk.cell WHERE depth < 12),
+    deep AS (SELECT cell, min(depth) AS depth FROM walk GROUP BY 1),
+    cores AS (SELECT z.cell, z.zone, count(*) OVER w AS zone_size, depth AS core_distance, CASE WHEN max(depth) OVER w > 0 THEN round_even(depth / max(depth) OVER w, 3) ELSE 0.0 END AS core_score,
+      row_number() OVER (PARTITION BY zone ORDER BY depth DESC, z.cell) AS center_mass_rank FROM zone z JOIN deep USING (cell) WINDOW w AS (PARTITION BY zone))"""
+
+
+@query("D9_zones", DEPTH_SQL + " SELECT * FROM cores")
 def d9(spark, d):
-    return zones.core_zones(axial_parts(spark, d)).select("cell", "zone", "zone_size")
+    return zones.core_zones(axial_parts(spark, d))
 
 
-@query("D10_core_labels")
+@query("D10_core_labels", DEPTH_SQL + " SELECT *, CASE WHEN zone_size <= 1 THEN 'single' WHEN core_score >= 0.72 THEN 'deep core' WHEN core_score >= 0.34 THEN 'middle' ELSE 'edge' END AS core_label FROM cores")
 def d10(spark, d):
     return zones.core_label(zones.core_zones(axial_parts(spark, d)))
 

@@ -23,6 +23,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_manifests(df: DataFrame, path: str, name: str) -> None:
+    """One JSON document for each row, in a folder by the value of ``name``."""
+    df.withColumn("__name", F.col(name)).write.mode("overwrite").partitionBy("__name").json(path)
+
+
 def feature(geometry_type: str, coordinates: Column, properties: list[str]) -> Column:
     """A GeoJSON feature as a JSON text column; ``coordinates`` is JSON text."""
     head = F.concat(F.lit(f'{{"type":"Feature","geometry":{{"type":"{geometry_type}","coordinates":'), coordinates, F.lit('},"properties":'))

@@ -44,8 +44,22 @@ def geojson_features(spark: SparkSession, path: str) -> DataFrame:
     ``hex_id`` is the property of that name or ``h3_address``; coordinates stay JSON text, because their
     nesting depends on the geometry's type.
     """
+    return _features(spark.read.text(path, wholetext=True))
+
+
+def geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files with one document a line, which any number of tasks can share."""
+    return _features(spark.read.text(path))
+
+
+def by_suffix(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table by its path's suffix: GeoJSON features line by line, anything else CSV of the schema."""
+    return geojson_lines(spark, path) if path.lower().endswith((".geojson", ".json")) else read_csv(spark, path, schema)
+
+
+def _features(texts: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(T.StringType())), T.StructField("geometry", T.StringType()), T.StructField("properties", T.StringType()), T.StructField("coordinates", T.StringType())])
-    raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.from_json("value", schema).alias("j"))
+    raw = texts.select(F.col("value"), F.from_json("value", schema).alias("j"))
     one = F.when(F.col("j.type") == "FeatureCollection", F.col("j.features")).when(F.col("j.type") == "Feature", F.array("value")).otherwise(F.array(F.concat(F.lit('{"geometry":'), F.col("value"), F.lit("}"))))
     feature = F.from_json("f", "geometry string, properties map<string,string>")
     rows = raw.select(F.explode(one).alias("f")).select(feature.alias("x")).select("x.geometry", "x.properties")
