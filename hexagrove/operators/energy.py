@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hexagrove.operators.statistics import group_quantiles
+
 
 def energy_key(first: Column, second: Column, mapping: dict[str, str]) -> Column:
     """The first of two technology columns that the mapping knows."""
@@ -36,4 +38,6 @@ def area_demand(df: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def observed_factors(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min(value).alias("low"), F.median(value).alias("mid"), F.max(value).alias("high"), F.count(value).alias("n"))
+    """Least, middle and largest known value of each group, and how many are known."""
+    n = df.groupBy(*keys).agg(F.count(value).alias("n"))
+    return n.join(group_quantiles(df, keys, value, {"low": (0.0, 7), "mid": (0.5, 7), "high": (1.0, 7)}), keys, "left").select(*keys, "low", "mid", "high", "n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,20 +99,42 @@ def top_per_group(df: DataFrame, groups: list[str], n: int, *order: Column) -> D
     return ranked.where(F.col("rank") <= n)
 
 
+def group_quantiles(df: DataFrame, keys: list[str], column: str, wanted: dict[str, tuple[float, int]]) -> DataFrame:
+    """For each group the quantiles named in ``wanted`` as (p, type 7 or 8) of its known values.
+
+    Distinct values are counted first and then placed by range partitions over (keys, value), so that no task and no buffer
+    holds a group, however large, and a value that many rows share is one row.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__peers"))
+    run = running_totals(counts, [*(F.col(k) for k in keys), F.col(column)], "__peers")
+    n, before = F.col("__n"), F.col("__before") - F.col("__start")
+    groups = run.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.min("__before").alias("__start"), F.sum("__peers").alias("__n"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    aggs, outs = [], []
+    for name, (p, kind) in wanted.items():
+        place = (n - 1) * p + 1 if kind == 7 else (n + F.lit(1 / 3)) * p + F.lit(1 / 3)
+        for side in (0, 1):
+            rank = F.greatest(F.lit(1), F.least(n, F.floor(place) + side))
+            aggs.append(F.max(F.when((before < rank) & (rank <= before + F.col("__peers")), F.col(column))).alias(f"__{name}{side}"))
+        aggs.append(F.max(place - F.floor(place)).alias(f"__{name}f"))
+        outs.append((F.col(f"__{name}0") + (F.col(f"__{name}1") - F.col(f"__{name}0")) * F.col(f"__{name}f")).alias(name))
+    return run.join(groups, same).groupBy(*keys).agg(*aggs).select(*keys, *outs)
+
+
 def quantile_type8(df: DataFrame, column: str, p: float, keys: list[str]) -> DataFrame:
     """Median-unbiased quantile (type 8) by ranked interpolation."""
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(column).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(column))).withColumn("__n", F.count(F.lit(1)).over(w))
-    place = (F.col("__n") + 1 / 3) * p + 1 / 3
-    low = F.greatest(F.lit(1), F.least(F.col("__n"), F.floor(place)))
-    high = F.greatest(F.lit(1), F.least(F.col("__n"), F.floor(place) + 1))
-    ranked = ranked.withColumn("__place", place).withColumn("__low", low).withColumn("__high", high)
-    out = ranked.groupBy(*keys).agg(
-        F.max(F.when(F.col("__i") == F.col("__low"), F.col(column))).alias("__a"),
-        F.max(F.when(F.col("__i") == F.col("__high"), F.col(column))).alias("__b"),
-        F.max(F.col("__place") - F.floor("__place")).alias("__f"),
-    )
-    return out.select(*keys, (F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__f")).alias("quantile"))
+    return group_quantiles(df, keys, column, {"quantile": (p, 8)})
+
+
+def ntile_of(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str) -> DataFrame:
+    """The number from 1 to ``k`` of each row's equal part of its group in an order without ties, larger parts first; by
+    range partitions, so that no task holds a group."""
+    ranked = running_totals(df.withColumn("__one", F.lit(1.0)), [*(F.col(c) for c in keys), *order], "__one").drop("__one", "__before")
+    groups = ranked.groupBy(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys))).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)), F.lit(True))
+    rank, least, more = F.col("__rank") - F.col("__first") + 1, F.floor(F.col("__n") / k), F.col("__n") % k
+    part = F.when(rank <= more * (least + 1), F.ceil(rank / (least + 1))).otherwise(more + F.ceil((rank - more * (least + 1)) / F.greatest(least, F.lit(1))))
+    return ranked.join(groups, same).withColumn(out, part.cast("int")).drop("__rank", "__first", "__n", *(f"__k{i}" for i in range(len(keys))))
 
 
 def adjusted_rand(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -59,7 +59,7 @@ def a9(spark, d):
 
 @query("A11_min_median_max", "SELECT l_returnflag, min(l_extendedprice) AS low, median(l_extendedprice) AS mid, max(l_extendedprice) AS high FROM lineitem GROUP BY 1")
 def a11(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.min("l_extendedprice").alias("low"), F.median("l_extendedprice").alias("mid"), F.max("l_extendedprice").alias("high"))
+    return st.group_quantiles(read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"low": (0.0, 7), "mid": (0.5, 7), "high": (1.0, 7)})
 
 
 @query("A12_share_of_total", "SELECT quality, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM labels GROUP BY 1")
@@ -107,7 +107,7 @@ def a18(spark, d):
 
 @query("A19_quantiles", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.9) AS q90, quantile_cont(l_extendedprice, 0.95) AS q95, quantile_cont(l_extendedprice, 0.995) AS q995 FROM lineitem GROUP BY 1")
 def a19(spark, d):
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(*(F.percentile("l_extendedprice", p).alias(n) for p, n in ((0.9, "q90"), (0.95, "q95"), (0.995, "q995"))))
+    return st.group_quantiles(read(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"q90": (0.9, 7), "q95": (0.95, 7), "q995": (0.995, 7)})
 
 
 @query(

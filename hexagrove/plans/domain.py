@@ -270,9 +270,9 @@ def x13(spark, d):
 
 @query(
     "X14_layer_contribution",
-    "SELECT vec_id, layer, round(c, 6) AS contribution, rank FROM (SELECT vec_id, i AS layer, abs(embedding[i]::DOUBLE) * i AS c, row_number() OVER (PARTITION BY vec_id ORDER BY abs(embedding[i]::DOUBLE) * i DESC, i)::INTEGER AS rank FROM embeddings, range(1, 13) t(i)) WHERE rank <= 5",
+    "SELECT vec_id, layer, round(c, 6) AS contribution, rank FROM (SELECT vec_id, i AS layer, abs(embedding[i]::DOUBLE) * i AS c, row_number() OVER (PARTITION BY vec_id ORDER BY abs(embedding[i]::DOUBLE) * i DESC, i)::INTEGER AS rank FROM embeddings, range(1, 65) t(i)) WHERE rank <= 5",
 )
 def x14(spark, d):
-    long = read(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 12)).alias("p", "e"))
+    long = read(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "e"))
     long = long.select("vec_id", (F.col("p") + 1).cast("long").alias("layer"), (F.abs(F.col("e").cast("double")) * (F.col("p") + 1)).alias("c"))
     return st.top_per_group(long, ["vec_id"], 5, F.desc("c"), F.col("layer")).select("vec_id", "layer", F.round("c", 6).alias("contribution"), "rank")

@@ -33,8 +33,8 @@ def w4(spark, d):
 
 @query("W5_quartile_of_allowed", "SELECT c_custkey, c_mktsegment, ntile(4) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey)::INTEGER AS quartile FROM customer WHERE c_acctbal >= 0")
 def w5(spark, d):
-    w = Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey")
-    return read(spark, d, "customer").where("c_acctbal >= 0").select("c_custkey", "c_mktsegment", F.ntile(4).over(w).alias("quartile"))
+    allowed = read(spark, d, "customer").where("c_acctbal >= 0").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return st.ntile_of(allowed, ["c_mktsegment"], [F.col("c_acctbal"), F.col("c_custkey")], 4, "quartile").select("c_custkey", "c_mktsegment", "quartile")
 
 
 @query("W6_row_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id FROM orders")
