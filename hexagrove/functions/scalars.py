@@ -163,3 +163,53 @@ def mixed_colour(a: str, b: str, share: Column) -> Column:
     """``#rrggbb`` between two colours."""
     parts = [F.lpad(F.lower(F.hex(F.bround(F.lit(int(a[i : i + 2], 16)) * (1 - share) + F.lit(int(b[i : i + 2], 16)) * share).cast("long"))), 2, "0") for i in (1, 3, 5)]
     return F.concat(F.lit("#"), *parts)
+
+
+# Letters that references fold, also as they look when read in a wrong encoding.
+REFERENCE_LETTERS = {"\u00e5": "a", "\u00e4": "a", "\u00f6": "o", "\u00f8": "o", "\u00e6": "ae", "\u00e3\u00a5": "a", "\u00e3\u00a4": "a", "\u00e3\u00b6": "o", "\u00e3\u00b8": "o", "\u00e3\u00a6": "ae"}
+
+
+def reference_key(text: Column) -> Column:
+    """A reference's text in lower case with folded letters and single spaces."""
+    out = F.lower(clean_text(text))
+    for letter in sorted(REFERENCE_LETTERS, key=len, reverse=True):
+        out = F.replace(out, F.lit(letter), F.lit(REFERENCE_LETTERS[letter]))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def datasource(text: Column) -> Column:
+    """(path, layer) of a data source ``path|layername=...|...``; no layer is empty."""
+    parts = F.split(text, r"\|")
+    layer = F.get(F.filter(parts, lambda p: p.startswith("layername=")), F.lit(0))
+    return F.struct(parts[0].alias("path"), F.coalesce(F.substring(layer, 11, 1_000_000), F.lit("")).alias("layer"))
+
+
+def weight_spec(text: Column) -> Column:
+    """Weights of ``key=value`` entries apart by ; or , as a map, and the first entry that is none or not above 0 as error."""
+    entries = F.filter(F.transform(F.split(text, "[;,]"), lambda e: F.trim(e)), lambda e: e != "")
+
+    def parsed(e: Column) -> Column:
+        at = F.instr(e, "=")
+        key = F.trim(F.when(at > 0, F.substring(e, F.lit(1), at - 1)))
+        value = F.when(at > 0, F.trim(F.substring(e, at + 1, F.length(e)))).try_cast("double")
+        ok = (key != "") & value.isNotNull() & ~F.isnan(value) & (value > 0) & (value != float("inf"))
+        return F.struct(e.alias("entry"), key.alias("key"), value.alias("value"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+    found = F.transform(entries, parsed)
+    error = F.get(F.filter(found, lambda x: ~x["ok"]), F.lit(0))["entry"]
+    weights = F.map_from_entries(F.transform(found, lambda x: F.struct(x["key"], x["value"])))
+    return F.struct(F.when(error.isNull(), weights).alias("weights"), error.alias("error"))
+
+
+def quality_warning(value: Column, key: Column, kind: Column, source: Column, raw: Column, low: Column, high: Column) -> Column:
+    """The warning of a value outside its bounds (unknown ones: 0 and none), or an empty text."""
+    outlier = (value < F.coalesce(low, F.lit(0.0))) | (value > F.coalesce(high, F.lit(float("inf"))))
+    text = F.concat(F.lit("Outlier for "), key, F.lit(": "), F.format_string("%s", value), F.lit(" in "), kind, F.lit(" from "), source, F.lit(" (raw="), F.coalesce(clean_text(raw), F.lit("")), F.lit("). Excluded from scenario factors."))
+    return F.when(outlier, text).otherwise("")
+
+
+def nearest_colour(r: Column, g: Column, b: Column, palette: dict[str, tuple[float, float, float]], most: float = 0.16) -> Column:
+    """(name, distance) of the palette's nearest colour, channels 0 to 1, the first of equally near ones; no name beyond ``most``."""
+    each = [F.struct(F.sqrt((r - x) * (r - x) + (g - y) * (g - y) + (b - z) * (b - z)).alias("distance"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, (x, y, z)) in enumerate(palette.items())]
+    best = F.array_min(F.array(*each))
+    return F.struct(F.when(best["distance"] <= most, best["name"]).alias("name"), best["distance"].alias("distance"))

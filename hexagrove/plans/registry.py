@@ -31,7 +31,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Modules whose import registers queries.
-MODULES = ("aggregates", "domain", "frames", "globe", "scans", "shapes", "siting", "spatial", "surfaces", "text", "windows")
+MODULES = ("aggregates", "domain", "frames", "globe", "rules", "scans", "shapes", "siting", "spatial", "surfaces", "text", "windows")
 
 
 def _load() -> None:
