@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import re
 import tempfile
 import uuid
@@ -87,6 +89,32 @@ def spare_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def sets_aside(function):
+    """An operator whose first table may have any other columns: those that a call doesn't name wait under names that
+    clash with nothing, in any case, and come back in the result. One named like a new column of the result, in any case, is replaced by it."""
+    signature = inspect.signature(function)
+
+    @functools.wraps(function)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        call = signature.bind(docs, *args, **kwargs)
+        call.apply_defaults()
+        named = {v for v in call.arguments.values() if isinstance(v, str)}
+        prefix = spare_name("aside", [c[:n] for c in docs.columns for n in range(len(c) + 1)])
+        safe = [c if c in named else f"{prefix}{i}" for i, c in enumerate(docs.columns)]
+        if safe == docs.columns:
+            return function(docs, *args, **kwargs)
+        if isinstance(keep := call.arguments.get("keep"), list):
+            call.arguments["keep"] = [safe[docs.columns.index(c)] for c in keep]
+        call.arguments[next(iter(signature.parameters))] = docs.toDF(*safe)
+        out = function(*call.args, **call.kwargs)
+        back = {s: c for s, c in zip(safe, docs.columns) if s != c}
+        own = {c.lower() for c in out.columns if c not in back and c not in named}
+        out = out.drop(*(s for s, c in back.items() if c.lower() in own))
+        return out.toDF(*(back.get(c, c) for c in out.columns))
+
+    return run
+
+
 def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast of ``df`` only when its counted ``rows`` are within ``limit``."""
     return F.broadcast(df) if rows <= limit else df

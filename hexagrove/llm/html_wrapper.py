@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import settle, small_side
+from hexagrove.llm.common import sets_aside, settle, small_side
 
 #: Tags and names below are fixed values of HTML and of this extractor.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -400,6 +400,7 @@ def extract_text(page: str, wrapper: dict) -> str:
     return "\n".join(out)
 
 
+@sets_aside
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", out: str = "text", reference_chars: int = 2000, broadcast_bytes: int = 32 << 20, least_pages: int = 3, share: float = 0.9) -> DataFrame:
     """``pages`` with the main text of each page in ``out`` instead of the html."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import WHITE, text_or_empty, words_of, written
+from hexagrove.llm.common import WHITE, sets_aside, text_or_empty, words_of, written
 
 P = "__q_"
 SYMBOLS = "#*$%&|<>"
@@ -128,6 +128,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds:
     return math.log(good / (1 - good)), [{-1: min(0.0, r[-1]), 0: r[0], 1: max(0.0, r[1])} for r in ratios]
 
 
+@sets_aside
 def score_quality(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the counts, ``__q_posterior`` (chance of being good), ``__q_base_failed`` and ``__q_kept``.
 

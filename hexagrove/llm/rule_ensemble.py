@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import WHITE, settle, text_or_empty, words_of
+from hexagrove.llm.common import WHITE, sets_aside, settle, text_or_empty, words_of
 
 P = "__r_"
 #: Name of each statistic and its SQL over counts of the text.
@@ -135,6 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return RuleEnsemble(float(lasso.intercept), tuple((r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray()) if abs(w) > 1e-6))
 
 
+@sets_aside
 def score(docs: DataFrame, model: RuleEnsemble, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``."""
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]

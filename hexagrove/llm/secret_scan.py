@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import text_or_empty
+from hexagrove.llm.common import sets_aside, text_or_empty
 
 KINDS = ("assign", "access", "hex", "lexed")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -139,6 +139,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
+@sets_aside
 def scan_secrets(docs: DataFrame, text: str = "text", least: float = 9.0) -> DataFrame:
     """``docs`` with the counts of the three plain kinds, the digest of their spans, and all spans."""
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import text_or_empty
+from hexagrove.llm.common import sets_aside, text_or_empty
 
 
 def shard_of(key: Column, n_shards: int, seed: int) -> Column:
@@ -44,6 +44,7 @@ def _fisher_yates(seed: int):
     return shuffle
 
 
+@sets_aside
 def shard(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", seed: int = 17, bucket_bytes: int = 32 << 20) -> DataFrame:
     """``docs`` with ``size``, ``text_crc32``, ``shard``, ``bucket``, ``slot`` and ``grown_shard``.
 

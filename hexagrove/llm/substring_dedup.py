@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexagrove.llm import rolling
-from hexagrove.llm.common import Tables, spare_name, text_or_empty
+from hexagrove.llm.common import Tables, sets_aside, spare_name, text_or_empty
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
@@ -248,6 +248,7 @@ def kept_words(place: int, found_at: int, names: list[str]):
     return run
 
 
+@sets_aside
 def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the words under windows of 20 that start earlier elsewhere, and ``n_words`` and ``n_removed``."""
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_words", "n_removed") or c in (key, text)))

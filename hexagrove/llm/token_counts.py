@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.llm.common import text_or_empty
+from hexagrove.llm.common import sets_aside, text_or_empty
 
 #: Distinct merged parts kept per task; when full, the memo starts anew.
 MEMO = 600_000
@@ -67,6 +67,7 @@ class PieceCounter:
         return [sum(n if p in whole else n * memo[p] for p, n in tally.items()) for tally in tallies]
 
 
+@sets_aside
 def count_tokens(docs: DataFrame, model: str, text: str = "text", limit: int = 4096, out: tuple[str, str] = ("n_tokens", "over_limit")) -> DataFrame:
     """``docs`` with the token count of each whole text and whether it is over ``limit``.
 
