@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hexagrove.functions import globe
-from hexagrove.operators import shapes
+from hexagrove.operators import features, shapes
 from hexagrove.plans.registry import query, read
 
 
@@ -168,3 +168,36 @@ def g15(spark, d):
     """Outlines of the nations' areas, simplified; the tests measure that no point left out is further than the tolerance."""
     outline = shapes.dissolve(shapes.squares_as_shapes(squares(spark, d, 4.0), 4.0), "c_nationkey", "square")
     return shapes.simplified(outline, "path", 4.5).select("c_nationkey", F.size("path").alias("points"))
+
+
+def feature_cells(spark, d):
+    """Squares of 10 by 10 over the plane, named by their number."""
+    key = (F.col("by") * 10 + F.col("bx")).alias("cell")
+    grid = read(spark, d, "region").limit(1).select(F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bx")).withColumn("by", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    return shapes.squares_as_shapes(grid, 10.0).select(key, "square")
+
+
+def off_grid(key: str, a: int, b: int):
+    """A place that lies on no square's side."""
+    return spread(key, a, 1000, 10.0) + 0.037, spread(key, b, 1000, 10.0) + 0.041
+
+
+@query("G10_feature_matrix", """WITH cells AS (SELECT "by" * 10 + bx AS cell, bx * 10.0::DOUBLE AS x, "by" * 10.0::DOUBLE AS y FROM range(0, 10) us(bx), range(0, 10) vs("by")),
+boxes AS (SELECT (s_suppkey * 7919 % 1000) / 10.0::DOUBLE AS x, (s_suppkey * 104729 % 1000) / 10.0::DOUBLE AS y, 1 + s_suppkey % 5 * 1.5::DOUBLE AS s FROM supplier),
+shares AS (SELECT cell, sum(greatest(0, least(c.x + 10, b.x + 2 * s) - greatest(c.x, b.x)) * greatest(0, least(c.y + 10, b.y + s) - greatest(c.y, b.y))) / 100 AS share FROM cells c, boxes b GROUP BY cell),
+mills AS (SELECT (s_suppkey * 611953::BIGINT % 1000) / 10.0::DOUBLE + 0.037 AS x, (s_suppkey * 7919 % 1000) / 10.0::DOUBLE + 0.041 AS y FROM supplier),
+wind AS (SELECT cell, ln(1 + min(sqrt((c.x + 5 - m.x) ** 2 + (c.y + 5 - m.y) ** 2))) AS d FROM cells c, mills m GROUP BY cell),
+people AS (SELECT floor(((c_custkey * 32452843::BIGINT % 1000) / 10.0::DOUBLE + 0.041) / 10)::BIGINT * 10 + floor(((c_custkey * 611953::BIGINT % 1000) / 10.0::DOUBLE + 0.037) / 10)::BIGINT AS cell, sum(c_nationkey) AS n FROM customer GROUP BY 1),
+heights AS (SELECT floor(((p_partkey * 104729::BIGINT % 1000) / 10.0::DOUBLE + 0.041) / 10)::BIGINT * 10 + floor(((p_partkey * 7919::BIGINT % 1000) / 10.0::DOUBLE + 0.037) / 10)::BIGINT AS cell, max(p_size) - min(p_size) AS relief FROM part WHERE p_size > 30 GROUP BY 1)
+SELECT cell, round(share, 8) AS protected_share, round(d, 8) AS dist_turbine_log, round(ln(1 + coalesce(n, 0)), 8) AS persons_log, coalesce(relief, 0)::DOUBLE AS relief FROM cells JOIN shares USING (cell) JOIN wind USING (cell) LEFT JOIN people USING (cell) LEFT JOIN heights USING (cell)""")
+def g10(spark, d):
+    """Protected boxes, turbines, people and points of height on a hundred squares."""
+    cells = feature_cells(spark, d)
+    x, y = off_grid("s_suppkey", 611953, 7919)
+    mills = read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), x.alias("x"), y.alias("y"))
+    x, y = off_grid("c_custkey", 611953, 32452843)
+    people = read(spark, d, "customer").select(shapes.shape("point", F.array(F.array(point(x, y)))).alias("at"), "c_nationkey")
+    x, y = off_grid("p_partkey", 7919, 104729)
+    heights = read(spark, d, "part").where("p_size > 30").select(shapes.shape("point", F.array(F.array(point(x, y)))).alias("at"), F.col("p_size").alias("KOTE"))
+    out = features.feature_matrix(cells, "cell", features.protected_share(cells, boxes(spark, d), "cell", "square", "plot", 10.0), features.turbines(cells, mills, "cell", "square", 10.0), features.people(cells, people, "cell", "square", "at", "c_nationkey", 10.0), features.elevation(cells, heights, "cell", "square", "at", 10.0))
+    return out.select("cell", *(F.round(c, 8).alias(c) for c in ("protected_share", "dist_turbine_log", "persons_log")), "relief")
