@@ -65,14 +65,9 @@ def _settle_labels(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cell": pdf["cell"], "root": label[r, q]})
 
 
-def components(cells: DataFrame, key: str = "cell", cls: str = "cls") -> DataFrame:
-    """(key, zone): the smallest cell of each component. Tiles label their own parts; between parts labels spread and jump to their
-    label's label, so that rounds grow with the logarithm of a component's width in tiles. Cells without class are zones alone."""
-    own = _classed(cells, key, cls)
-    local = written(own.join(own.groupBy("tq", "tr").applyInPandas(_settle_labels, "cell long, root long"), "cell"))
-    rim = local.where(F.pmod("q", F.lit(TILE)).isin(0, TILE - 1) | F.pmod("r", F.lit(TILE)).isin(0, TILE - 1))
-    near = neighbours(rim.select("q", "r", "cls", "tq", "tr", F.col("root").alias("a"))).select(F.col("nq").alias("q"), F.col("nr").alias("r"), "cls", F.col("tq").alias("oq"), F.col("tr").alias("or"), "a")
-    edges = written(near.join(rim.select("q", "r", "cls", "tq", "tr", F.col("root").alias("b")), ["q", "r", "cls"]).where("tq <> oq or tr <> or").select("a", "b").distinct())
+def spread_labels(edges: DataFrame) -> DataFrame:
+    """(root, zone): the least node that each node of a symmetric edge table (a, b) reaches. Labels spread to neighbours and
+    jump to their label's label until nothing changes."""
     labels = edges.select(F.col("a").alias("root"), F.col("a").alias("zone")).distinct()
     while True:
         least = edges.join(labels.withColumnRenamed("root", "b"), "b").groupBy("a").agg(F.min("zone").alias("least"))
@@ -81,7 +76,18 @@ def components(cells: DataFrame, key: str = "cell", cls: str = "cls") -> DataFra
         new = written(spread.join(jump, "next").select("root", F.least("next", "further").alias("next"), "zone"))
         labels = new.select("root", F.col("next").alias("zone"))
         if not new.where("next <> zone").limit(1).count():
-            break
+            return labels
+
+
+def components(cells: DataFrame, key: str = "cell", cls: str = "cls") -> DataFrame:
+    """(key, zone): the smallest cell of each component. Tiles label their own parts; between parts labels spread and jump to their
+    label's label, so that rounds grow with the logarithm of a component's width in tiles. Cells without class are zones alone."""
+    own = _classed(cells, key, cls)
+    local = written(own.join(own.groupBy("tq", "tr").applyInPandas(_settle_labels, "cell long, root long"), "cell"))
+    rim = local.where(F.pmod("q", F.lit(TILE)).isin(0, TILE - 1) | F.pmod("r", F.lit(TILE)).isin(0, TILE - 1))
+    near = neighbours(rim.select("q", "r", "cls", "tq", "tr", F.col("root").alias("a"))).select(F.col("nq").alias("q"), F.col("nr").alias("r"), "cls", F.col("tq").alias("oq"), F.col("tr").alias("or"), "a")
+    edges = written(near.join(rim.select("q", "r", "cls", "tq", "tr", F.col("root").alias("b")), ["q", "r", "cls"]).where("tq <> oq or tr <> or").select("a", "b").distinct())
+    labels = spread_labels(edges)
     zoned = local.join(labels, "root", "left").select("cell", F.coalesce("zone", "root").alias("zone"))
     alone = cells.where(F.col(cls).isNull()).select(F.col(key).cast("long").alias("cell"), F.col(key).cast("long").alias("zone"))
     return zoned.union(alone).withColumnRenamed("cell", key)

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import functions as F
 
 from hexagrove.functions import globe, hexgrid
+from hexagrove.operators import globe_frames as frames
 from hexagrove.plans.registry import query, read
 
 LEVEL = 7
@@ -209,3 +210,80 @@ def h12(spark, d):
     n = read(spark, d, "customer").agg(F.count(F.lit(1)).alias("n"))
     areas = F.array(*(F.struct(F.lit(r).cast("long").alias("level"), F.lit(round(globe.average_area_km2(r), 6)).alias("km2")) for r in range(16)))
     return n.select("n", F.inline(areas).alias("level", "km2"))
+
+
+def near_places(spark, d):
+    """Customers as places in a box around 55 north, 15 east, with balance and segment."""
+    return read(spark, d, "customer").select("c_custkey", (F.pmod(F.col("c_custkey") * 7919, F.lit(1000)) / 1000.0 + 54.5).alias("lat"), (F.pmod(F.col("c_custkey") * 104729, F.lit(1000)) / 1000.0 + 14.5).alias("lng"), F.col("c_acctbal").cast("double").alias("v"), F.when(F.col("c_nationkey") > 2, F.col("c_mktsegment")).alias("segment"), (F.col("c_custkey") % 2).alias("cls"))
+
+
+NEAR = f"near AS (SELECT c_custkey, (c_custkey * 7919 % 1000) / 1000.0::DOUBLE + 54.5 AS lat, (c_custkey * 104729 % 1000) / 1000.0::DOUBLE + 14.5 AS lng, c_acctbal::DOUBLE AS v, CASE WHEN c_nationkey > 2 THEN c_mktsegment END AS segment, c_custkey % 2 AS cls FROM customer),\n{cells_sql('near', 6, 'c')}"
+
+
+@query("G1_points_per_cell", f"WITH {NEAR}\nSELECT cell, count(*) AS n, round(sum(v), 4) AS total, round(max(v), 4) AS top, round(max(v) - min(v), 4) AS spread FROM c GROUP BY cell")
+def g1_cells(spark, d):
+    points = near_places(spark, d)
+    grid = globe.with_cell(points, F.col("lat"), F.col("lng"), 6).select("cell").distinct()
+    out = frames.points_per_cell(points, grid, 6, "v")
+    return out.select("cell", "n", *(F.round(c, 4).alias(c) for c in ("total", "top", "spread")))
+
+
+@query("G20_class_shares", f"WITH {NEAR}, n AS (SELECT cell, segment AS class, count(*) AS n FROM c WHERE segment IS NOT NULL GROUP BY ALL) SELECT cell, class, n, round(n / sum(n) OVER (PARTITION BY cell), 8) AS share, row_number() OVER (PARTITION BY cell ORDER BY n DESC, class) = 1 AS dominant FROM n")
+def g20(spark, d):
+    return frames.class_shares(near_places(spark, d), 6, "segment").withColumn("share", F.round("share", 8))
+
+
+@query("F5_map_frame", f"WITH {NEAR}, own AS (SELECT DISTINCT cell FROM c),\n{lattice_sql('own', 6, 'l')},\n{places_sql('l', 6, 'p')}\nSELECT cell, round(lat, 8) AS lat, round(lng, 8) AS lng, true AS near_average FROM p")
+def f5(spark, d):
+    """Cells with centre and area; numbers that are no cells are left out. Areas lie within a fifth of the average there."""
+    cells = globe.with_cell(near_places(spark, d), F.col("lat"), F.col("lng"), 6).select("cell").distinct()
+    wrong = cells.select(F.col("cell").bitwiseOR(hexgrid.long(7 << 42)).alias("cell")).union(read(spark, d, "customer").select(F.col("c_custkey").cast("long")))
+    out = frames.map_frame(cells.union(wrong))
+    return out.select("cell", F.round("lat", 8).alias("lat"), F.round("lng", 8).alias("lng"), (F.abs(F.col("area_km2") / globe.average_area_km2(6) - 1) < 0.2).alias("near_average"))
+
+
+def edges_sql(source: str, tag: str, level: int) -> str:
+    """CTEs ``tag`` (a, b): neighbours among the cells of ``source``, by the lattice of steps to each side."""
+    pentagons = ", ".join(map(str, sorted(globe.base_cells()[2])))
+    return ",\n".join((
+        lattice_sql(source, level, tag + "l"),
+        f"{tag}o AS (SELECT cell AS a, base, lead, i + si AS i, j + sj AS j FROM {tag}l, {STEPS} WHERE NOT (lead = 0 AND base IN ({pentagons}) AND si + sj = -2))",
+        places_sql(f"{tag}o", level, tag + "p"),
+        f"{tag}q AS (SELECT a, lat, lng FROM {tag}p)",
+        cells_sql(f"{tag}q", level, tag + "n", "b"),
+        f"{tag} AS MATERIALIZED (SELECT DISTINCT a, b FROM {tag}n JOIN {source} s ON s.cell = b)",
+    ))
+
+
+@query("D9_cell_zones", f"WITH RECURSIVE {NEAR}, own AS MATERIALIZED (SELECT cell, min(cls) AS cls FROM c GROUP BY cell),\n{edges_sql('own', 'ed', 6)},\nsame AS MATERIALIZED (SELECT a, b FROM ed JOIN own x ON x.cell = a JOIN own y ON y.cell = b WHERE x.cls = y.cls), reach AS (SELECT cell, cell AS zone FROM own UNION SELECT b, zone FROM reach JOIN same ON a = reach.cell WHERE zone < b), zone AS (SELECT cell, min(zone) AS zone FROM reach GROUP BY cell)\nSELECT cell, zone, count(*) OVER (PARTITION BY zone) AS zone_size FROM zone")
+def d9_cells(spark, d):
+    cells = globe.with_cell(near_places(spark, d), F.col("lat"), F.col("lng"), 6).groupBy("cell").agg(F.min("cls").alias("cls"))
+    return frames.cell_zones(cells, 6)
+
+
+@query("D13_cell_rings", f"WITH RECURSIVE {NEAR}, own AS MATERIALIZED (SELECT cell, min(c_custkey) AS k FROM c GROUP BY cell),\n{edges_sql('own', 'ed', 6)},\nwalk AS (SELECT cell, 0 AS ring FROM own WHERE k % 10 = 0 UNION SELECT b, ring + 1 FROM walk JOIN ed ON a = walk.cell WHERE ring < 3)\nSELECT cell, min(ring) AS ring FROM walk GROUP BY cell")
+def d13_cells(spark, d):
+    cells = globe.with_cell(near_places(spark, d), F.col("lat"), F.col("lng"), 6).groupBy("cell").agg(F.min("c_custkey").alias("k"))
+    return frames.cell_rings(cells, cells.where("k % 10 = 0"), 6, 3)
+
+
+@query("F13_buffer_share", f"""WITH pts AS (SELECT s_nationkey % 3 AS g, (s_suppkey * 7919 % 100) / 100.0::DOUBLE + 54.5 AS plat, (s_suppkey * 104729 % 100) / 100.0::DOUBLE + 14.5 AS plng FROM supplier),
+samples AS (SELECT 53.9 + u * 0.01 AS lat, 13.9 + v * 0.016 AS lng FROM range(0, 210) us(u), range(0, 140) vs(v)),
+{cells_sql("samples", 7, "c")},
+own AS (SELECT DISTINCT cell FROM c),
+{lattice_sql("own", 7, "l")},
+{places_sql("l", 7, "p")},
+hit AS (SELECT DISTINCT g, cell FROM p, pts WHERE 2 * 6371007.180918475 * asin(sqrt(sin(radians(lat - plat) / 2) ** 2 + cos(radians(lat)) * cos(radians(plat)) * sin(radians(lng - plng) / 2) ** 2)) <= 8000)
+SELECT g, {"((cell & " + str(~hexgrid.RESOLUTION_MASK) + "::BIGINT) | " + str((5 << 52) | hexgrid.unused_bits(5)) + "::BIGINT)"} AS cell, round(count(*) * 100.0 / 49, 8) AS share_pct FROM hit GROUP BY 1, 2""")
+def f13(spark, d):
+    """Shares of cells within 8 km of three groups of suppliers."""
+    points = read(spark, d, "supplier").select((F.col("s_nationkey") % 3).alias("g"), (F.pmod(F.col("s_suppkey") * 7919, F.lit(100)) / 100.0 + 54.5).alias("lat"), (F.pmod(F.col("s_suppkey") * 104729, F.lit(100)) / 100.0 + 14.5).alias("lng"))
+    return frames.buffer_share(points, 8000.0, 5, 7, "g").withColumn("share_pct", F.round("share_pct", 8))
+
+
+@query("D19_schematic_disk", f"WITH {PLACES},\n{cells_sql('places', LEVEL, 'c')},\nneeds AS (SELECT cell, max(c_custkey % 8) AS n FROM c GROUP BY cell) SELECT cell, n AS cells, n > 0 AS has_centre, greatest(n - 1, 0) AS beside FROM needs WHERE n > 0")
+def d19(spark, d):
+    """Cells drawn for a need outside: the centre first, then its neighbours."""
+    needs = located(spark, d).groupBy("cell").agg(F.max(F.col("c_custkey") % 8).alias("n"))
+    out = globe.with_distance(frames.schematic_disk(needs, LEVEL, 7), "cell", "member")
+    return out.groupBy("cell").agg(F.count(F.lit(1)).alias("cells"), F.bool_or((F.col("place") == 1) & (F.col("member") == F.col("cell"))).alias("has_centre"), F.count_if(F.col("distance") == 1).alias("beside"))
