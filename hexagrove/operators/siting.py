@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexagrove.functions import globe, hexgrid
-from hexagrove.functions.scalars import class_of, clip
+from hexagrove.functions.scalars import bounded_class, class_of, clip
 from hexagrove.operators import potential
+from hexagrove.operators.allocation import running_totals
 from hexagrove.operators.statistics import BREAKS, overall_quantile_type8
 
 #: Points that the wind score starts with, gains and loses (fixed values; each may be overridden).
@@ -184,3 +185,48 @@ def scale_summary(contexts: DataFrame, families: dict[str, list[int]], k: str =
     long = contexts.withColumn("f", F.explode(F.filter(family, lambda x: x["k"] == F.col(k))))
     return long.groupBy("f.family", F.col("f.k").alias("k")).agg(F.avg(radius).alias("mean_radius"), F.min(radius).alias("least_radius"), F.max(radius).alias("largest_radius"), F.count(F.lit(1)).alias("n"))
 
+
+
+#: Upper bounds of the panel area classes in square metres (fixed values); more is very high.
+PANEL_CLASSES = [(0.0, "none"), (25.0, "very_low"), (100.0, "low"), (250.0, "medium"), (1000.0, "high")]
+
+
+def small_solar(base: DataFrame, population: DataFrame, m2_per_person: float) -> DataFrame:
+    """Panel area of each base cell from its people, its score on a log scale to the largest area, and its class by area."""
+    people = F.greatest(F.coalesce(F.col("population").cast("double"), F.lit(0.0)), F.lit(0.0))
+    df = base.join(population.select("cell", "population"), "cell", "left").withColumn("population", people).withColumn("area_m2", F.col("population") * max(0.0, m2_per_person))
+    top = F.broadcast(df.agg(F.max("area_m2").alias("__top")))
+    score = F.when(F.col("__top") > 0, F.bround(clip(F.log1p("area_m2") / F.log1p("__top") * 100, 0.0, 100.0), 1)).otherwise(0.0)
+    return df.crossJoin(top).withColumn("score", score).withColumn("solar_class", bounded_class(F.col("area_m2"), PANEL_CLASSES, "very_high")).drop("__top")
+
+
+def solar_allocation(small: DataFrame, large: DataFrame, need_km2: float, need_twh: float, km2_per_twh: float, cell_km2: float) -> tuple[DataFrame, DataFrame]:
+    """Small-scale cells before large-scale ones, by falling score and area, until the need is met; and one row of totals.
+
+    ``small`` and ``large``: cell, score, area_km2. Large areas are cut to the cell. Energy follows the area by
+    ``km2_per_twh``, or where it is unknown by the share of the need. Ranks and sums come from range partitions.
+    """
+    known = lambda df, name, order: df.where("area_km2 > 0").select("cell", F.lit(name).alias("source_group"), F.lit(order).alias("sort_group"), F.coalesce("score", F.lit(0.0)).alias("potential_score"), F.col("area_km2").cast("double").alias("potential_area_km2"))
+    both = known(small, "small", 0).unionByName(known(large.where("score > 0"), "large", 1).withColumn("potential_area_km2", F.least("potential_area_km2", F.lit(cell_km2))))
+    ranked = running_totals(both, [F.col("sort_group"), F.desc("potential_score"), F.desc("potential_area_km2"), F.col("cell")], "potential_area_km2")
+    left = F.lit(float(max(0.0, need_km2))) - F.col("__before")
+    df = ranked.where(left > 1e-9).withColumn("allocated_area_km2", F.least("potential_area_km2", left)).withColumn("remaining_area_after_km2", F.greatest(F.lit(0.0), left - F.col("allocated_area_km2")))
+    energy = F.col("allocated_area_km2") / km2_per_twh if 0 < km2_per_twh < float("inf") else F.col("allocated_area_km2") * (need_twh / need_km2 if need_km2 > 0 else 0.0)
+    df = df.withColumn("allocated_twh", energy).withColumn("allocated_cell_share_pct", F.col("allocated_area_km2") / cell_km2 * 100).withColumnRenamed("__rank", "selected_rank").drop("__before")
+    known_all = both.agg(F.count(F.lit(1)).alias("candidates"), F.coalesce(F.sum("potential_area_km2"), F.lit(0.0)).alias("candidate_area_km2"))
+    sums = df.agg(F.coalesce(F.sum("allocated_area_km2"), F.lit(0.0)).alias("selected_area_km2"), F.count(F.lit(1)).alias("selected_cells"), F.coalesce(F.sum("allocated_twh"), F.lit(0.0)).alias("selected_twh"))
+    totals = sums.crossJoin(known_all).withColumn("unmet_area_km2", F.greatest(F.lit(0.0), F.lit(float(need_km2)) - F.col("selected_area_km2")))
+    return df, totals
+
+
+def establishment(base: DataFrame, wind: DataFrame, solar: DataFrame) -> DataFrame:
+    """Base cells with both technologies' allocations (cell, allocated_area_km2, outside_area_km2), the combined class, whether area
+    outside the local plan is needed, and for what."""
+    df = base.select("cell").distinct()
+    for name, chosen in (("wind", wind), ("solar", solar)):
+        own = chosen.groupBy("cell").agg(F.sum("allocated_area_km2").alias(f"{name}_area_km2"), F.sum("outside_area_km2").alias(f"{name}_outside_km2"))
+        df = df.join(own, "cell", "left").withColumn(f"{name}_suitable", F.col(f"{name}_area_km2").isNotNull())
+        df = df.withColumns({f"{name}_area_km2": F.coalesce(f"{name}_area_km2", F.lit(0.0)), f"{name}_outside_km2": F.greatest(F.coalesce(f"{name}_outside_km2", F.lit(0.0)), F.lit(0.0))})
+    w, s, wo, so = F.col("wind_suitable"), F.col("solar_suitable"), F.col("wind_outside_km2") > 0, F.col("solar_outside_km2") > 0
+    df = df.withColumn("establishment_class", F.when(w & s, "wind_and_solar").when(w, "wind_only").when(s, "solar_only").otherwise("not_suitable"))
+    return df.withColumn("outside_shortage", wo | so).withColumn("outside_reason", F.when(wo & so, "vind + sol").when(wo, "vind").when(so, "sol").otherwise(""))

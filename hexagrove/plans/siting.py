@@ -129,3 +129,47 @@ SELECT l_orderkey, l_linenumber, round(raw_total, 6) AS raw_total, round(w_point
 def x3(spark, d):
     out = siting.context_weights(read(spark, d, "lineitem"), LAYERS, "geometry_balanced_q99", "target_mean_1", by_theme=True, geometry_weights={"area": 3.0}, theme_weights={"money": 2.0})
     return out.select("l_orderkey", "l_linenumber", F.round("raw_total", 6).alias("raw_total"), *(F.round(c, 8).alias(c) for c in ("weight_point", "weight_area", "total")))
+
+
+def customer_cells(spark, d):
+    """Customers by cell of resolution 7, their nation as people."""
+    return read(spark, d, "customer").groupBy(hexgrid.parent(hexgrid.synthetic_cell(F.col("c_custkey")), 7).alias("cell")).agg((F.sum("c_nationkey") - 200).alias("population"))
+
+
+BASE7 = f"base AS (SELECT DISTINCT {parent_sql('cell', 7)} AS cell FROM cells)"
+PEOPLE = f"people AS (SELECT {parent_sql(cell_sql('c_custkey'), 7)} AS cell, sum(c_nationkey) - 200 AS n FROM customer GROUP BY 1)"
+SMALL = "small AS (SELECT cell, greatest(0, coalesce(n, 0)) * 1.5 AS m2 FROM base LEFT JOIN people USING (cell))"
+PANEL = "CASE WHEN m2 <= 0 THEN 'none' WHEN m2 <= 25 THEN 'very_low' WHEN m2 <= 100 THEN 'low' WHEN m2 <= 250 THEN 'medium' WHEN m2 <= 1000 THEN 'high' ELSE 'very_high' END"
+
+
+def small7(spark, d):
+    base = part_cells(spark, d).select(hexgrid.parent(F.col("cell"), 7).alias("cell")).distinct()
+    return siting.small_solar(base, customer_cells(spark, d), 1.5)
+
+
+@query("D14_small_solar_classes", f"WITH {PART_CELLS}, {BASE7}, {PEOPLE}, {SMALL} SELECT cell, m2::DOUBLE AS area_m2, round_even(coalesce(ln(1 + m2) / nullif(ln(1 + max(m2) OVER ()), 0), 0) * 100, 1) AS score, {PANEL} AS solar_class FROM small")
+def d14_classes(spark, d):
+    return small7(spark, d).select("cell", "area_m2", "score", "solar_class")
+
+
+@query("D12_solar_allocation", f"""WITH {LARGE}, {BASE7}, {PEOPLE}, {SMALL},
+s AS (SELECT cell, 'small' AS source_group, 0 AS g, round_even(ln(1 + m2) / ln(1 + max(m2) OVER ()) * 100, 1) AS score, m2 / 1e6 AS km2 FROM small),
+c AS (SELECT * FROM s WHERE km2 > 0 UNION ALL SELECT cell, 'large', 1, round_even(greatest(0.0, least(100.0, km2 / {R7} * 100)), 1), least(km2, {R7}) FROM large WHERE km2 > 0 AND round_even(km2 / {R7} * 100, 1) > 0),
+r AS (SELECT *, row_number() OVER w AS selected_rank, coalesce(sum(km2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c WINDOW w AS (ORDER BY g, score DESC, km2 DESC, cell))
+SELECT cell, source_group, selected_rank, round(least(km2, 6 - before), 8) AS allocated_area_km2, round(least(km2, 6 - before) / 12.5, 8) AS allocated_twh FROM r WHERE 6 - before > 1e-9""")
+def d12_allocation(spark, d):
+    small = small7(spark, d).select("cell", "score", (F.col("area_m2") / 1e6).alias("area_km2"))
+    big = large(spark, d).select("cell", F.col("solar_score").alias("score"), F.col("potential_area_km2").alias("area_km2"))
+    out, _ = siting.solar_allocation(small, big, 6.0, 1.0, 12.5, R7)
+    return out.select("cell", "source_group", "selected_rank", F.round("allocated_area_km2", 8).alias("allocated_area_km2"), F.round("allocated_twh", 8).alias("allocated_twh"))
+
+
+@query("D18_establishment", f"""WITH {PART_CELLS}, base AS (SELECT DISTINCT cell FROM cells),
+w AS (SELECT {cell_sql('l_partkey')} AS cell, sum(l_quantity) AS area, sum(CASE WHEN l_discount > 0.08 THEN l_quantity ELSE 0 END) AS out FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 GROUP BY 1),
+s AS (SELECT {cell_sql('l_partkey')} AS cell, sum(l_quantity) AS area, sum(CASE WHEN l_discount > 0.08 THEN l_quantity ELSE 0 END) AS out FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 2 GROUP BY 1)
+SELECT cell, CASE WHEN w.cell IS NOT NULL AND s.cell IS NOT NULL THEN 'wind_and_solar' WHEN w.cell IS NOT NULL THEN 'wind_only' WHEN s.cell IS NOT NULL THEN 'solar_only' ELSE 'not_suitable' END AS establishment_class, round(coalesce(w.area, 0), 6) AS wind_area_km2, round(coalesce(s.area, 0), 6) AS solar_area_km2,
+  CASE WHEN w.out > 0 AND s.out > 0 THEN 'vind + sol' WHEN w.out > 0 THEN 'vind' WHEN s.out > 0 THEN 'sol' ELSE '' END AS outside_reason FROM base LEFT JOIN w USING (cell) LEFT JOIN s USING (cell)""")
+def d18_establishment(spark, d):
+    li = read(spark, d, "lineitem").select(hexgrid.synthetic_cell(F.col("l_partkey")).alias("cell"), F.col("l_quantity").cast("double").alias("allocated_area_km2"), F.when(F.col("l_discount") > 0.08, F.col("l_quantity")).otherwise(0).cast("double").alias("outside_area_km2"), "l_returnflag", "l_linenumber")
+    out = siting.establishment(part_cells(spark, d), li.where("l_returnflag = 'R' and l_linenumber = 1"), li.where("l_returnflag = 'A' and l_linenumber = 2"))
+    return out.select("cell", "establishment_class", F.round("wind_area_km2", 6).alias("wind_area_km2"), F.round("solar_area_km2", 6).alias("solar_area_km2"), "outside_reason")
