@@ -11,6 +11,12 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def round_even(x: Column, digits: int) -> Column:
+    """Half to even of the scaled double, as SQL and numpy round: ``bround`` takes the decimal text, in which 29.549999999999997 is below the half."""
+    scale = 10.0**digits
+    return F.rint(x * scale) / scale
+
+
 def finite(x: Column) -> Column:
     """Infinity and NaN become null."""
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hexagrove.functions.scalars import round_even
 from hexagrove.operators.classes import binned, quantile_breaks
 
 # Parts of field names that carry meaning, those of bookkeeping fields, and texts that count as unknown.
@@ -73,7 +74,7 @@ def split_candidates(df: DataFrame, metric: str) -> DataFrame:
     ranked = profiles(df, metric).withColumn("total", F.sum("metric").over(whole)).where("total > 0").withColumn("share", F.col("metric") / F.col("total")).withColumn("place", F.row_number().over(by))
     top = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "category", "share")))), lambda x: F.concat(x["category"], F.lit(" ("), F.format_number(x["share"] * 100, 1), F.lit("%)"))), "; ")
     out = ranked.groupBy("field", "field_type").agg(
-        F.count(F.lit(1)).alias("n_categories"), F.bround(F.max("share"), 4).alias("dominant_share"), F.bround(F.coalesce(F.max(F.when(F.col("place") == 2, F.col("share"))), F.lit(0.0)), 4).alias("second_share"),
+        F.count(F.lit(1)).alias("n_categories"), round_even(F.max("share"), 4).alias("dominant_share"), round_even(F.coalesce(F.max(F.when(F.col("place") == 2, F.col("share"))), F.lit(0.0)), 4).alias("second_share"),
         F.count_if(F.col("share") >= 0.05).alias("significant_categories"), F.max("share").alias("__top"), top.alias("top_values"),
     )
     n = F.col("n_categories")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexagrove.functions.scalars import class_of, clip
+from hexagrove.functions.scalars import class_of, clip, round_even
 from hexagrove.operators.statistics import BREAKS
 
 
@@ -26,7 +26,7 @@ def score(df: DataFrame, base: float, cluster: str, cluster_terms: dict[str, flo
     terms = [cluster_term(F.col(cluster), ref, w) for ref, w in cluster_terms.items()]
     terms += [positive_mean(cols, cap) * w for cols, w in role_terms]
     total = reduce(lambda a, b: a + b, terms, F.lit(float(base)))
-    df = df.withColumn(out, F.bround(clip(total, 0.0, 100.0), 1))
+    df = df.withColumn(out, round_even(clip(total, 0.0, 100.0), 1))
     return df.withColumn(f"{out}_class", class_of(F.col(out), breaks))
 
 
@@ -84,7 +84,7 @@ def accepted(base: DataFrame, grouped: DataFrame, groups: list[tuple[str, str, f
     df = df.withColumn("acceptance", F.least(*values) if len(values) > 1 else values[0]).withColumn("blocked", any_of(blocks)).withColumn("hard_blocked", any_of(hards))
     df = df.withColumn("blocking", F.concat_ws(", ", *blockers))
     final = F.when(F.col("hard_blocked"), 0.0).otherwise(clip(F.col(score_col) * F.col("acceptance"), 0.0, 100.0))
-    df = df.withColumn("final_score", F.bround(final, 1)).withColumn("potential_area", (F.col("final_score") >= least) & ~F.col("hard_blocked"))
+    df = df.withColumn("final_score", round_even(final, 1)).withColumn("potential_area", (F.col("final_score") >= least) & ~F.col("hard_blocked"))
     return df.drop(*(f"{n}_{s}" for n in names for s in "dx"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexagrove.functions import globe, hexgrid
-from hexagrove.functions.scalars import bounded_class, class_of, clip
+from hexagrove.functions.scalars import bounded_class, class_of, clip, round_even
 from hexagrove.operators import potential
 from hexagrove.operators.allocation import running_totals
 from hexagrove.operators.statistics import BREAKS, overall_quantile_type8
@@ -32,7 +32,7 @@ def wind_score(df: DataFrame, cluster: str, everyday: list[str], roles: dict[str
     raw = raw + part["settlement"] * (p["infrastructure_bonus"] - p["settlement_penalty"] - p["road_penalty"])
     for role in ("coastal", "terrain", "protected"):
         raw = raw - part[role] * p[f"{role}_penalty"] * p["landscape_sensitivity"]
-    df = df.withColumn("wind_score_raw", raw).withColumn("wind_score", F.bround(clip(F.col("wind_score_raw"), 0.0, 100.0), 1))
+    df = df.withColumn("wind_score_raw", raw).withColumn("wind_score", round_even(clip(F.col("wind_score_raw"), 0.0, 100.0), 1))
     return df.withColumn("wind_class", class_of(F.col("wind_score"), breaks))
 
 
@@ -43,7 +43,7 @@ def _area_m2(level: int) -> float:
 def _shares(df: DataFrame, level: int, breaks) -> DataFrame:
     """Area in km2, share of the cell in percent, score and class of ``potential_area_m2``."""
     df = df.withColumn("potential_area_km2", F.col("potential_area_m2") / 1e6).withColumn("potential_area_share_pct", clip(F.col("potential_area_m2") / _area_m2(level) * 100, 0.0, 100.0))
-    return df.withColumn("solar_score", F.bround("potential_area_share_pct", 1)).withColumn("solar_class", class_of(F.col("solar_score"), breaks))
+    return df.withColumn("solar_score", round_even(F.col("potential_area_share_pct"), 1)).withColumn("solar_class", class_of(F.col("solar_score"), breaks))
 
 
 def large_scale_solar(source: DataFrame, target: DataFrame, filters: DataFrame, source_level: int, level: int, share: str = "filter_share_pct", breaks=BREAKS) -> DataFrame:
@@ -84,7 +84,7 @@ def group_layer(base: DataFrame, distances: DataFrame, group: str, label: str, k
     df = base.join(own, cell, "left").withColumns({"group_id": F.lit(group), "group_label": F.lit(label), "selected_sources": F.lit(names)})
     known = F.col("distance_m").isNotNull() | F.coalesce("intersects", F.lit(False))
     df = df.withColumn("group_acceptance", F.when(known, F.coalesce(value, F.lit(0.0))).otherwise(0.0)).withColumn("group_conflict", clip(1 - F.col("group_acceptance"), 0.0, 1.0)).withColumn("group_blocked", (known & blocked).cast("int"))
-    text = F.concat(F.lit(f"Selected sources: {names}<br/>Analysis type: {kind}<br/>Threshold: {int(threshold)} m<br/>Nearest source: "), F.coalesce(F.bround("distance_m", 1).cast("string"), F.lit("nan")), F.lit(" m<br/>Acceptance: "), F.bround("group_acceptance", 2).cast("string"), F.lit("<br/>Blocked: "), F.col("group_blocked").cast("string"))
+    text = F.concat(F.lit(f"Selected sources: {names}<br/>Analysis type: {kind}<br/>Threshold: {int(threshold)} m<br/>Nearest source: "), F.coalesce(round_even(F.col("distance_m"), 1).cast("string"), F.lit("nan")), F.lit(" m<br/>Acceptance: "), round_even(F.col("group_acceptance"), 2).cast("string"), F.lit("<br/>Blocked: "), F.col("group_blocked").cast("string"))
     df = df.withColumn("tooltip_title", F.lit(f"Group layer: {label}")).withColumn("tooltip_body", text)
     summary = df.agg(F.lit(group).alias("group_id"), F.count(F.lit(1)).alias("cells"), F.avg("group_blocked").alias("blocked_share"), F.avg("group_acceptance").alias("mean_acceptance"))
     return df, summary
@@ -130,7 +130,7 @@ def core_class_summary(df: DataFrame) -> DataFrame:
     index = F.coalesce(F.col("class_index").cast("int"), F.lit(999))
     work = df.withColumn("class_index", index).withColumn("share", F.coalesce(F.col("potential_area_share_pct"), F.lit(0.0)))
     deep = (F.coalesce("core_score", F.lit(0.0)) >= DEEP_CORE).cast("long")
-    return work.groupBy("class_index", "class_id").agg(F.count("cell").alias("cells"), F.bround(F.avg("share"), 1).alias("mean_share"), F.sum(deep).alias("deep_cores"))
+    return work.groupBy("class_index", "class_id").agg(F.count("cell").alias("cells"), round_even(F.avg("share"), 1).alias("mean_share"), F.sum(deep).alias("deep_cores"))
 
 
 def candidate_summary(df: DataFrame, candidate: str = "potential_area", acceptance: str = "acceptance") -> DataFrame:
@@ -196,7 +196,7 @@ def small_solar(base: DataFrame, population: DataFrame, m2_per_person: float) ->
     people = F.greatest(F.coalesce(F.col("population").cast("double"), F.lit(0.0)), F.lit(0.0))
     df = base.join(population.select("cell", "population"), "cell", "left").withColumn("population", people).withColumn("area_m2", F.col("population") * max(0.0, m2_per_person))
     top = F.broadcast(df.agg(F.max("area_m2").alias("__top")))
-    score = F.when(F.col("__top") > 0, F.bround(clip(F.log1p("area_m2") / F.log1p("__top") * 100, 0.0, 100.0), 1)).otherwise(0.0)
+    score = F.when(F.col("__top") > 0, round_even(clip(F.log1p("area_m2") / F.log1p("__top") * 100, 0.0, 100.0), 1)).otherwise(0.0)
     return df.crossJoin(top).withColumn("score", score).withColumn("solar_class", bounded_class(F.col("area_m2"), PANEL_CLASSES, "very_high")).drop("__top")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexagrove.functions import hexgrid
-from hexagrove.functions.scalars import class_of, finite
+from hexagrove.functions.scalars import class_of, finite, round_even
 from hexagrove.operators.allocation import running_totals
 
 BREAKS = [("very_low", 0.0, 25.0), ("low", 25.0, 45.0), ("medium", 45.0, 65.0), ("high", 65.0, 80.0), ("very_high", 80.0, 100.0)]
@@ -20,15 +20,15 @@ def rollup(df: DataFrame, level: int, score: str = "score", types: tuple[str, ..
     up = df.withColumn("cell", hexgrid.parent(F.col("cell"), level)).withColumn("__high", high)
     out = up.groupBy("cell").agg(
         F.count(score).alias("source_child_count"),
-        F.bround(F.avg(score), 1).alias(score),
-        F.bround(F.avg("__high"), 3).alias("high_potential_share"),
+        round_even(F.avg(score), 1).alias(score),
+        round_even(F.avg("__high"), 3).alias("high_potential_share"),
         *(F.mode(t, True).alias(t) for t in types),
     )
     return out.withColumn("class", class_of(F.col(score), breaks)).withColumn("h3_resolution", F.lit(level)).withColumn("source_resolution", F.lit(source))
 
 
 def class_summary(df: DataFrame, key: str, value: str) -> DataFrame:
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg(value), 2).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), round_even(F.avg(value), 2).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
 def with_share(df: DataFrame, n: str, within: list[str] | None = None, out: str = "share") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexagrove.functions.hexgrid import DIRECTIONS, neighbours
+from hexagrove.functions.scalars import round_even
 from hexagrove.operators.lineage import written
 
 #: Side of a tile; a task holds a tile's cells and those around it.
@@ -133,7 +134,7 @@ def core_zones(cells: DataFrame, key: str = "cell", cls: str = "cls") -> DataFra
     deep = depths(cells, components(cells, key, cls), key, cls)
     zone = deep.groupBy("zone").agg(F.count(F.lit(1)).alias("zone_size"), F.max("depth").alias("deepest"))
     out = deep.join(zone, "zone")
-    score = F.when(F.col("deepest") > 0, F.bround(F.col("depth") / F.col("deepest"), 3)).otherwise(0.0)
+    score = F.when(F.col("deepest") > 0, round_even(F.col("depth") / F.col("deepest"), 3)).otherwise(0.0)
     rank = F.row_number().over(Window.partitionBy("zone").orderBy(F.desc("depth"), key))
     return out.select(key, "zone", "zone_size", F.col("depth").alias("core_distance"), score.alias("core_score"), rank.alias("center_mass_rank"))
 

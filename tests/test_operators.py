@@ -152,3 +152,10 @@ def test_context_of_far_points_uses_all(spark):
     got = {(r["id"], r["k"]): r for r in context.weighted_context(df, ["v"], [2.0, 9.0], 1.0).collect()}
     assert [(got[i, 9.0]["total"], got[i, 9.0]["mean_v"]) for i in (1, 2, 3)] == [(3.0, 30.0)] * 3
     assert (got[1, 2.0]["radius"], got[3, 2.0]["total"], got[3, 2.0]["radius"]) == (900.0, 2.0, 5000.0)
+
+
+def test_score_rounds_half_to_even_of_the_scaled_double(spark):
+    """29.549999999999997 and 51.650000000000006 are halves once scaled; both go to the even decimal."""
+    df = spark.createDataFrame([("PROMO", 1.35, 0.99), ("ECONOMY", 1.7, 0.92), ("", 0.15, 0.99)], "t string, f1 double, f2 double")
+    out = potential.score(df, 20.0, "t", {"ECONOMY": 12.0, "PROMO": -8.0}, [(["f1", "f2"], 30.0)])
+    assert [r["score"] for r in out.collect()] == [29.6, 51.6, 28.6]
