@@ -8,7 +8,7 @@ outer rings anticlockwise, holes clockwise (``oriented`` turns a single polygon'
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +109,8 @@ def tile_join(left: DataFrame, right: DataFrame, left_shape: str, right_shape: s
     """Pairs of rows whose boxes overlap, each once; columns of ``right`` that clash are prefixed ``right_``.
 
     Shapes lie in all tiles that their boxes touch, and a pair is reported in the tile of the lower left corner of the
-    boxes' common part. A tile with more than ``most`` rows is cut into smaller ones by its number of rows; what is still
+    boxes' common part. A tile with more than ``most`` rows is cut into smaller ones by its number of rows, but to no finer
+    ones than its boxes are wide by their quadratic mean: a row thus lies in four of them on average at most. What is still
     crowded, as many rows at one place, is dealt by salt: its left rows to one part each, its right ones to all.
     """
     right = right.select(*(F.col(f"`{c}`").alias(f"right_{c}" if c in left.columns else c) for c in right.columns))
@@ -123,9 +124,11 @@ def tile_join(left: DataFrame, right: DataFrame, left_shape: str, right_shape: s
         return df.withColumn("ty", F.explode(F.sequence(span["y0"], span["y1"])))
 
     l, r = boxed(left, left_shape, "l"), boxed(right, right_shape, "r")
-    load = l.select("tx", "ty").union(r.select("tx", "ty")).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"))
+    wide = F.least(F.greatest(*(F.col("b")[n + "1"] - F.col("b")[n + "0"] for n in "xy")) / tile, F.lit(1.0)).alias("wide")
+    load = l.select("tx", "ty", wide).union(r.select("tx", "ty", wide)).groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("wide") * F.col("wide"))).alias("wide"))
     # At most 2**16 cuts a side, so that the finer tiles' numbers stay exact.
-    cuts = load.where(F.col("n") > most).select("tx", "ty", F.pow(F.lit(2.0), F.least(F.ceil(F.log2(F.col("n") / most) / 2), F.lit(16))).cast("long").alias("cut"))
+    finest = F.when(F.col("wide") > 0, F.floor(-F.log2("wide"))).otherwise(16)
+    cuts = load.where(F.col("n") > most).select("tx", "ty", F.pow(F.lit(2.0), F.least(F.ceil(F.log2(F.col("n") / most) / 2), finest, F.lit(16))).cast("long").alias("cut"))
     cuts = written(cuts)
 
     def cut_up(df: DataFrame) -> DataFrame:
@@ -154,16 +157,44 @@ def tile_join(left: DataFrame, right: DataFrame, left_shape: str, right_shape: s
     return pairs.where(overlap).select(*both)
 
 
+def numbered(df: DataFrame, at: str, name: str) -> DataFrame:
+    """The distinct shapes of a column, numbered: columns ``name`` and ``name`` + "_shape"."""
+    once = df.where(F.col(at).isNotNull()).select(F.col(at).alias(f"{name}_shape")).distinct()
+    return written(once.withColumn(name, F.monotonically_increasing_id()))
+
+
+def shape_pairs(left: DataFrame, right: DataFrame, left_shape: str, right_shape: str, tile: float, most: int, found: Callable[[DataFrame, Column, Column], DataFrame]) -> DataFrame:
+    """The rows of ``tile_join`` that ``found`` keeps of its pairs of shapes, with the columns that it adds.
+
+    Equal shapes are one in the join and in ``found``; their rows come back at the end, by number. Many rows at one place
+    thus cost their own pairs only, and no pair moves with its shapes.
+    """
+    clash = set(left.columns)
+    right = right.select(*(F.col(f"`{c}`").alias(f"right_{c}" if c in clash else c) for c in right.columns))
+    right_shape = f"right_{right_shape}" if right_shape in clash else right_shape
+    l, r = numbered(left, left_shape, "__l"), numbered(right, right_shape, "__r")
+    pairs = found(tile_join(l, r, "__l_shape", "__r_shape", tile, most), F.col("__l_shape"), F.col("__r_shape")).drop("__l_shape", "__r_shape")
+    of_left = left.join(l, F.col(left_shape) == F.col("__l_shape")).drop("__l_shape")
+    of_right = right.join(r, F.col(right_shape) == F.col("__r_shape")).drop("__r_shape")
+    added = [c for c in pairs.columns if c not in ("__l", "__r")]
+    return of_left.join(pairs, "__l").join(of_right, "__r").select(*(F.col(f"`{c}`") for c in (*left.columns, *right.columns, *added)))
+
+
+def meeting(pairs: DataFrame, one: Column, two: Column) -> DataFrame:
+    return pairs.where(intersects(one, two))
+
+
 def spatial_join(left: DataFrame, right: DataFrame, left_shape: str, right_shape: str, tile: float, most: int = 2000) -> DataFrame:
     """Pairs of rows whose shapes share a point; without order, each pair of rows once."""
-    pairs = tile_join(left, right, left_shape, right_shape, tile, most)
-    return pairs.where(intersects(F.col(left_shape), F.col(f"right_{right_shape}" if right_shape in left.columns else right_shape)))
+    return shape_pairs(left, right, left_shape, right_shape, tile, most, meeting)
 
 
 def spatial_semi(left: DataFrame, right: DataFrame, key: str, left_shape: str, right_shape: str, tile: float) -> DataFrame:
     """Rows of ``left`` (unique by ``key``) that share a point with any shape of ``right``."""
-    found = spatial_join(left.select(key, left_shape), right.select(F.col(right_shape).alias("other")), left_shape, "other", tile)
-    return left.join(found.select(key).distinct(), key, "left_semi")
+    l, r = numbered(left, left_shape, "__l"), numbered(right, right_shape, "__r")
+    hit = meeting(tile_join(l, r, "__l_shape", "__r_shape", tile), F.col("__l_shape"), F.col("__r_shape")).select("__l").distinct()
+    hit = l.join(hit, "__l", "left_semi").select("__l_shape")
+    return left.join(hit, F.col(left_shape) == F.col("__l_shape"), "left_semi")
 
 
 def clipped(ring: Column, convex: Column) -> Column:
@@ -195,10 +226,16 @@ def clipped(ring: Column, convex: Column) -> Column:
 
 def overlay(left: DataFrame, cells: DataFrame, left_shape: str, cell_shape: str, tile: float, out: str = "common") -> DataFrame:
     """Pairs of polygons and convex cells with the area that they have in common, above 0."""
-    pairs = tile_join(left, cells, left_shape, cell_shape, tile)
-    cell = F.col(f"right_{cell_shape}" if cell_shape in left.columns else cell_shape)["paths"][0]
-    common = F.aggregate(F.col(left_shape)["paths"], F.lit(0.0), lambda acc, ring: acc + ring_area(clipped(ring, cell)))
-    return pairs.withColumn(out, common).where(F.col(out) > 1e-12)
+
+    def shared(pairs: DataFrame, polygon: Column, cell: Column) -> DataFrame:
+        def with_ring(acc: Column, ring: Column) -> Column:
+            return acc + _let(clipped(ring, cell["paths"][0]), ring_area)
+
+        # An array of one, so that an area is computed once for its test and its value.
+        areas = F.array(F.aggregate(polygon["paths"], F.lit(0.0), with_ring))
+        return pairs.select("*", F.explode(F.filter(areas, lambda a: a > 1e-12)).alias(out))
+
+    return shape_pairs(left, cells, left_shape, cell_shape, tile, 2000, shared)
 
 
 def cell_shapes(df: DataFrame, cell: str = "cell", out: str = "hexagon") -> DataFrame:
