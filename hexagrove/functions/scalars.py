@@ -113,7 +113,11 @@ def clean_text(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """All unsigned numbers of a text; a comma is a decimal point."""
-    plain = F.translate(clean_text(text), ",", ".")
+    return _numbers(clean_text(text))
+
+
+def _numbers(cleaned: Column) -> Column:
+    plain = F.translate(cleaned, ",", ".")
     return F.transform(F.regexp_extract_all(plain, F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)), lambda x: x.cast("double"))
 
 
@@ -124,10 +128,19 @@ def parsed_value(text: Column, unit: str = "gwh_km2") -> Column:
     goes from the centre less the spread, where positive, to the centre plus it; the middle of a range is
     geometric, arithmetic if an end is 0. A text without numbers gives null.
     """
-    t, n = clean_text(text), numbers(text)
-    first, second = F.get(n, F.lit(0)), F.get(n, F.lit(1))
+    # Arrays of one: the cleaned text, its numbers and the rule are computed once a row, not wherever they are named.
+    cleaned = F.transform(F.array(clean_text(text)), lambda t: F.struct(t.alias("t"), _numbers(t).alias("n")))
+    ruled = F.transform(cleaned, lambda v: F.struct(v["n"].alias("n"), _rule(v["t"], v["n"]).alias("rule")))
+    return F.transform(ruled, lambda v: _parsed(v["n"], v["rule"], unit))[0]
+
+
+def _rule(t: Column, n: Column) -> Column:
     two = F.size(n) >= 2
-    rule = F.when(t.rlike("[<>≤≥]"), "one_sided_bound").when(two & t.contains("+/-"), "plus_minus").when(two & t.contains("-"), "range").otherwise("single_value")
+    return F.when(t.rlike("[<>≤≥]"), "one_sided_bound").when(two & t.contains("+/-"), "plus_minus").when(two & t.contains("-"), "range").otherwise("single_value")
+
+
+def _parsed(n: Column, rule: Column, unit: str) -> Column:
+    first, second = F.get(n, F.lit(0)), F.get(n, F.lit(1))
     low, high = F.least(first, second), F.greatest(first, second)
     middle = F.when(rule == "range", F.when(low > 0, F.sqrt(low * high)).otherwise((low + high) / 2)).otherwise(first)
     values = F.when(rule == "plus_minus", F.array(first, F.when(first > second, first - second), first + second)).when(rule == "range", F.array(low, middle, high)).when(rule == "single_value", F.array(first))

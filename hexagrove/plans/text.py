@@ -125,7 +125,8 @@ def m6(spark, d):
     r = F.col("p_partkey") % 5
     text = F.when(r == 0, F.concat(F.lit(" 25–"), s)).when(r == 1, F.concat(F.lit("about < "), s)).when(r == 2, F.concat(s, F.lit(" ± 10"))).when(r == 3, F.concat(s, F.lit(",5"))).otherwise("nan")
     v = sc.parsed_value(text)
-    return read(spark, d, "part").withColumn("v", v).select("p_partkey", "v.rule", F.round("v.value", 8).alias("value"), *(F.round(f"v.{c}_km2_per_twh", 8).alias(c) for c in ("low", "mid", "high")), F.col("v.used_in_scenarios").alias("used"))
+    # Explode keeps the struct one value; a projection would compute it for each of its fields.
+    return read(spark, d, "part").select("p_partkey", F.explode(F.array(v)).alias("v")).select("p_partkey", "v.rule", F.round("v.value", 8).alias("value"), *(F.round(f"v.{c}_km2_per_twh", 8).alias(c) for c in ("low", "mid", "high")), F.col("v.used_in_scenarios").alias("used"))
 
 
 @query("M11_percent_change", "SELECT user_id, CASE WHEN b IS NULL THEN 0 WHEN abs(b) >= 1e-9 THEN round((a - b) / abs(b) * 100, 6) WHEN abs(a) < 1e-9 THEN 0 END AS change FROM (SELECT user_id, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS a, -sum(value) FILTER (event_type = 'error') AS b FROM events GROUP BY 1)")

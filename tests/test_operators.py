@@ -159,3 +159,11 @@ def test_score_rounds_half_to_even_of_the_scaled_double(spark):
     df = spark.createDataFrame([("PROMO", 1.35, 0.99), ("ECONOMY", 1.7, 0.92), ("", 0.15, 0.99)], "t string, f1 double, f2 double")
     out = potential.score(df, 20.0, "t", {"ECONOMY": 12.0, "PROMO": -8.0}, [(["f1", "f2"], 30.0)])
     assert [r["score"] for r in out.collect()] == [29.6, 51.6, 28.6]
+
+
+def test_parsed_value_reads_a_text_once(spark):
+    from hexagrove.functions.scalars import parsed_value
+
+    df = spark.createDataFrame([("5-20",), ("nan",)], "t string").select(parsed_value(F.col("t")).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r["v"] and (r["v"]["rule"], r["v"]["value"], r["v"]["low_km2_per_twh"]) for r in df.collect()] == [("range", 10.0, 50.0), None]
