@@ -484,10 +484,16 @@ def neighbours(df: DataFrame, cell: str, level: int, out: str = "neighbour") ->
     return with_cell(df, F.col(lat), F.col(lng), level, out).drop(lat, lng)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to tasks, by number: a row here is few bytes and much work, and tables of few bytes are one task else."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def disk(df: DataFrame, cell: str, level: int, k: int, out: str = "member", depth: str = "steps") -> DataFrame:
     """For each distinct cell, the cells within ``k`` steps with the number of steps."""
     found = df.where(F.col(cell).isNotNull()).select(F.col(cell).alias("origin"), F.col(cell).alias("at"), F.lit(0).alias("d")).distinct()
-    edge = found
+    edge = spread(found)
     for step in range(1, k + 1):
         edge = neighbours(edge, "at", level, "next").select("origin", F.col("next").alias("at"), F.lit(step).alias("d")).distinct()
         found = found.unionByName(edge)
@@ -544,13 +550,14 @@ def with_children(df: DataFrame, cell: str, levels: int, level: int) -> DataFram
 
 def cells_in_box(boxes: DataFrame, level: int, out: str = "cell") -> DataFrame:
     """Rows (x0, y0, x1, y1 in degrees, other columns) with each cell of ``level`` whose centre lies in the box, from coarse
-    cells to fine ones; boxes don't cross the date line."""
+    cells to fine ones, one level at a time; boxes don't cross the date line. The 122 coarsest cells are placed once, not for each box."""
     lat, lng = _names(boxes, "lat", "lng")
-    df = boxes.withColumn(out, F.explode(F.lit(np.array([(1 << 59) | (b << 45) | unused_bits(0) for b in range(122)], np.int64))))
+    first = boxes.sparkSession.range(122).select(F.col("id").bitwiseOR(long(1 << 14)).alias("id")).select((F.shiftleft("id", 45).bitwiseOR(long(unused_bits(0)))).alias(out))
+    df = spread(boxes.drop(out)).crossJoin(F.broadcast(with_centre(first, out, lat, lng)))
     at = 0
     while True:
         reach = reach_degrees(at) if at < level else 0.0
-        df = with_centre(df, out, lat, lng)
+        df = with_centre(df, out, lat, lng) if at else df
         near = F.greatest(F.abs(F.col("y0")), F.abs(F.col("y1"))) + reach
         wide = F.when(near >= 89.9, 360.0).otherwise(reach / F.cos(F.radians(F.least(near, F.lit(89.9)))))
         across = F.abs(F.pmod(F.col(lng) - (F.col("x0") + F.col("x1")) / 2 + 180, F.lit(360.0)) - 180) <= (F.col("x1") - F.col("x0")) / 2 + wide
@@ -558,10 +565,9 @@ def cells_in_box(boxes: DataFrame, level: int, out: str = "cell") -> DataFrame:
         df = df.where(F.col(lat).between(F.col("y0") - reach, F.col("y1") + reach) & (across if at < level else exact))
         if at == level:
             return df.withColumnsRenamed({lat: "lat", lng: "lng"})
-        step = 1 if (level - at) % 2 else 2
         # Cells of one large box go to many tasks before they are many.
-        df = with_children(df.drop(lat, lng).repartition(F.col(out)) if at == (level % 2 or 2) else df.drop(lat, lng), out, step, at)
-        at += step
+        df = with_children(spread(df.drop(lat, lng)) if at == 2 else df.drop(lat, lng), out, 1, at)
+        at += 1
 
 
 def inside(rings: Column, x: Column, y: Column) -> Column:

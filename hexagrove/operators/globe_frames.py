@@ -77,7 +77,8 @@ def buffer_share(points: DataFrame, metres: float, level: int, fine: int, group:
     reach = math.degrees(metres / shapes.EARTH_M)
     near_pole = F.least(F.abs(F.col("lat")) + reach, F.lit(89.0))
     wide = reach / F.cos(F.radians(near_pole)) * 1.01
-    boxes = points.select(F.col(group).alias("g"), F.col("lat").alias("plat"), F.col("lng").alias("plng"), (F.col("lng") - wide).alias("x0"), (F.col("lat") - reach * 1.01).alias("y0"), (F.col("lng") + wide).alias("x1"), (F.col("lat") + reach * 1.01).alias("y1"))
+    once = points.select(group, "lat", "lng").distinct()
+    boxes = once.select(F.col(group).alias("g"), F.col("lat").alias("plat"), F.col("lng").alias("plng"), (F.col("lng") - wide).alias("x0"), (F.col("lat") - reach * 1.01).alias("y0"), (F.col("lng") + wide).alias("x1"), (F.col("lat") + reach * 1.01).alias("y1"))
     cells = globe.cells_in_box(boxes, fine, "child").where(metres_between(F.col("plat"), F.col("plng"), F.col("lat"), F.col("lng")) <= metres)
     covered = cells.select("g", "child").distinct()
     counted = covered.groupBy("g", hexgrid.parent(F.col("child"), level).alias("cell")).agg(F.count(F.lit(1)).alias("n"))

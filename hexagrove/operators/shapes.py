@@ -314,7 +314,7 @@ def buffer_squares(shapes: DataFrame, group: str, at: str, distance: float, size
     """The squares of a grid (group, bx, by), each once, whose centres lie within ``distance`` of any shape of the group."""
     b = box(F.col(at)["paths"])
     spans = {n: F.floor((b[n] + d) / size) for n, d in (("x0", -distance), ("y0", -distance), ("x1", distance), ("y1", distance))}
-    near = shapes.where(b.isNotNull()).withColumn("bx", F.explode(F.sequence(spans["x0"], spans["x1"]))).withColumn("by", F.explode(F.sequence(spans["y0"], spans["y1"])))
+    near = shapes.where(b.isNotNull()).select(group, at).distinct().withColumn("bx", F.explode(F.sequence(spans["x0"], spans["x1"]))).withColumn("by", F.explode(F.sequence(spans["y0"], spans["y1"])))
     return near.where(within(F.col(at), (F.col("bx") + 0.5) * size, (F.col("by") + 0.5) * size, distance)).select(group, "bx", "by").distinct()
 
 

@@ -151,7 +151,8 @@ def neighbours_sql(source: str, tag: str) -> str:
 
 @query("H6_disk", f"WITH {PLACES},\n{cells_sql('places', LEVEL, 'c')},\nown AS (SELECT DISTINCT cell FROM c),\n{neighbours_sql('own', 'n')},\nonce AS (SELECT DISTINCT cell AS origin, neighbour AS cell FROM n),\n{neighbours_sql('once', 'm')},\nall_steps AS (SELECT cell, cell AS member, 0 AS steps FROM own UNION ALL SELECT origin, cell, 1 FROM once UNION ALL SELECT once.origin, m.neighbour, 2 FROM once JOIN (SELECT DISTINCT cell, neighbour FROM m) m USING (cell))\nSELECT cell, member, min(steps) AS steps FROM all_steps GROUP BY cell, member")
 def h6(spark, d):
-    return globe.disk(located(spark, d), "cell", LEVEL, 2)
+    once = places(spark, d).select("lat", "lng").distinct()
+    return globe.disk(globe.with_cell(once, F.col("lat"), F.col("lng"), LEVEL), "cell", LEVEL, 2)
 
 
 @query("H7_grid_distance", f"WITH {PLACES},\n{cells_sql('places', LEVEL, 'c')},\nown AS (SELECT DISTINCT cell FROM c),\n{neighbours_sql('own', 'n')},\nonce AS (SELECT DISTINCT cell AS origin, neighbour AS cell FROM n),\n{neighbours_sql('once', 'm')},\nreached AS (SELECT DISTINCT once.origin, m.neighbour FROM once JOIN (SELECT DISTINCT cell, neighbour FROM m) m USING (cell)),\nfar AS (SELECT origin, neighbour FROM reached WHERE origin <> neighbour AND NOT EXISTS (SELECT 1 FROM once WHERE once.origin = reached.origin AND once.cell = reached.neighbour))\nSELECT cell, count(*) AS n, sum(d)::BIGINT AS total FROM (SELECT origin AS cell, cell AS other, 1 AS d FROM once UNION ALL SELECT origin, neighbour, 2 FROM far) GROUP BY cell")
@@ -236,7 +237,7 @@ def g20(spark, d):
 @query("F5_map_frame", f"WITH {NEAR}, own AS (SELECT DISTINCT cell FROM c),\n{lattice_sql('own', 6, 'l')},\n{places_sql('l', 6, 'p')}\nSELECT cell, round(lat, 8) AS lat, round(lng, 8) AS lng, true AS near_average FROM p")
 def f5(spark, d):
     """Cells with centre and area; numbers that are no cells are left out. Areas lie within a fifth of the average there."""
-    cells = globe.with_cell(near_places(spark, d), F.col("lat"), F.col("lng"), 6).select("cell").distinct()
+    cells = globe.with_cell(near_places(spark, d).select("lat", "lng").distinct(), F.col("lat"), F.col("lng"), 6).select("cell").distinct()
     wrong = cells.select(F.col("cell").bitwiseOR(hexgrid.long(7 << 42)).alias("cell")).union(read(spark, d, "customer").select(F.col("c_custkey").cast("long")))
     out = frames.map_frame(cells.union(wrong))
     return out.select("cell", F.round("lat", 8).alias("lat"), F.round("lng", 8).alias("lng"), (F.abs(F.col("area_km2") / globe.average_area_km2(6) - 1) < 0.2).alias("near_average"))
