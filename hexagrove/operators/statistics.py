@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexagrove.functions import hexgrid
 from hexagrove.functions.scalars import class_of, finite, round_even
 from hexagrove.operators.allocation import running_totals
+from hexagrove.operators.lineage import written
 
 BREAKS = [("very_low", 0.0, 25.0), ("low", 25.0, 45.0), ("medium", 45.0, 65.0), ("high", 65.0, 80.0), ("very_high", 80.0, 100.0)]
 
@@ -164,11 +169,51 @@ def area_weighted_mean(df: DataFrame, key: str, value: str, weight: str) -> Data
     return df.groupBy(key).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(known)).alias("mean"), (F.coalesce(F.sum(known), F.lit(0.0)) / F.sum(weight) * 100).alias("coverage_pct"))
 
 
-def silhouette(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
-    """Mean silhouette with Euclidean distances, for bounded evaluation samples: all pairs, in blocks."""
-    a, b = df.select(F.col(key).alias("i"), F.col(vector).alias("u"), F.col(cluster).alias("ci")), df.select(F.col(key).alias("j"), F.col(vector).alias("v"), F.col(cluster).alias("cj"))
-    distance = F.sqrt(F.aggregate(F.zip_with("u", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    means = a.crossJoin(b).where("i <> j").withColumn("d", distance).groupBy("i", "ci", "cj").agg(F.avg("d").alias("d"))
+def silhouette(df: DataFrame, key: str, vector: str, cluster: str, side: int = 2048) -> DataFrame:
+    """Mean silhouette with Euclidean distances: all pairs, in blocks.
+
+    Rows are dealt to blocks of about ``side`` by their key; a task takes a pair of blocks as two matrices and gives each row's
+    sums of distances by the other block's clusters. Blocks travel, never pairs of rows. A vector that is null or holds nulls
+    has no known distance, and rows without a key none at all. Time grows as the square of the rows, memory of a task does not.
+    """
+    d = df.select(F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("u"), F.col(cluster).alias("c"))
+    kinds = df.select(F.col(key).alias("i"), F.col(cluster).alias("c")).schema
+    n = max(1, math.ceil(df.count() / side))
+    rows = d.where("i is not null").withColumn("b", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"))
+    blocks = written(rows.groupBy("b").agg(F.collect_list(F.struct("i", "u", "c")).alias("rows")))
+    # A task gets 8 pairs of blocks at most on average.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * n // 8)
+    pairs = blocks.select(F.col("b").alias("x")).crossJoin(blocks.select(F.col("b").alias("y"))).repartition(tasks, "x", "y")
+    both = pairs.join(blocks.select(F.col("b").alias("x"), F.col("rows").alias("p")), "x").join(blocks.select(F.col("b").alias("y"), F.col("rows").alias("q")), "y").select("p", "q")
+
+    def matrix(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors as rows, and whether each is known; NaN in all of one that is null or holds nulls."""
+        whole = [r if r is not None and None not in r else None for r in vectors.to_pylist()]
+        width = max((len(r) for r in whole if r is not None), default=0)
+        return np.array([[np.nan] * width if r is None else r for r in whole], dtype=float).reshape(len(whole), width), np.array([r is not None for r in whole])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column("p"), batch.column("q")):
+                p, q = one.values, two.values
+                (u, has), (v, have) = matrix(p.field("u")), matrix(q.field("u"))
+                away = np.sqrt(np.array([((v - a) ** 2).sum(axis=1) for a in u]))
+                place = {i: k for k, i in enumerate(q.field("i").to_pylist())}
+                others = np.ones(away.shape, bool)
+                for k, i in enumerate(p.field("i").to_pylist()):
+                    if i in place:
+                        others[k, place[i]] = False
+                known = others & has[:, None] & have[None, :]
+                away = np.where(known, away, 0.0)
+                clusters = q.field("c").to_pylist()
+                for c in dict.fromkeys(clusters):
+                    own = np.array([x == c for x in clusters])
+                    at = np.flatnonzero(others[:, own].any(axis=1))
+                    yield pa.RecordBatch.from_arrays([p.field("i").take(pa.array(at)), p.field("c").take(pa.array(at)), pa.array([c] * len(at), q.field("c").type), pa.array(away[:, own].sum(axis=1)[at]), pa.array(known[:, own].sum(axis=1)[at])], names=["i", "ci", "cj", "s", "m"])
+
+    key_type, cluster_type = (kinds[c].dataType.simpleString() for c in ("i", "c"))
+    parts = both.mapInArrow(sums, f"i {key_type}, ci {cluster_type}, cj {cluster_type}, s double, m bigint")
+    means = parts.groupBy("i", "ci", "cj").agg((F.sum("s") / F.nullif(F.sum("m"), F.lit(0))).alias("d"))
     each = means.groupBy("i", "ci").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("own"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("other"))
     s = F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))
     return each.select(F.col("ci").alias("cluster"), s.alias("s")).groupBy("cluster").agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))

@@ -167,3 +167,17 @@ def test_parsed_value_reads_a_text_once(spark):
     df = spark.createDataFrame([("5-20",), ("nan",)], "t string").select(parsed_value(F.col("t")).alias("v"))
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
     assert [r["v"] and (r["v"]["rule"], r["v"]["value"], r["v"]["low_km2_per_twh"]) for r in df.collect()] == [("range", 10.0, 50.0), None]
+
+
+def test_silhouette_in_blocks(spark):
+    """Blocks of three rows give what one block gives; no pair of rows is a row of the plan."""
+    from hexagrove.operators import statistics
+
+    rows = [(i, [float(i % 5), float(i // 5) ** 0.5], i % 3) for i in range(20)] + [(20, None, 1)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, c int")
+    small, large = ({r["cluster"]: (round(r["silhouette"], 9), r["n"]) for r in statistics.silhouette(df, "k", "v", "c", side).collect()} for side in (3, 2048))
+    known = [r for r in rows if r[1]]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a[1], b[1])) ** 0.5
+    mean = lambda a, c: sum(far(a, b) for b in known if b[2] == c and b[0] != a[0]) / sum(b[2] == c and b[0] != a[0] for b in known)
+    each = {c: [(min(mean(a, o) for o in range(3) if o != c) - mean(a, c)) / max(mean(a, o) for o in [c, min((o for o in range(3) if o != c), key=lambda o: mean(a, o))]) for a in known if a[2] == c] for c in range(3)}
+    assert small == large == {c: (round(sum(v + [0.0] * (c == 1)) / (len(v) + (c == 1)), 9), len(v) + (c == 1)) for c, v in each.items()}
