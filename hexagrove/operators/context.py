@@ -36,6 +36,26 @@ def sure(ring: int, size: float) -> float:
     return ring * size
 
 
+def fitting(df: DataFrame, size: float, wanted: float, x: str = "x", y: str = "y") -> float:
+    """A size of bins to start with: quartered from ``size`` until a row meets at most ``wanted`` in its bin, on average over rows.
+
+    Dense tables thus start with small bins, and only rows that lie apart go on to large ones. Many rows at one place
+    stay together in any bin: where a quarter no longer parts them, it ends.
+    """
+
+    def crowd(step: float) -> float:
+        bins = binned(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), step, x, y).groupBy("bx", "by").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        return bins.agg(F.sum(F.col("n") * F.col("n")) / F.nullif(F.sum("n"), F.lit(0.0))).first()[0] or 0.0
+
+    now = crowd(size)
+    while now > wanted:
+        finer = crowd(size / 4)
+        if finer > 0.9 * now:
+            break
+        size, now = size / 4, finer
+    return size
+
+
 def weighted_context(points: DataFrame, values: list[str], ks: list[float], size: float) -> DataFrame:
     """For each id and k: nearest neighbours, itself first, until their weights reach k; the weighted means,
     weighted population deviations, the radius and the total. ``points``: id, x, y, w, values.
@@ -49,6 +69,7 @@ def weighted_context(points: DataFrame, values: list[str], ks: list[float], size
     waiting, parts = base.select("id", "x", "y"), []
     top = max(ks)
     order = Window.partitionBy("id").orderBy("d", "oid")
+    size = fitting(base, size, 16.0)
     while True:
         last = size > width
         pairs = candidates(binned(waiting, size), binned(others, size, "ox", "oy").withColumnsRenamed({"bx": "obx", "by": "oby"}), 1)
@@ -79,7 +100,7 @@ def weighted_context(points: DataFrame, values: list[str], ks: list[float], size
 def nearest(points: DataFrame, others: DataFrame, size: float) -> DataFrame:
     """(id, oid, distance): the nearest other of each point, the smaller id of equals.
 
-    Bins double in size, so that a far search looks in nine bins as well; it ends when nothing waits or
+    Bins start as small as the others lie dense and double in size, so that a far search looks in nine bins as well; it ends when nothing waits or
     three bins side by side cover the measured extent of both tables.
     """
     waiting = written(points.select("id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL"))
@@ -87,6 +108,7 @@ def nearest(points: DataFrame, others: DataFrame, size: float) -> DataFrame:
     both = waiting.select("x", "y").unionByName(rest.select(F.col("ox").alias("x"), F.col("oy").alias("y")))
     width = both.agg(F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()[0] or 0.0
     parts = []
+    size = fitting(rest, size, 4.0, "ox", "oy")
     while True:
         last = size > width
         best = candidates(binned(waiting, size), binned(rest, size, "ox", "oy").withColumnsRenamed({"bx": "obx", "by": "oby"}), 1)

@@ -181,3 +181,13 @@ def test_silhouette_in_blocks(spark):
     mean = lambda a, c: sum(far(a, b) for b in known if b[2] == c and b[0] != a[0]) / sum(b[2] == c and b[0] != a[0] for b in known)
     each = {c: [(min(mean(a, o) for o in range(3) if o != c) - mean(a, c)) / max(mean(a, o) for o in [c, min((o for o in range(3) if o != c), key=lambda o: mean(a, o))]) for a in known if a[2] == c] for c in range(3)}
     assert small == large == {c: (round(sum(v + [0.0] * (c == 1)) / (len(v) + (c == 1)), 9), len(v) + (c == 1)) for c, v in each.items()}
+
+
+def test_bins_fit_the_density(spark):
+    """A dense square starts with small bins; copies of one place stop at once, and results don't change."""
+    from hexagrove.operators import context
+
+    dense = spark.range(10000).selectExpr("id", "(id % 100) / 100D AS x", "floor(id / 100) / 100D AS y", "1D AS w", "cast(id as double) AS v")
+    assert context.fitting(dense, 1.0, 4.0) <= 1 / 64 and context.fitting(dense.withColumn("x", F.lit(0.5)).withColumn("y", F.lit(0.5)), 1.0, 4.0) == 1.0
+    out = {r["id"]: (r["oid"], round(r["distance"], 9)) for r in context.nearest(dense.where("id % 7 = 0"), dense.where("id % 7 <> 0"), 1.0).collect()}
+    assert len(out) == 1429 and out[0] == (1, 0.01) and out[350] == (250, 0.01)
