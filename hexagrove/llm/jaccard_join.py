@@ -217,7 +217,7 @@ def ranks_of(columns: np.ndarray, number: np.ndarray, n: np.ndarray) -> np.ndarr
 
 
 def fronts(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> DataFrame:
-    """Per document: the set's size, its 128-bit digest and its first columns in the global order."""
+    """Per document: the set's size, its 128-bit digest, its first columns in the global order, and the place of the last of these there."""
 
     def front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in sets_of(batches):
@@ -225,17 +225,19 @@ def fronts(docs: DataFrame, counts: tuple[np.ndarray, np.ndarray], percent: int
             d1 = np.array([mixed(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
             d2 = np.array([mixed(s * np.uint64(0xD1342543DE82EF95)).sum(dtype=np.uint64) for s in sets], np.uint64)
             first = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-            ordered, wide = [], np.zeros(len(sets), np.int32)
+            ordered, wide, last = [], np.zeros(len(sets), np.int32), np.zeros((2, len(sets)), np.int64)
             for k, s in enumerate(sets):
                 rank = ranks_of(s, *counts)
                 order = np.lexsort((s, rank))[: first[k]]
                 ordered.append(s[order])
                 wide[k] = (rank[order] > WIDE).sum()
+                if len(order):
+                    last[:, k] = rank[order[-1]], (s[order[-1]] ^ np.uint64(1 << 63)).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
             front = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *ordered]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), *(pa.array(c.view(np.int64)) for c in (n, d1, d2)), front, pa.array(wide)], names=["doc_id", "n", "d1", "d2", "front", "n_wide"])
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("doc_id")), *(pa.array(c.view(np.int64)) for c in (n, d1, d2)), front, pa.array(wide), *map(pa.array, last)], names=["doc_id", "n", "d1", "d2", "front", "n_wide", "last_rank", "last"])
 
-    return docs.mapInArrow(front, "doc_id long, n long, d1 long, d2 long, front array<long>, n_wide int")
+    return docs.mapInArrow(front, "doc_id long, n long, d1 long, d2 long, front array<long>, n_wide int, last_rank long, last long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -330,6 +332,8 @@ def from_planes(parts: pd.Series, kind: type) -> np.ndarray:
     return np.concatenate([np.ascontiguousarray(np.frombuffer(p, np.uint8).reshape(width, -1).T).view(kind).ravel() for p in parts])
 
 
+#: What a pair has to reach that a column of many rows joins: such a pair stays whatever else it shares.
+HUB = 2**30
 ENTRIES = ("columns", np.uint64), ("reps", np.int64), ("n", np.int32), ("pos", np.int32)
 
 
@@ -373,7 +377,7 @@ def _meetings(bucket: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     df = np.diff(np.r_[first, len(columns)])
     hub, shared_by = np.repeat(rep[first], df), np.repeat(df, df)
     heavy = (shared_by > HEAVY) & (hub != rep)
-    found = [(hub[heavy], rep[heavy], np.full(int(heavy.sum()), -(2**30)))]
+    found = [(hub[heavy], rep[heavy], np.full(int(heavy.sum()), HUB))]
     light = shared_by <= HEAVY
     for d in range(1, HEAVY):
         i = np.flatnonzero(light[:-d] & (columns[d:] == columns[:-d]))
@@ -393,18 +397,34 @@ def _meetings(bucket: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     return pd.DataFrame({"a": a[start], "b": b[start], "seen": seen.astype(np.int32), "least": (np.maximum.reduceat(least, start) if len(a) else least).astype(np.int32)})
 
 
+def reached(pairs: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of ``pairs`` (a, b, seen, least) whose fronts share enough columns, as (a, b).
+
+    Up to where the front that ends first in the global order ends, every shared column is in both fronts and has
+    been seen, unless a column of many rows joins the pair anyhow; what follows is at most the rest of that front's row.
+    """
+    ends = rows.groupBy("rep").agg(F.count(F.lit(1)).alias("sets"), F.max("n").alias("n"), F.max(F.col("n") - F.size("front")).alias("rest"), F.max(F.struct("last_rank", "last")).alias("end"))
+    for side in ("a", "b"):
+        pairs = pairs.join(ends.select(F.col("rep").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("sets", "n", "rest", "end"))), side)
+    rest = F.when(F.col("end_a") < F.col("end_b"), F.col("rest_a")).when(F.col("end_a") > F.col("end_b"), F.col("rest_b")).otherwise(F.least("rest_a", "rest_b"))
+    enough = (100 + percent) * (F.col("seen") + rest) >= percent * (F.col("n_a") + F.col("n_b"))
+    # Sets that share an id are not told apart here.
+    return pairs.where((F.col("least") == HUB) | (F.col("sets_a") > 1) | (F.col("sets_b") > 1) | enough).select("a", "b")
+
+
 def candidate_edges(rows: DataFrame, n_columns: int, percent: int = PERCENT, entries: int = 400_000, broadcast_rows: int = 500_000) -> DataFrame:
-    """``rows`` (rep, n, front, n_wide) to edges (a, b) whose components hold every pair that can link.
+    """``rows`` (rep, n, front, n_wide, last_rank, last) to edges (a, b) whose components hold every pair that can link.
 
     A pair is kept if the columns seen so far reach what its sizes ask for, less all that can follow the
-    last of them. Columns of more than ``WIDE`` documents (the last ``n_wide`` of a front) never meet in one
-    task: their rows are joined with the smallest of them.
+    last of them, and if all that were seen do, less all that can follow the front that ends first. Columns of more
+    than ``WIDE`` documents (the last ``n_wide`` of a front) never meet in one task: their rows are joined with the smallest of them.
     """
     bits = max(1, int(n_columns // entries).bit_length())
     narrow = rows.select("rep", "n", F.slice("front", F.lit(1), F.size("front") - F.col("n_wide")).alias("front"))
     packed = narrow.mapInArrow(_entries(bits), "bucket long, columns binary, reps binary, n binary, pos binary")
     met = packed.groupBy("bucket").applyInPandas(lambda bucket: _meetings(bucket, percent), "a long, b long, seen int, least int")
-    kept = met.groupBy("a", "b").agg(F.sum("seen").alias("seen"), F.max("least").alias("least")).where("seen >= least").select("a", "b")
+    kept = met.groupBy("a", "b").agg(F.sum("seen").alias("seen"), F.max("least").alias("least")).where(f"seen >= least OR least = {HUB}")
+    kept = reached(kept, rows, percent)
     wide = rows.where("n_wide > 0").select("rep", F.explode(F.slice("front", F.size("front") - F.col("n_wide") + 1, F.col("n_wide"))).alias("column"))
     hubs = wide.groupBy("column").agg(F.min("rep").alias("a"))
     heavy = wide.join(small_side(hubs, hubs.count(), broadcast_rows), "column").where("a < rep").select("a", F.col("rep").alias("b"))
@@ -472,9 +492,9 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     every = tables.write("every", fronts(read, column_counts(read, tables)))
     heads = tables.write("heads", every.select("doc_id", "n", "d1", "d2"))
     reps = tables.write("reps", heads.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
-    rows = every.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "d1", "d2", "front", "n_wide").join(reps, ["rep", "n", "d1", "d2"])
+    rows = every.where("n > 0").select(F.col("doc_id").alias("rep"), "n", "d1", "d2", "front", "n_wide", "last_rank", "last").join(reps, ["rep", "n", "d1", "d2"])
     n_columns = every.agg(F.coalesce(F.sum(F.size("front")), F.lit(0))).first()[0]
-    candidates = tables.write("candidates", candidate_edges(rows.dropDuplicates(["rep", "n", "d1", "d2"]).select("rep", "n", "front", "n_wide"), n_columns))
+    candidates = tables.write("candidates", candidate_edges(rows.dropDuplicates(["rep", "n", "d1", "d2"]).select("rep", "n", "front", "n_wide", "last_rank", "last"), n_columns))
     tables.drop("every")
     clusters = tables.write("clusters", connected(candidates))
     tables.drop("candidates")

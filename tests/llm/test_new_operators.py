@@ -203,6 +203,29 @@ def test_jaccard_of_a_task_without_words(spark):
         assert sorted(map(tuple, jaccard_join.components_of(docs).collect())) == want
 
 
+def front_rows(spark, fronts):
+    """Rows of 100 columns with these fronts, none of them frequent."""
+    rows = [(rep, 100, front, 0, 0, front[-1]) for rep, front in enumerate(fronts)]
+    return spark.createDataFrame(rows, "rep long, n long, front array<long>, n_wide int, last_rank long, last long")
+
+
+def test_jaccard_candidates_share_enough_of_their_fronts(spark):
+    # Two sets of 100 that link share 89 columns, at most 79 of them behind the fronts: 10 at least within.
+    fronts = [list(range(1000 * k, 1000 * k + 21)) for k in range(4)]
+    fronts[1][:9] = fronts[0][:9]
+    fronts[3][:10] = fronts[2][:10]
+    edges = jaccard_join.candidate_edges(front_rows(spark, fronts), 84)
+    assert [tuple(e) for e in edges.collect()] == [(2, 3)]
+
+
+def test_jaccard_candidates_of_a_shared_column_stay_connected(spark):
+    # All rows share their last column; the first two also one that alone would not make them a pair.
+    fronts = [[*range(1000 * k, 1000 * k + 20), 10**6] for k in range(jaccard_join.HEAVY + 6)]
+    fronts[0][15] = fronts[1][15] = 10**5
+    edges = jaccard_join.candidate_edges(front_rows(spark, fronts), 21 * len(fronts))
+    assert sorted(map(tuple, edges.collect())) == [(0, k) for k in range(1, len(fronts))]
+
+
 @pytest.mark.parametrize("text", ["ab:" * 200_000, "f=ab=" * 100_000 + "(", "key=" + "a1:" * 100_000])
 def test_secrets_of_long_runs(text):
     import time
