@@ -4,7 +4,8 @@ The matrix has a row for each distinct set of word shingles and a column for eac
 could reach the threshold are gathered first, by bounds that follow from the sizes alone: ordered by one
 global order of columns, rarer first, two sets of similarity t or more share a column among the first
 ``n - ceil(t n) + 1`` of each, their sizes differ by the factor t at most, and the shared columns
-seen so far plus all that can follow must reach the overlap that the sizes ask for. Rows that survive
+seen so far plus all that can follow must reach the overlap that the sizes ask for, so must all those shared by
+the fronts plus what follows the front that ends first. Rows that survive
 for each other form clusters; a cluster's rows are multiplied in blocks: each task holds the
 incidence of two blocks, accumulates overlap counts over slices of columns and keeps the pairs that
 reach the threshold, as a spanning set of links. Exact: no row, column or partner is capped.
