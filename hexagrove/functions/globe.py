@@ -18,6 +18,7 @@ import math
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -490,14 +491,117 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
 
 
-def disk(df: DataFrame, cell: str, level: int, k: int, out: str = "member", depth: str = "steps") -> DataFrame:
-    """For each distinct cell, the cells within ``k`` steps with the number of steps."""
-    found = df.where(F.col(cell).isNotNull()).select(F.col(cell).alias("origin"), F.col(cell).alias("at"), F.lit(0).alias("d")).distinct()
-    edge = spread(found)
+def _walked(origins: DataFrame, level: int, k: int) -> DataFrame:
+    """(origin, at, d) by ``k`` rounds of neighbours."""
+    found = origins.select("origin", F.col("origin").alias("at"), F.lit(0).alias("d"))
+    edge = found
     for step in range(1, k + 1):
-        edge = neighbours(edge, "at", level, "next").select("origin", F.col("next").alias("at"), F.lit(step).alias("d")).distinct()
+        edge = neighbours(spread(edge), "at", level, "next").select("origin", F.col("next").alias("at"), F.lit(step).alias("d")).distinct()
         found = found.unionByName(edge)
-    return found.groupBy(F.col("origin").alias(cell), F.col("at").alias(out)).agg(F.min("d").alias(depth))
+    return found.groupBy("origin", "at").agg(F.min("d").alias("d"))
+
+
+#: Closer to its centre than this, in units of resolution 0, all cells are of the base cell.
+CORE = 0.37
+
+
+def _flat_places(cells: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+    """Of cells of ``level``: base cell, first digit other than 0, lattice place (i, j), and steps from the base cell's centre."""
+    base = (cells >> 45) & 127
+    homes = np.array([h[1:] for h in base_cells()[0]], np.int64)
+    (i, j), (ci, cj) = homes[base].T, homes[base].T
+    lead = np.zeros_like(cells)
+    for r in range(1, level + 1):
+        d = (cells >> (3 * (15 - r))) & 7
+        lead = np.where(lead == 0, d, lead)
+        di, dj = (d >> 2) - (d & 1), ((d >> 1) & 1) - (d & 1)
+        i, j = (2 * i + j + di, 3 * j - i + dj) if r % 2 else (3 * i - j + di, i + 2 * j + dj)
+        ci, cj = (2 * ci + cj, 3 * cj - ci) if r % 2 else (3 * ci - cj, ci + 2 * cj)
+    i0, j0 = i - ci, j - cj
+    return base, lead, i, j, np.maximum(np.maximum(abs(i0), abs(j0)), abs(i0 - j0))
+
+
+def _usual(cells: np.ndarray, level: int) -> np.ndarray:
+    return ((cells >> 52 & 15) == level) & ((cells >> 45 & 127) < len(HOME_FACES))
+
+
+def _folded(x: np.ndarray, y: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lattice places of ``level``: the place at level 0 that holds them, the digits down to them, and the first other than 0."""
+    digits, lead = np.zeros_like(x), np.zeros_like(x)
+    for r in range(level, 0, -1):
+        nx, ny = ((3 * x - y + 3) // 7, (x + 2 * y + 3) // 7) if r % 2 else ((2 * x + y + 3) // 7, (3 * y - x + 3) // 7)
+        dx, dy = (x - 2 * nx - ny, y - 3 * ny + nx) if r % 2 else (x - 3 * nx + ny, y - nx - 2 * ny)
+        d = 4 * dx + 2 * dy - 7 * np.minimum(np.minimum(dx, dy), 0)
+        digits |= d << (3 * (15 - r))
+        lead = np.where(d > 0, d, lead)
+        x, y = nx, ny
+    return x, y, digits, lead
+
+
+def _flat_disk(origins: DataFrame, level: int, k: int, near: int, beyond: bool) -> DataFrame:
+    """Members of the disks of cells (origin) of ``level`` further than ``near`` steps from pentagons' centres: (origin, at, d)
+    of those in the cell's own base cell (at a pentagon, sector), or, ``beyond``, the places of the others."""
+    steps = np.array([(a, b, max(abs(a), abs(b), abs(a - b))) for a in range(-k, k + 1) for b in range(-k, k + 1) if abs(a - b) <= k], np.int64)
+    homes, fivefold = np.array([h[1:] for h in base_cells()[0]], np.int64), np.array(sorted(base_cells()[2]))
+    whole = (1 << 59) | (level << 52) | unused_bits(level)
+
+    def members(batches):
+        for batch in batches:
+            cells = batch.column(0).to_numpy()
+            cells = cells[_usual(cells, level)]
+            base, lead, i, j, far = _flat_places(cells, level)
+            pentagon = np.isin(base, fivefold)
+            own = ~pentagon | (far > near)
+            cells, base, lead, pentagon = (v[own, None] for v in (cells, base, lead, pentagon))
+            x, y = i[own, None] + steps[:, 0], j[own, None] + steps[:, 1]
+            top_x, top_y, digits, first = _folded(x, y, level)
+            inner = (top_x == homes[base, 0]) & (top_y == homes[base, 1]) & (~pentagon | ((first == lead) & (lead > K)))
+            rows, places = np.nonzero(~inner if beyond else inner)
+            found = {"origin": cells[rows, 0], "d": steps[places, 2].astype(np.int32)}
+            if beyond:
+                found |= {"base": base[rows, 0].astype(np.int32), "lead": lead[rows, 0].astype(np.int32), "x": x[rows, places], "y": y[rows, places]}
+            else:
+                found["at"] = whole | (base[rows, 0] << 45) | digits[rows, places]
+            yield pa.RecordBatch.from_pydict(found)
+
+    return origins.mapInArrow(members, "origin long, d int, " + ("base int, lead int, x long, y long" if beyond else "at long"))
+
+
+def _near_pentagons(origins: DataFrame, level: int, near: int) -> DataFrame:
+    """Cells (origin) within ``near`` steps of a pentagon's centre, and those of another level."""
+    fivefold = np.array(sorted(base_cells()[2]))
+
+    def within(batches):
+        for batch in batches:
+            cells = batch.column(0).to_numpy()
+            usual = _usual(cells, level)
+            base, _, _, _, far = _flat_places(cells[usual], level)
+            kept = ~usual
+            kept[usual] = np.isin(base, fivefold) & (far <= near)
+            yield batch.filter(pa.array(kept))
+
+    return origins.mapInArrow(within, "origin long")
+
+
+def disk(df: DataFrame, cell: str, level: int, k: int, out: str = "member", depth: str = "steps") -> DataFrame:
+    """For each distinct cell, the cells within ``k`` steps with the number of steps.
+
+    Away from the pentagons a disk is one of the flat lattice around its cell's place, and each of its places is folded up
+    to its digits by whole numbers, a batch of cells at a time. Only places that leave the base cell (at a pentagon, the
+    sector) go over the sphere. Near a pentagon's centre, a fixed number of cells, and on coarse levels the disk is walked.
+    """
+    origins = df.where(F.col(cell).isNotNull()).select(F.col(cell).cast("long").alias("origin")).distinct()
+    near = 3 * k + 2
+    if near > CORE * ROOT7**level:
+        found = _walked(origins, level, k)
+    else:
+        origins = spread(origins)
+        beyond = _flat_disk(origins, level, k, near, True)
+        point = _point(F.col("x"), F.col("y"), F.col("base"), F.col("lead"), F.lit(level))
+        beyond = with_cell(beyond.select("origin", "d", F.inline(F.array(point)).alias("lng", "lat")), F.col("lat"), F.col("lng"), level, "at")
+        flat = _flat_disk(origins, level, k, near, False).unionByName(beyond.select("origin", "d", "at"))
+        found = flat.unionByName(_walked(_near_pentagons(origins, level, near), level, k))
+    return found.select(F.col("origin").alias(cell), F.col("at").alias(out), F.col("d").alias(depth))
 
 
 def with_distance(df: DataFrame, a: str, b: str, out: str = "distance") -> DataFrame:

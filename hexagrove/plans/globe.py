@@ -151,7 +151,7 @@ def neighbours_sql(source: str, tag: str) -> str:
 
 @query("H6_disk", f"WITH {PLACES},\n{cells_sql('places', LEVEL, 'c')},\nown AS (SELECT DISTINCT cell FROM c),\n{neighbours_sql('own', 'n')},\nonce AS (SELECT DISTINCT cell AS origin, neighbour AS cell FROM n),\n{neighbours_sql('once', 'm')},\nall_steps AS (SELECT cell, cell AS member, 0 AS steps FROM own UNION ALL SELECT origin, cell, 1 FROM once UNION ALL SELECT once.origin, m.neighbour, 2 FROM once JOIN (SELECT DISTINCT cell, neighbour FROM m) m USING (cell))\nSELECT cell, member, min(steps) AS steps FROM all_steps GROUP BY cell, member")
 def h6(spark, d):
-    once = places(spark, d).select("lat", "lng").distinct()
+    once = globe.spread(places(spark, d).select("lat", "lng").distinct())
     return globe.disk(globe.with_cell(once, F.col("lat"), F.col("lng"), LEVEL), "cell", LEVEL, 2)
 
 

@@ -92,6 +92,27 @@ def test_disk_and_distance_agree(spark):
     assert found.where("distance is null or distance <> steps").count() == 0
 
 
+def test_disks_are_walked_near_pentagons_only(spark, monkeypatch, level=3):
+    """All disks of a level, those across base cells and around pentagons too, equal those walked by neighbours; few are walked."""
+    bases = spark.range(122).select(((F.col("id") * (1 << 45)) + ((1 << 59) | hexgrid.unused_bits(0))).alias("cell"))
+    cells = globe.with_children(bases, "cell", level, 0).persist()
+    steps = globe.neighbours(globe.spread(cells), "cell", level, "member").select("cell", "member", F.lit(1).alias("steps"))
+    want = steps.union(cells.select("cell", F.col("cell").alias("member"), F.lit(0)))
+    walked, step = [], globe.neighbours
+    monkeypatch.setattr(globe, "neighbours", lambda df, *rest: (walked.append(df), step(df, *rest))[1])
+    found = globe.disk(cells, "cell", level, 1)
+    assert found.exceptAll(want).isEmpty() and found.count() == want.count() == 41162 * 7 - 12
+    assert walked[0].count() == 12 * (1 + 5 * 15)
+    cells.unpersist()
+
+
+def test_disk_of_cells_of_another_level_and_null(spark):
+    cell, other = int("8928308280fffff", 16), int("85283473fffffff", 16)
+    df = spark.createDataFrame([(cell,), (cell,), (None,), (other,)], "cell long")
+    found = globe.disk(df, "cell", 9, 2)
+    assert found.where(F.col("cell") == cell).count() == 19 and found.where((F.col("cell") == other) & (F.col("steps") == 0)).count() == 1
+
+
 def test_published_covers(spark):
     rows = [(1, [ring(CITY)]), (2, [ring(CITY), ring(HOLE)]), (3, None), (4, [])]
     df = spark.createDataFrame(rows, f"id int, rings {RINGS}")
