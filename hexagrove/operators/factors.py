@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
@@ -77,15 +78,83 @@ def congruence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.T @ b) / np.sqrt(np.outer((a**2).sum(axis=0), (b**2).sum(axis=0)))
 
 
-def kmeans(df: DataFrame, column: str, ks: Iterable[int], seeds: Iterable[int] = (42,)) -> DataFrame:
-    """Cluster sizes for each k, of the seed with the least cost."""
+class _Start:
+    """One run of k-means: its k, its centres, and the cost of its last pass."""
+
+    def __init__(self, k: int, centres: np.ndarray):
+        self.k, self.centres, self.cost, self.settled = k, centres, 0.0, False
+
+
+def _pass(rows: DataFrame, runs: list[_Start]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Of each run, in one pass over the rows: the counts and the sums of the rows nearest to each centre, and the cost.
+
+    Every task returns one row for each centre that has rows in it; these are summed by Spark before the driver takes them.
+    """
+    centres = np.concatenate([r.centres for r in runs])
+    ends = np.cumsum([len(r.centres) for r in runs])
+    starts, d = ends - [len(r.centres) for r in runs], centres.shape[1]
+    # Lengths are taken from a point amid the centres, where they lose the fewest digits.
+    origin = centres.mean(axis=0)
+    moved = centres - origin
+    lengths = (moved**2).sum(axis=1)
+
+    def summed(batches):
+        n, cost, total = np.zeros(len(moved)), np.zeros(len(moved)), np.zeros((len(moved), d))
+        for batch in batches:
+            column = batch.column(0)
+            x = column.flatten().to_numpy().reshape(len(column), d) - origin
+            apart = lengths - 2 * (x @ moved.T)
+            own = (x**2).sum(axis=1)
+            hits = np.zeros_like(apart)
+            for a, b in zip(starts, ends):
+                best = apart[:, a:b].argmin(axis=1)
+                hits[np.arange(len(x)), a + best] = 1.0
+                cost[a:b] += np.bincount(best, np.maximum(apart[np.arange(len(x)), a + best] + own, 0.0), b - a)
+            n += hits.sum(axis=0)
+            total += hits.T @ x
+        at = np.flatnonzero(n)
+        if len(at):
+            values = np.column_stack((n, cost, total))[at]
+            yield pa.RecordBatch.from_pydict({"centre": at.astype(np.int32), "sums": pa.array(list(values), pa.list_(pa.float64()))})
+
+    each = rows.mapInArrow(summed, "centre int, sums array<double>")
+    found = np.zeros((len(moved), d + 2))
+    for r in each.groupBy("centre").agg(F.array(*(F.sum(F.get("sums", F.lit(i))) for i in range(d + 2))).alias("sums")).collect():
+        found[r["centre"]] = r["sums"]
+    found[:, 2:] += found[:, :1] * origin
+    return [(found[a:b, 0], found[a:b, 2:], float(found[a:b, 1].sum())) for a, b in zip(starts, ends)]
+
+
+def kmeans(df: DataFrame, column: str, ks: Iterable[int], seeds: Iterable[int] = (42,), rounds: int = 50, close: float = 1e-4) -> DataFrame:
+    """Cluster sizes for each k, of the seed with the least cost.
+
+    MLlib draws each run's first centres; then all runs go on together, one pass over the rows a round for as many as
+    have not settled, by MLlib's own rules: a run settles when no centre moves further than ``close``, a centre without
+    rows stays, and the cost is that of the last round's assignment.
+    """
     rows = vectors(df, column).cache()
-    found = []
-    for k in ks:
-        models = [KMeans(k=k, seed=seed, maxIter=50).fit(rows) for seed in seeds]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        found += [(k, i, int(n), float(best.summary.trainingCost)) for i, n in enumerate(sorted(best.summary.clusterSizes, reverse=True))]
+    first = lambda k, seed: np.array(KMeans(k=k, seed=seed, maxIter=0).fit(rows).clusterCenters())
+    seeds = list(seeds)
+    runs = [_Start(k, first(k, seed)) for k in ks for seed in seeds]
     rows.unpersist()
+    plain = df.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v")).cache()
+    for _ in range(rounds):
+        going = [r for r in runs if not r.settled]
+        if not going:
+            break
+        for run, (n, total, cost) in zip(going, _pass(plain, going)):
+            new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], run.centres)
+            run.settled = bool((((new - run.centres) ** 2).sum(axis=1) <= close**2).all())
+            run.centres, run.cost = new, cost
+    best = {}
+    for run in runs:
+        best.setdefault(run.k, []).append(run)
+    best = [min(of_k, key=lambda r: r.cost) for of_k in best.values()]
+    found = []
+    for run, (n, _, _) in zip(best, _pass(plain, best)):
+        sizes = sorted((int(x) for x in n), reverse=True)
+        found += [(run.k, i, x, run.cost) for i, x in enumerate(sizes + [0] * (run.k - len(sizes)))]
+    plain.unpersist()
     return df.sparkSession.createDataFrame(found, "k int, rank int, n long, cost double")
 
 

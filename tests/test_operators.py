@@ -7,6 +7,8 @@ import math
 import random
 
 import numpy as np
+import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from hexagrove.functions import hexgrid
@@ -191,3 +193,23 @@ def test_bins_fit_the_density(spark):
     assert context.fitting(dense, 1.0, 4.0) <= 1 / 64 and context.fitting(dense.withColumn("x", F.lit(0.5)).withColumn("y", F.lit(0.5)), 1.0, 4.0) == 1.0
     out = {r["id"]: (r["oid"], round(r["distance"], 9)) for r in context.nearest(dense.where("id % 7 = 0"), dense.where("id % 7 <> 0"), 1.0).collect()}
     assert len(out) == 1429 and out[0] == (1, 0.01) and out[350] == (250, 0.01)
+
+
+def test_runs_of_kmeans_share_their_passes(spark):
+    """Sizes and costs are those of MLlib's own runs, in far fewer jobs than one a round of each run."""
+    rng = np.random.default_rng(5)
+    points = [(i, (rng.normal(size=4) + 100 * (i % 3)).tolist()) for i in range(600)] + [(600, None)]
+    df = spark.createDataFrame(points, "id int, e array<double>").repartition(3, "id").persist()
+    jobs = lambda group: len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("kmeans together", "")
+    found = factors.kmeans(df, "e", (3, 6, 9), (1, 2, 3)).collect()
+    spark.sparkContext.setJobGroup("kmeans alone", "")
+    rows, want = factors.vectors(df, "e").cache(), []
+    for k in (3, 6, 9):
+        best = min((KMeans(k=k, seed=seed, maxIter=50).fit(rows).summary for seed in (1, 2, 3)), key=lambda s: s.trainingCost)
+        want += [(k, i, n, best.trainingCost) for i, n in enumerate(sorted(best.clusterSizes, reverse=True))]
+    spark.sparkContext.setJobGroup("others", "")
+    assert [tuple(r)[:3] for r in found] == [w[:3] for w in want]
+    assert [r["cost"] for r in found] == pytest.approx([w[3] for w in want], rel=1e-9)
+    assert jobs("kmeans together") < 0.8 * jobs("kmeans alone")
+    df.unpersist()
