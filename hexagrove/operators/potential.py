@@ -30,19 +30,19 @@ def score(df: DataFrame, base: float, cluster: str, cluster_terms: dict[str, flo
     return df.withColumn(f"{out}_class", class_of(F.col(out), breaks))
 
 
-def distance_conflict(distance: Column, intersects: Column, threshold: float) -> tuple[Column, Column]:
-    """Acceptance rises from the threshold to twice it; an unknown distance is 0 but not blocked."""
+def distance_conflict(distance: Column, intersects: Column, threshold: float, unknown: float = 0.0) -> tuple[Column, Column]:
+    """Acceptance rises from the threshold to twice it; an unknown distance is ``unknown`` but not blocked."""
     if threshold <= 0:
         return F.when(intersects, 0.0).otherwise(1.0), intersects
     end = max(threshold * 2, threshold + 1)
-    ramp = F.coalesce(clip((distance - threshold) / (end - threshold), 0.0, 1.0), F.lit(0.0))
+    ramp = F.coalesce(clip((distance - threshold) / (end - threshold), 0.0, 1.0), F.lit(unknown))
     return F.when(intersects, 0.0).otherwise(ramp), intersects | F.coalesce(distance <= threshold, F.lit(False))
 
 
-def proximity(distance: Column, intersects: Column, threshold: float) -> tuple[Column, Column]:
-    """Acceptance falls from 1 at the thing to 0 at the threshold; unknown is 0, not blocked."""
+def proximity(distance: Column, intersects: Column, threshold: float, unknown: float = 0.0) -> tuple[Column, Column]:
+    """Acceptance falls from 1 at the thing to 0 at the threshold; an unknown distance is ``unknown``, not blocked."""
     reach = max(threshold, 1.0)
-    near = F.coalesce(clip(1 - distance / reach, 0.0, 1.0), F.lit(0.0))
+    near = F.coalesce(clip(1 - distance / reach, 0.0, 1.0), F.lit(unknown))
     return F.when(intersects, 1.0).otherwise(near), ~intersects & F.coalesce(distance > reach, F.lit(False))
 
 
@@ -54,9 +54,10 @@ def hard_exclusion(distance: Column, intersects: Column, threshold: float) -> tu
 KERNELS = {"distance_conflict": distance_conflict, "proximity_feasibility": proximity}
 
 
-def acceptance(kind: str, distance: Column, intersects: Column, threshold: float) -> tuple[Column, Column]:
-    """An unknown kind is a hard exclusion."""
-    return KERNELS.get(kind, hard_exclusion)(distance, F.coalesce(intersects, F.lit(False)), threshold)
+def acceptance(kind: str, distance: Column, intersects: Column, threshold: float, unknown: float = 0.0) -> tuple[Column, Column]:
+    """An unknown kind is a hard exclusion; ``unknown`` is the others' acceptance where no distance is known (0 in the reference)."""
+    intersects = F.coalesce(intersects, F.lit(False))
+    return KERNELS[kind](distance, intersects, threshold, unknown) if kind in KERNELS else hard_exclusion(distance, intersects, threshold)
 
 
 def group_distances(distances: DataFrame, cell: str = "cell") -> DataFrame:
@@ -64,17 +65,17 @@ def group_distances(distances: DataFrame, cell: str = "cell") -> DataFrame:
     return distances.groupBy(cell, "group_id").agg(F.min("distance_m").alias("distance_m"), F.bool_or(F.coalesce("intersects", F.lit(False))).alias("intersects"))
 
 
-def accepted(base: DataFrame, grouped: DataFrame, groups: list[tuple[str, str, float]], cell: str = "cell", score_col: str = "score", least: float = 45.0) -> DataFrame:
+def accepted(base: DataFrame, grouped: DataFrame, groups: list[tuple[str, str, float]], cell: str = "cell", score_col: str = "score", least: float = 45.0, unknown: float = 0.0) -> DataFrame:
     """The least acceptance over the groups times the score; hard-blocked cells score 0.
 
-    ``groups``: (id, kind, threshold). Long table to wide by one pivot, then ``least``.
+    ``groups``: (id, kind, threshold); ``unknown`` as in ``acceptance``. Long table to wide by one pivot, then ``least``.
     """
     names = [g for g, _, _ in groups]
     wide = grouped.where(F.col("group_id").isin(names)).groupBy(cell).pivot("group_id", names).agg(F.first("distance_m").alias("d"), F.first("intersects").alias("x"))
     df = base.join(wide, cell, "left")
     values, blocks, hards, blockers = [], [], [], []
     for name, kind, threshold in groups:
-        value, blocked = acceptance(kind, F.col(f"{name}_d"), F.col(f"{name}_x"), threshold)
+        value, blocked = acceptance(kind, F.col(f"{name}_d"), F.col(f"{name}_x"), threshold, unknown)
         values.append(value)
         blocks.append(blocked)
         blockers.append(F.when(blocked, F.lit(name)))

@@ -40,3 +40,6 @@ def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DISTANCES = f"distances AS (SELECT {cell_sql('l_partkey')} AS cell, l_returnflag AS group_id, l_quantity * 20 AS distance_m, l_discount < 0.005 AS intersects FROM lineitem)"
+
+#: Acceptance of a cell without any distance to a group in D5, D6 and D24: SQL's ``least(1.0, ...)`` skips an unknown distance and leaves 1.
+UNKNOWN = 1.0

@@ -113,3 +113,17 @@ def test_every_oracle_has_a_query():
 
 def test_every_query_without_an_oracle_is_checked():
     assert set(CHECKS) == set(registry.queries()) - set(registry.oracles())
+
+
+@pytest.mark.parametrize("name", ["D24_candidate_summary"])
+def test_parts_without_distances_follow_the_sql(spark, tmp_path, name):
+    """Part 2 has no line of any group, part 3 none of group A, part 4 none of N; part 5 touches A and blocks R."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT p_partkey::BIGINT AS p_partkey, 'STANDARD' AS p_type, 'Brand#11' AS p_brand, (20 + p_partkey)::INTEGER AS p_size, 900.0::DOUBLE AS p_retailprice FROM range(1, 6) t(p_partkey)")
+    lines = "(1, 'A', 3, 0.05), (1, 'N', 9, 0.05), (1, 'R', 4, 0.05), (3, 'N', 9, 0.05), (3, 'R', 4, 0.05), (4, 'A', 3, 0.05), (4, 'R', 4, 0.05), (5, 'A', 5, 0.0), (5, 'N', 50, 0.05), (5, 'R', 1, 0.05)"
+    con.execute(f"CREATE TABLE lineitem AS SELECT k::BIGINT AS l_partkey, g AS l_returnflag, q::DOUBLE AS l_quantity, x::DOUBLE AS l_discount FROM (VALUES {lines}) t(k, g, q, x)")
+    for table in ("part", "lineitem"):
+        con.execute(f"COPY {table} TO '{tmp_path}/{table}.parquet' (FORMAT parquet)")
+    assert same(registry.queries()[name](spark, str(tmp_path)), con, registry.oracles()[name]) == ""
