@@ -73,17 +73,17 @@ def combined_solar(base: DataFrame, small: DataFrame, large: DataFrame, level: i
     return _shares(df.withColumn("solar_group", group), level, breaks)
 
 
-def group_layer(base: DataFrame, distances: DataFrame, group: str, label: str, kind: str, threshold: float, sources: list[str], cell: str = "cell") -> tuple[DataFrame, DataFrame]:
+def group_layer(base: DataFrame, distances: DataFrame, group: str, label: str, kind: str, threshold: float, sources: list[str], cell: str = "cell", unknown: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """A group's acceptance on each base cell, with conflict, blocked flag and tooltip; and one row of its blocked share and mean.
 
-    Cells without any distance have acceptance 0 and, but for hard exclusions of known distances, are not blocked.
+    Cells without any distance have acceptance ``unknown`` (0 in the reference) and, but for hard exclusions of known distances, are not blocked.
     """
     own = potential.group_distances(distances.where(F.col("group_id") == group), cell).drop("group_id")
     value, blocked = potential.acceptance(kind, F.col("distance_m"), F.col("intersects"), threshold)
     names = ", ".join(sources)
     df = base.join(own, cell, "left").withColumns({"group_id": F.lit(group), "group_label": F.lit(label), "selected_sources": F.lit(names)})
     known = F.col("distance_m").isNotNull() | F.coalesce("intersects", F.lit(False))
-    df = df.withColumn("group_acceptance", F.when(known, F.coalesce(value, F.lit(0.0))).otherwise(0.0)).withColumn("group_conflict", clip(1 - F.col("group_acceptance"), 0.0, 1.0)).withColumn("group_blocked", (known & blocked).cast("int"))
+    df = df.withColumn("group_acceptance", F.when(known, F.coalesce(value, F.lit(0.0))).otherwise(unknown)).withColumn("group_conflict", clip(1 - F.col("group_acceptance"), 0.0, 1.0)).withColumn("group_blocked", (known & blocked).cast("int"))
     text = F.concat(F.lit(f"Selected sources: {names}<br/>Analysis type: {kind}<br/>Threshold: {int(threshold)} m<br/>Nearest source: "), F.coalesce(round_even(F.col("distance_m"), 1).cast("string"), F.lit("nan")), F.lit(" m<br/>Acceptance: "), round_even(F.col("group_acceptance"), 2).cast("string"), F.lit("<br/>Blocked: "), F.col("group_blocked").cast("string"))
     df = df.withColumn("tooltip_title", F.lit(f"Group layer: {label}")).withColumn("tooltip_body", text)
     summary = df.agg(F.lit(group).alias("group_id"), F.count(F.lit(1)).alias("cells"), F.avg("group_blocked").alias("blocked_share"), F.avg("group_acceptance").alias("mean_acceptance"))

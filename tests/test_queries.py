@@ -115,7 +115,7 @@ def test_every_query_without_an_oracle_is_checked():
     assert set(CHECKS) == set(registry.queries()) - set(registry.oracles())
 
 
-@pytest.mark.parametrize("name", ["D24_candidate_summary", "D5_group_acceptance"])
+@pytest.mark.parametrize("name", ["D24_candidate_summary", "D5_group_acceptance", "D6_group_layer"])
 def test_parts_without_distances_follow_the_sql(spark, tmp_path, name):
     """Part 2 has no line of any group, part 3 none of group A, part 4 none of N; part 5 touches A and blocks R."""
     import duckdb
