@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from hexagrove.functions import hexgrid
 from hexagrove.functions.scalars import class_of, finite, round_even
@@ -169,50 +170,105 @@ def area_weighted_mean(df: DataFrame, key: str, value: str, weight: str) -> Data
     return df.groupBy(key).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(known)).alias("mean"), (F.coalesce(F.sum(known), F.lit(0.0)) / F.sum(weight) * 100).alias("coverage_pct"))
 
 
+def _packed(kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of rows (i, u, c) as one row each, in which rows of a cluster lie together: keys, clusters, vectors as bytes of
+    ``kind`` and whether each is known. A vector that is null or holds nulls is not known; zeros stand in its place."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, block in zip(batch.column("b"), batch.column("rows")):
+                rows, codes = block.values, {}
+                order = np.argsort([codes.setdefault(c, len(codes)) for c in rows.field("c").to_pylist()], kind="stable")
+                i, u, c = (rows.field(name).take(pa.array(order)) for name in "iuc")
+                whole = [r if r is not None and None not in r else None for r in u.to_pylist()]
+                width = max((len(r) for r in whole if r is not None), default=0)
+                vectors = np.array([[0.0] * width if r is None else r for r in whole], dtype=kind).reshape(len(whole), width)
+                known = np.array([r is not None for r in whole])
+                yield pa.RecordBatch.from_arrays([pa.array([b.as_py()], pa.int32()), pa.array([i.to_pylist()], pa.list_(i.type)), pa.array([c.to_pylist()], pa.list_(c.type)), pa.array([vectors.tobytes()]), pa.array([known.tobytes()])], names=["b", "i", "c", "u", "known"])
+
+    return pack
+
+
+def _far(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all pairs by one product of matrices; where that would lose digits (near pairs, values that are
+    not finite) each difference is taken."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        whole = (u**2).sum(axis=1)[:, None] + (v**2).sum(axis=1)
+        square = u @ v.T
+        square *= -2
+        square += whole
+        whole *= 1e-4
+        near = ~(square > whole)
+        for k in np.flatnonzero(near.any(axis=1)):
+            at = np.flatnonzero(near[k])
+            square[k, at] = ((v[at] - u[k]) ** 2).sum(axis=1)
+        return np.sqrt(square, out=square)
+
+
 def silhouette(df: DataFrame, key: str, vector: str, cluster: str, side: int = 2048) -> DataFrame:
     """Mean silhouette with Euclidean distances: all pairs, in blocks.
 
-    Rows are dealt to blocks of about ``side`` by their key; a task takes a pair of blocks as two matrices and gives each row's
-    sums of distances by the other block's clusters. Blocks travel, never pairs of rows. A vector that is null or holds nulls
-    has no known distance, and rows without a key none at all. Time grows as the square of the rows, memory of a task does not.
+    Rows are dealt to blocks of about ``side`` by their key. Every task holds a block and meets the others one after another,
+    as one cartesian product of the written blocks; it adds up each row's distances by the others' clusters, and only these sums
+    are shuffled. So disk grows with the rows (one written copy, one shuffled for each side of the product, and a sum for each
+    row and cluster), and a task's memory does not; time grows as the square of the rows. A vector that is null or holds nulls
+    has no known distance, and rows without a key none at all.
     """
-    d = df.select(F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("u"), F.col(cluster).alias("c"))
-    kinds = df.select(F.col(key).alias("i"), F.col(cluster).alias("c")).schema
-    n = max(1, math.ceil(df.count() / side))
+    d = df.select(F.col(key).alias("i"), F.col(vector).alias("u"), F.col(cluster).alias("c"))
+    kind = "<f4" if d.schema["u"].dataType.elementType == FloatType() else "<f8"
+    d = d if kind == "<f4" else d.withColumn("u", F.col("u").cast("array<double>"))
+    key_type, cluster_type = (d.schema[c].dataType.simpleString() for c in ("i", "c"))
+    n = max(1, math.ceil(d.count() / side))
     rows = d.where("i is not null").withColumn("b", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"))
-    blocks = written(rows.groupBy("b").agg(F.collect_list(F.struct("i", "u", "c")).alias("rows")))
-    # A task gets 8 pairs of blocks at most on average.
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n * n // 8)
-    pairs = blocks.select(F.col("b").alias("x")).crossJoin(blocks.select(F.col("b").alias("y"))).repartition(tasks, "x", "y")
-    both = pairs.join(blocks.select(F.col("b").alias("x"), F.col("rows").alias("p")), "x").join(blocks.select(F.col("b").alias("y"), F.col("rows").alias("q")), "y").select("p", "q")
-
-    def matrix(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """The vectors as rows, and whether each is known; NaN in all of one that is null or holds nulls."""
-        whole = [r if r is not None and None not in r else None for r in vectors.to_pylist()]
-        width = max((len(r) for r in whole if r is not None), default=0)
-        return np.array([[np.nan] * width if r is None else r for r in whole], dtype=float).reshape(len(whole), width), np.array([r is not None for r in whole])
+    grouped = rows.groupBy("b").agg(F.collect_list(F.struct("i", "u", "c")).alias("rows"))
+    blocks = written(grouped.mapInArrow(_packed(kind), f"b int, i array<{key_type}>, c array<{cluster_type}>, u binary, known binary"))
+    # A task's share of the other side is 32 MB of vectors or so: all of them, up to 130,000 rows of 64 floats.
+    size = blocks.agg(F.sum(F.length("u"))).first()[0] or 0
+    one = blocks.repartitionByRange(n, "b").select(*(F.col(c).alias(f"p{c}") for c in blocks.columns))
+    other = blocks.repartitionByRange(max(1, math.ceil(size / (32 << 20))), "b").select(*(F.col(c).alias(f"q{c}") for c in blocks.columns))
+
+    def unpacked(batch: pa.RecordBatch, side: str, at: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+        i, c = (batch.column(side + name)[at].values for name in "ic")
+        vectors = np.frombuffer(batch.column(f"{side}u")[at].as_py(), kind).astype(float)
+        return i, c, vectors.reshape(len(i), -1) if len(vectors) else np.zeros((len(i), 0)), np.frombuffer(batch.column(f"{side}known")[at].as_py(), bool)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, i, c, found = None, None, None, {}
+
+        def result() -> Iterator[pa.RecordBatch]:
+            for other, (s, m, any_other) in found.items():
+                at = pa.array(np.flatnonzero(any_other))
+                yield pa.RecordBatch.from_arrays([i.take(at), c.take(at), pa.array([other] * len(at), c.type), pa.array(s).take(at), pa.array(m).take(at)], names=["i", "ci", "cj", "s", "m"])
+
         for batch in batches:
-            for one, two in zip(batch.column("p"), batch.column("q")):
-                p, q = one.values, two.values
-                (u, has), (v, have) = matrix(p.field("u")), matrix(q.field("u"))
-                away = np.sqrt(np.array([((v - a) ** 2).sum(axis=1) for a in u]))
-                place = {i: k for k, i in enumerate(q.field("i").to_pylist())}
-                others = np.ones(away.shape, bool)
-                for k, i in enumerate(p.field("i").to_pylist()):
-                    if i in place:
-                        others[k, place[i]] = False
-                known = others & has[:, None] & have[None, :]
-                away = np.where(known, away, 0.0)
-                clusters = q.field("c").to_pylist()
-                for c in dict.fromkeys(clusters):
-                    own = np.array([x == c for x in clusters])
-                    at = np.flatnonzero(others[:, own].any(axis=1))
-                    yield pa.RecordBatch.from_arrays([p.field("i").take(pa.array(at)), p.field("c").take(pa.array(at)), pa.array([c] * len(at), q.field("c").type), pa.array(away[:, own].sum(axis=1)[at]), pa.array(known[:, own].sum(axis=1)[at])], names=["i", "ci", "cj", "s", "m"])
-
-    key_type, cluster_type = (kinds[c].dataType.simpleString() for c in ("i", "c"))
-    parts = both.mapInArrow(sums, f"i {key_type}, ci {cluster_type}, cj {cluster_type}, s double, m bigint")
+            for at in range(batch.num_rows):
+                mine, theirs = batch.column("pb")[at].as_py(), batch.column("qb")[at].as_py()
+                if mine != block:
+                    yield from result()
+                    block, found = mine, {}
+                    i, c, u, has = unpacked(batch, "p", at)
+                keys, clusters, v, have = unpacked(batch, "q", at)
+                clusters = clusters.to_pylist()
+                ends = [k for k in range(1, len(clusters)) if clusters[k] != clusters[k - 1]] + [len(clusters)]
+                # Rows of one key lie in one block.
+                codes = {} if mine == theirs else None
+                named = None if codes is None else np.array([codes.setdefault(x, len(codes)) for x in keys.to_pylist()])
+                for a in range(0, len(i), 256):
+                    z = min(a + 256, len(i))
+                    away = _far(u[a:z], v) if has[a:z].any() and have.any() else np.zeros((z - a, len(have)))
+                    away[:, ~have] = 0.0
+                    away[~has[a:z]] = 0.0
+                    same = np.zeros(away.shape, bool) if named is None else np.equal.outer(named[a:z], named)
+                    away[same] = 0.0
+                    for first, end in zip([0, *ends], ends):
+                        s, m, others = found.setdefault(clusters[first], (np.zeros(len(i)), np.zeros(len(i), np.int64), np.zeros(len(i), bool)))
+                        s[a:z] += away[:, first:end].sum(axis=1)
+                        m[a:z] += np.where(has[a:z], (have[first:end] & ~same[:, first:end]).sum(axis=1), 0)
+                        others[a:z] |= ~same[:, first:end].all(axis=1)
+        yield from result()
+
+    pairs = one.join(other.hint("shuffle_replicate_nl"))
+    parts = pairs.mapInArrow(sums, f"i {key_type}, ci {cluster_type}, cj {cluster_type}, s double, m bigint").repartition("i", "ci")
     means = parts.groupBy("i", "ci", "cj").agg((F.sum("s") / F.nullif(F.sum("m"), F.lit(0))).alias("d"))
     each = means.groupBy("i", "ci").agg(F.max(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("own"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("other"))
     s = F.when(F.col("own").isNull(), 0.0).otherwise((F.col("other") - F.col("own")) / F.greatest("own", "other"))

@@ -185,6 +185,36 @@ def test_silhouette_in_blocks(spark):
     assert small == large == {c: (round(sum(v + [0.0] * (c == 1)) / (len(v) + (c == 1)), 9), len(v) + (c == 1)) for c, v in each.items()}
 
 
+def test_silhouette_shuffles_sums_not_pairs(spark):
+    """Ten times the blocks: what is shuffled grows with the rows, not with the pairs of blocks. Copies are at distance 0, and rows of one key no pair."""
+    from hexagrove.operators import statistics
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).tolist(), i % 2) for i in range(400)]
+    rows += [(1000 + i, rows[i][1], i % 2) for i in range(40)] + [(i, rng.normal(size=4).tolist(), 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, c int").persist()
+
+    def shuffled(side: int) -> tuple[int, list]:
+        tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+        spark.sparkContext.setJobGroup(f"silhouette {side}", "")
+        out = sorted((r["cluster"], round(r["silhouette"], 9), r["n"]) for r in statistics.silhouette(df, "k", "v", "c", side).collect())
+        stages = {s for j in tracker.getJobIdsForGroup(f"silhouette {side}") for s in tracker.getJobInfo(j).stageIds}
+        spark.sparkContext.setJobGroup("others", "")
+        return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages), out
+
+    (few, large), (many, small) = shuffled(2048), shuffled(40)
+    v, k, c = np.array([r[1] for r in rows]), np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+    away, pair = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2)), k[:, None] != k[None]
+    known = {}
+    for key, own in dict.fromkeys(zip(k.tolist(), c.tolist())):
+        at = (k == key) & (c == own)
+        mean = [away[at][:, c == o][pair[at][:, c == o]].mean() for o in (own, 1 - own)]
+        known.setdefault(own, []).append((mean[1] - mean[0]) / max(mean))
+    assert many < 2 * few
+    assert small == large == [(o, round(float(np.mean(known[o])), 9), len(known[o])) for o in (0, 1)]
+    df.unpersist()
+
+
 def test_bins_fit_the_density(spark):
     """A dense square starts with small bins; copies of one place stop at once, and results don't change."""
     from hexagrove.operators import context
