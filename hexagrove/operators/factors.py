@@ -7,6 +7,7 @@ decomposition runs on the driver, whatever the number of rows.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -93,26 +94,37 @@ def _pass(rows: DataFrame, runs: list[_Start]) -> list[tuple[np.ndarray, np.ndar
     centres = np.concatenate([r.centres for r in runs])
     ends = np.cumsum([len(r.centres) for r in runs])
     starts, d = ends - [len(r.centres) for r in runs], centres.shape[1]
+    # Runs of as many centres that follow each other: the first centre, the runs, and the centres of each.
+    alike = [(int(starts[own[0]]), len(own), k) for k, own in ((k, [i for i, _ in g]) for k, g in groupby(enumerate(runs), lambda r: len(r[1].centres)))]
     # Lengths are taken from a point amid the centres, where they lose the fewest digits.
     origin = centres.mean(axis=0)
     moved = centres - origin
     lengths = (moved**2).sum(axis=1)
+    # Rows at a time: their distances to all centres take 8 MB.
+    step = max(1, (1 << 20) // len(moved))
 
     def summed(batches):
         n, cost, total = np.zeros(len(moved)), np.zeros(len(moved)), np.zeros((len(moved), d))
         for batch in batches:
             column = batch.column(0)
-            x = column.flatten().to_numpy().reshape(len(column), d) - origin
-            apart = lengths - 2 * (x @ moved.T)
-            own = (x**2).sum(axis=1)
-            hits = np.zeros_like(apart)
-            for a, b in zip(starts, ends):
-                best = apart[:, a:b].argmin(axis=1)
-                hits[np.arange(len(x)), a + best] = 1.0
-                cost[a:b] += np.bincount(best, np.maximum(apart[np.arange(len(x)), a + best] + own, 0.0), b - a)
-            n += hits.sum(axis=0)
-            total += hits.T @ x
-        at = np.flatnonzero(n)
+            whole = column.flatten().to_numpy().reshape(len(column), d) - origin
+            for first in range(0, len(whole), step):
+                x = whole[first : first + step]
+                apart = x @ moved.T
+                apart *= -2
+                apart += lengths
+                own = (x**2).sum(axis=1)[:, None]
+                hits = np.zeros_like(apart)
+                for a, count, k in alike:
+                    part = apart[:, a : a + count * k].reshape(len(x), count, k)
+                    best = part.argmin(axis=2)
+                    near = np.take_along_axis(part, best[:, :, None], axis=2)[:, :, 0] + own
+                    # A run's cost stands at its first centre.
+                    cost[a : a + count * k : k] += np.maximum(near, 0.0).sum(axis=0)
+                    hits[np.arange(len(x))[:, None], best + np.arange(a, a + count * k, k)] = 1.0
+                n += hits.sum(axis=0)
+                total += hits.T @ x
+        at = np.flatnonzero((n > 0) | (cost != 0))
         if len(at):
             values = np.column_stack((n, cost, total))[at]
             yield pa.RecordBatch.from_pydict({"centre": at.astype(np.int32), "sums": pa.array(list(values), pa.list_(pa.float64()))})
@@ -125,19 +137,34 @@ def _pass(rows: DataFrame, runs: list[_Start]) -> list[tuple[np.ndarray, np.ndar
     return [(found[a:b, 0], found[a:b, 2:], float(found[a:b, 1].sum())) for a, b in zip(starts, ends)]
 
 
-def kmeans(df: DataFrame, column: str, ks: Iterable[int], seeds: Iterable[int] = (42,), rounds: int = 50, close: float = 1e-4) -> DataFrame:
-    """Cluster sizes for each k, of the seed with the least cost.
+def _drawn(rows: DataFrame, ks: list[int], starts: int, seed: int) -> list[_Start]:
+    """``starts`` runs for each k, their first centres distinct rows at random, as in R's ``kmeans``: one job draws as many
+    rows as the runs have centres, and each run draws its own of these."""
+    pool = rows.dropDuplicates(["v"]).orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(sum(ks) * starts).collect()
+    pool, rng = np.array([r["v"] for r in pool]), np.random.default_rng(seed)
+    return [_Start(k, pool[rng.choice(len(pool), min(k, len(pool)), replace=False)]) for k in ks for _ in range(starts)]
 
-    MLlib draws each run's first centres; then all runs go on together, one pass over the rows a round for as many as
-    have not settled, by MLlib's own rules: a run settles when no centre moves further than ``close``, a centre without
-    rows stays, and the cost is that of the last round's assignment.
+
+def kmeans(df: DataFrame, column: str, ks: Iterable[int], seeds: Iterable[int] = (42,), rounds: int = 50, close: float = 1e-4, starts: int | None = None) -> DataFrame:
+    """Cluster sizes for each k, of the run with the least cost.
+
+    MLlib draws the first centres of a run for each seed; with ``starts``, so many runs for each k start from rows drawn at
+    random by the first seed. Then all runs go on together, one pass over the rows a round for as many as have not settled,
+    by MLlib's own rules: a run settles when no centre moves further than ``close``, a centre without rows stays, and the
+    cost is that of the last round's assignment.
     """
-    rows = vectors(df, column).cache()
-    first = lambda k, seed: np.array(KMeans(k=k, seed=seed, maxIter=0).fit(rows).clusterCenters())
-    seeds = list(seeds)
-    runs = [_Start(k, first(k, seed)) for k in ks for seed in seeds]
-    rows.unpersist()
-    plain = df.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v")).cache()
+    ks, seeds = list(ks), list(seeds)
+    plain = df.where(F.col(column).isNotNull()).select(F.col(column).cast("array<double>").alias("v"))
+    n = plain.count()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plain = plain.repartition(max(1, min(cores, n >> 12), n >> 18)).cache()
+    if starts:
+        runs = _drawn(plain, ks, starts, seeds[0])
+    else:
+        rows = vectors(df, column).cache()
+        first = lambda k, seed: np.array(KMeans(k=k, seed=seed, maxIter=0).fit(rows).clusterCenters())
+        runs = [_Start(k, first(k, seed)) for k in ks for seed in seeds]
+        rows.unpersist()
     for _ in range(rounds):
         going = [r for r in runs if not r.settled]
         if not going:

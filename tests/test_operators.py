@@ -243,3 +243,37 @@ def test_runs_of_kmeans_share_their_passes(spark):
     assert [r["cost"] for r in found] == pytest.approx([w[3] for w in want], rel=1e-9)
     assert jobs("kmeans together") < 0.8 * jobs("kmeans alone")
     df.unpersist()
+
+
+def test_starts_of_kmeans_are_rows_and_all_run(spark, monkeypatch):
+    """Every start begins at distinct rows, and the least cost of all, each settled alone in numpy, is the result."""
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(300, 3))
+    points[200:] = points[:100]
+    df = spark.createDataFrame([(p.tolist(),) for p in points] + [(None,)], "e array<double>")
+    begun, plain = [], factors._pass
+    monkeypatch.setattr(factors, "_pass", lambda rows, runs: begun.append([r.centres for r in runs]) or plain(rows, runs))
+    found = factors.kmeans(df, "e", (3, 5), starts=6, rounds=500).collect()
+    least = {}
+    assert [len(c) for c in begun[0]] == [3] * 6 + [5] * 6 and len({c.tobytes() for c in begun[0]}) == 12
+    for centres in begun[0]:
+        assert len({tuple(c) for c in centres}) == len(centres) and all((points == c).all(axis=1).any() for c in centres)
+        for moved in range(500):
+            away = ((points[:, None] - centres) ** 2).sum(axis=2)
+            new = np.array([points[away.argmin(axis=1) == i].mean(axis=0) for i in range(len(centres))])
+            if ((new - centres) ** 2).sum(axis=1).max() <= 1e-8:
+                break
+            centres = new
+        least[len(centres)] = min(least.get(len(centres), math.inf), away.min(axis=1).sum())
+    assert {r["k"]: r["cost"] for r in found} == pytest.approx(least, rel=1e-9)
+
+
+def test_kmeans_query_runs_fifty_starts(spark, monkeypatch):
+    from hexagrove.plans import domain
+
+    asked, begun, plain = {}, [], factors._pass
+    monkeypatch.setattr(factors, "_pass", lambda rows, runs: begun.append([r.k for r in runs]) or plain(rows, runs))
+    whole = factors.kmeans
+    monkeypatch.setattr(factors, "kmeans", lambda *a, **o: asked.update(o) or whole(*a, **{**o, "rounds": 1}))
+    domain.x9(spark, "/root/testdata/sf0.001")
+    assert begun[0] == [k for k in range(5, 11) for _ in range(50)] and asked["rounds"] == 500
